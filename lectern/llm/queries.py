@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, simhash, tokens, tokenstore
+from lectern.llm import decontaminate, linededup, quality, sharding, simhash, tokens, tokenstore, topk
 from lectern.llm.common import shared_dir, table
 
 #: Vocabulary files are found where they are installed; operators take any path.
@@ -22,6 +22,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), F.concat_ws(",", F.col("removed_lines").cast("array<string>")).alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(RANKS), decoded="decoded")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -32,11 +37,35 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.kd_shards(table(spark, sf_dir, "documents"), n_shards=16)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = tokens.count(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(JSON), 1024)
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "cut_bytes")
 
 
+#: Score from which a document counts as good.
+GOOD = 0.3
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Rows that no label is learned from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(documents, table(spark, sf_dir, "labels").where(~held_out()))
+    done = quality.score(documents, model)
+    return done.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"), F.size("line_scores").alias("n_lines"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -46,7 +75,21 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_byte_bpe, op4_simhash, op6_token_counts, op10_token_store)
+    f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_byte_bpe, op4_simhash, op5_kd_shards, op6_token_counts, op8_quality, op9_top_k, op10_token_store)
 }
 #: DuckDB SQL where SQL can say it within a bearable time.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+n AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS line FROM d),
+w AS (SELECT doc_id, i, line, len(regexp_extract_all(line, '[^ \t\n\r\f\v]+')) AS words FROM n),
+c AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY doc_id ORDER BY i), 0) AS upto FROM w),
+p AS (SELECT a.doc_id, a.i, b.i AS j FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.words >= 50),
+r AS (SELECT doc_id, i, min(j) AS j FROM p GROUP BY doc_id, i UNION SELECT doc_id, max(i) AS i, j FROM p GROUP BY doc_id, j),
+k AS (SELECT r.*, array_to_string(list_slice(d.l, r.i, r.j), chr(10)) AS run FROM r JOIN d USING (doc_id)),
+f AS (SELECT run, min({'d': doc_id, 'i': i}) AS first FROM k GROUP BY run),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM k JOIN f USING (run) WHERE {'d': doc_id, 'i': i} > first),
+out AS (SELECT w.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed, coalesce(string_agg((gone.i - 1)::VARCHAR, ',' ORDER BY gone.i), '') AS removed,
+ coalesce(string_agg(w.line, chr(10) ORDER BY w.i) FILTER (WHERE gone.i IS NULL), '') AS kept FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
+SELECT doc_id, n_lines, n_removed, removed, sha256(kept) AS kept_sha256 FROM out""",
+}
