@@ -15,6 +15,7 @@ import base64
 import json
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,13 @@ class Vocabulary:
         self._made = {pair: rank[i] for i, pair in parts.items()}
         self._fits: dict[int, bool] = {}
 
+    @property
+    def in_rank_order(self) -> bool:
+        """Whether ranks alone say how to merge: ids of merges ascend, and each token's last merge is the one that ranks give."""
+        made = sorted(self._parts, key=self._rank.__getitem__)
+        ids = self.id_of
+        return made == sorted(made) and all(_merge(self.token_bytes[i], ids, i) == [self.token_bytes[k] for k in self._parts[i]] for i in made)
+
     @classmethod
     def from_ranks(cls, path: str) -> Vocabulary:
         """A file of base64 tokens and their ranks; a token's id is its rank."""
@@ -306,18 +314,53 @@ class Pieces:
 
 
 class PieceCache:
-    """Remembers what a function of many pieces gives for each, for as many pieces as fit."""
+    """Remembers a number for each piece, for as many pieces as fit."""
 
-    def __init__(self, of: Callable[[list[bytes]], dict[bytes, object]], most: int = 400_000):
+    def __init__(self, of: Callable[[list[bytes]], Iterable[int]], most: int = 1_000_000):
         self.of, self.most, self.known = of, most, {}
 
-    def __call__(self, pieces: list[bytes]) -> list:
+    def __call__(self, pieces: list[bytes]) -> np.ndarray:
         if len(self.known) > self.most:
             self.known.clear()
-        known = self.known
-        if new := [p for p in pieces if p not in known]:
-            known.update(self.of(new))
-        return [known[p] for p in pieces]
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            new = [p for p, v in zip(pieces, found) if v is None]
+            self.known.update(zip(new, self.of(new)))
+            found = list(map(self.known.get, pieces))
+        return np.array(found, np.int64)
+
+
+class IdCache:
+    """Remembers the ids of pieces: all ids in one array, and each piece's place in it."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000):
+        self._encode, self._most = encode, most
+        self._place = PieceCache(self._add, 1 << 62)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._place.known.clear()
+        self._ids, self._ends, self._n, self._used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
+
+    def _add(self, pieces: list[bytes]) -> Iterable[int]:
+        each = self._encode(pieces)
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        first, start, n = self._n, self._used, int(sizes.sum())
+        while start + n > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
+        while first + len(each) + 1 > len(self._ends):
+            self._ends = np.concatenate([self._ends, np.zeros_like(self._ends)])
+        self._ids[start : start + n] = np.fromiter(chain.from_iterable(each), np.int32, n)
+        self._ends[first + 1 : first + 1 + len(each)] = start + np.cumsum(sizes)
+        self._n, self._used = first + len(each), start + n
+        return range(first, self._n)
+
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and where each piece's begin and how many they are."""
+        if self._n > self._most:
+            self._forget()
+        at = self._place(pieces)
+        return self._ids, self._ends[at], self._ends[at + 1] - self._ends[at]
 
 
 @lru_cache(8)
@@ -325,14 +368,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary.from_json(path) if path.endswith(".json") else Vocabulary.from_ranks(path)
 
 
-def encode_texts(data: np.ndarray, offsets: np.ndarray, special: Iterable[str], encode: PieceCache) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, and n + 1 offsets; ``encode`` gives an int32 array for a piece."""
+def encode_texts(data: np.ndarray, offsets: np.ndarray, special: Iterable[str], encode: IdCache) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, and n + 1 offsets."""
     p = Pieces(data, offsets, special)
-    each = encode(p.distinct)
-    if not each:
-        return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-    lengths = np.fromiter(map(len, each), np.int64, len(each))
-    flat, begin = np.concatenate(each), np.cumsum(lengths) - lengths
-    n = lengths[p.codes]
+    flat, begin, size = encode(p.distinct)
+    n = size[p.codes]
     ends = np.concatenate([[0], np.cumsum(n)])
     return flat[ragged(begin[p.codes], n)], ends[p.rows]

@@ -20,37 +20,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lectern.llm.bytepair import PieceCache, Pieces, Vocabulary, encode_texts, vocabulary
+from lectern.llm.bytepair import IdCache, PieceCache, Pieces, Vocabulary, encode_texts, vocabulary
 from lectern.llm.common import slices, text_buffer
 
-_caches: dict[tuple, PieceCache] = {}
+_caches: dict[tuple, object] = {}
 
 
-def _ids_of(v: Vocabulary):
-    marks = {s.encode(): i for s, i in v.special.items()}
+def _encoder(v: Vocabulary):
+    """Ids of many pieces; a special token's string, which is a piece by itself, has one id."""
+    marks = {s.encode(): [i] for s, i in v.special.items()}
 
-    def of(pieces: list[bytes]) -> dict[bytes, np.ndarray]:
+    def of(pieces: list[bytes]) -> list[list[int]]:
         plain = v.encode_pieces([p for p in pieces if p not in marks])
-        return {p: np.array(i, np.int32) for p, i in plain.items()} | {p: np.array([marks[p]], np.int32) for p in pieces if p in marks}
+        return [marks[p] if p in marks else plain[p] for p in pieces]
 
     return of
 
 
-def _counts_of(v: Vocabulary):
-    marks = {s.encode() for s in v.special}
+def _ids(v: Vocabulary) -> IdCache:
+    return IdCache(_encoder(v))
 
-    def of(pieces: list[bytes]) -> dict[bytes, int]:
-        plain = v.encode_pieces([p for p in pieces if p not in marks])
-        return {p: len(i) for p, i in plain.items()} | {p: 1 for p in pieces if p in marks}
 
-    return of
+def _counts(v: Vocabulary) -> PieceCache:
+    encode = _encoder(v)
+    return PieceCache(lambda pieces: map(len, encode(pieces)))
 
 
-def worker_cache(kind: str, path: str, make) -> PieceCache:
-    """One cache for each vocabulary in a Python worker, kept from task to task."""
-    if (kind, path) not in _caches:
-        _caches[kind, path] = PieceCache(make(vocabulary(path)))
-    return _caches[kind, path]
+def worker_cache(path: str, make):
+    """One cache of a kind for each vocabulary in a Python worker, kept from task to task."""
+    if (make, path) not in _caches:
+        _caches[make, path] = make(vocabulary(path))
+    return _caches[make, path]
 
 
 def _with(df: DataFrame, fields: list[T.StructField]) -> tuple[DataFrame, T.StructType]:
@@ -77,7 +77,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     source, schema = _with(df, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, cache = vocabulary(path), worker_cache("ids", path, _ids_of)
+        v, cache = vocabulary(path), worker_cache(path, _ids)
         for batch in batches:
             for part in slices(batch, text):
                 data, offsets = text_buffer(part.column(part.schema.get_field_index(text)))
@@ -117,13 +117,12 @@ def count(df: DataFrame, path: str, limit: int, text: str = "text") -> DataFrame
     source, schema = _with(df, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, cache = vocabulary(path), worker_cache("counts", path, _counts_of)
+        v, cache = vocabulary(path), worker_cache(path, _counts)
         for batch in batches:
             for part in slices(batch, text):
                 data, offsets = text_buffer(part.column(part.schema.get_field_index(text)))
                 p = Pieces(data, offsets, v.special)
-                each = np.array(cache(p.distinct), np.int64)
-                until = np.concatenate([[0], np.cumsum(each[p.codes] if len(each) else [])]).astype(np.int64)
+                until = np.concatenate([[0], np.cumsum(cache(p.distinct)[p.codes])])
                 n, size = np.diff(until[p.rows]), np.diff(offsets)
                 cut = size.copy()
                 for k in np.flatnonzero(n > limit):

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm import simple8b
-from lectern.llm.bytepair import PieceCache, encode_texts
+from lectern.llm.bytepair import IdCache, encode_texts, vocabulary
 from lectern.llm.common import slices, text_buffer
 
 #: Ids after which a block is closed.
@@ -39,20 +39,24 @@ _BLOCKS = "part int, block long, n_documents long, n_ids long, data binary"
 
 
 @lru_cache(4)
-def _library(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def _library(path: str) -> tuple[list[str], IdCache]:
+    """Special tokens of a JSON vocabulary, and a library's encoding of pieces.
+
+    Where merges come in the order of ids, tiktoken's merge loop gives the ids of
+    the tokenizers library, and several times as fast for single pieces; else that
+    library is asked.
+    """
+    v = vocabulary(path)
+    special = {s.encode(): [i] for s, i in v.special.items()}
+    if v.in_rank_order:
+        import tiktoken
+
+        one = tiktoken.Encoding(path, pat_str="", mergeable_ranks=v.id_of, special_tokens={})._core_bpe.encode_single_piece
+        return list(v.special), IdCache(lambda pieces: [special[p] if p in special else one(p) for p in pieces])
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    special = [s.content for s in t.get_added_tokens_decoder().values()]
-
-    def of(pieces: list[bytes]) -> dict[bytes, np.ndarray]:
-        coded = t.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
-        return {p: np.array(e.ids, np.int32) for p, e in zip(pieces, coded)}
-
-    return special, PieceCache(of)
+    return list(v.special), IdCache(lambda pieces: [t.encode(p.decode(), add_special_tokens=False).ids for p in pieces])
 
 
 def block_bytes(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, before: int, ids: np.ndarray) -> bytes:
@@ -85,7 +89,7 @@ def blocks(documents: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_
             return out
 
         for batch in batches:
-            for part in slices(batch, "text", 1 << 18):
+            for part in slices(batch, "text"):
                 part_id = part.column(2)[0].as_py()
                 data, offsets = text_buffer(part.column(1))
                 ids, ends = encode_texts(data, offsets, special, cache)
@@ -122,4 +126,4 @@ def read(spark: SparkSession, at: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([p] * len(doc_ids), pa.int32()), pa.array(doc_ids, mask=known == 0), pa.array(before + ends[:-1]), pa.array(lengths.astype(np.int64)), flat], ["part", "doc_id", "within", "n_tokens", "ids"])
 
     found = files.select("part", "data").mapInArrow(run, "part int, doc_id long, within long, n_tokens long, ids binary")
-    return found.join(placed, "part").select("doc_id", (F.col("part_start") + F.col("within")).alias("start"), "n_tokens", "ids")
+    return found.join(F.broadcast(placed), "part").select("doc_id", (F.col("part_start") + F.col("within")).alias("start"), "n_tokens", "ids")
