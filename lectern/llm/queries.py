@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, linededup, quality, sharding, simhash, tokens, tokenstore, topk
+from lectern.llm import decontaminate, linededup, quality, sharding, simhash, suffixdedup, tokens, tokenstore, topk
 from lectern.llm.common import shared_dir, table
 
 #: Vocabulary files are found where they are installed; operators take any path.
@@ -46,6 +46,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "cut_bytes")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Score from which a document counts as good.
 GOOD = 0.3
 
@@ -75,7 +80,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_byte_bpe, op4_simhash, op5_kd_shards, op6_token_counts, op8_quality, op9_top_k, op10_token_store)
+    f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_byte_bpe, op4_simhash, op5_kd_shards, op6_token_counts, op7_suffix_dedup, op8_quality, op9_top_k, op10_token_store)
 }
 #: DuckDB SQL where SQL can say it within a bearable time.
 ORACLE: dict[str, str] = {
