@@ -96,3 +96,42 @@ def session_turns(spark, sf_dir):
     events = S.events(Z.classify(_session(spark, sf_dir)).where("structural_zone = 'proceedings'"))
     numbered = S.number_turns(events, "source_record_id", order)
     return S.turns(numbered, "source_record_id", order, F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))
+
+
+def _segments(spark, sf_dir):
+    """A turn of two segments from each row: its words, then applause and a wrapped note."""
+    c = table(spark, sf_dir, "conversations")
+    tail = F.lit("(Aplausos.)\n- Ocupa la Presidencia la señora vicepresidenta\nprimera de la Honorable Cámara.\nVéase el texto en el Apéndice.")
+    return c.select("conv_id", "turn", F.when(F.col("role") == "user", "named_or_role_unspecified").when(F.col("role") == "assistant", "chair").alias("speaker_family"), F.array("text", tail).alias("segments"))
+
+
+@query()
+def content_spans(spark, sf_dir):
+    """Sequential rules on lines; tests hold them case by case."""
+    from lectern.operators import turncontent
+
+    return turncontent.content_spans(_segments(spark, sf_dir)).drop("text")
+
+
+@query("SELECT conv_id, turn, 1::BIGINT AS editorial_note_spans, CASE WHEN role IN ('user', 'assistant') THEN true ELSE false END AS has_speech FROM conversations WHERE NOT regexp_matches(text, '(?im)véase|vease|aplausos|risas|^\\s*-') AND text <> ''")
+def turn_statistics(spark, sf_dir):
+    from lectern.operators import turncontent
+
+    clean = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"(?im)véase|vease|aplausos|risas|^\s*-") & (F.col("text") != "")).select("conv_id", "turn")
+    s = turncontent.content_spans(_segments(spark, sf_dir).join(clean, ["conv_id", "turn"], "left_semi"))
+    return turncontent.turn_statistics(s, ["conv_id", "turn"]).select("conv_id", "turn", "editorial_note_spans", "has_speech")
+
+
+@query("SELECT 0::BIGINT AS gaps")
+def lossless_spans(spark, sf_dir):
+    from lectern.operators import turncontent
+
+    return turncontent.coverage_gaps(turncontent.content_spans(_segments(spark, sf_dir)), ["conv_id", "turn"]).agg(F.count("*").alias("gaps"))
+
+
+@query()
+def documentary_boundaries(spark, sf_dir):
+    from lectern.operators import turncontent
+
+    t = _segments(spark, sf_dir).select("conv_id", "turn", "speaker_family", F.array_join("segments", "\n").alias("text"))
+    return turncontent.boundaries(t).select("conv_id", "turn", F.col("boundary.cue").alias("cue"))
