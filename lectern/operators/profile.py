@@ -28,16 +28,30 @@ def token_counts(docs: DataFrame, tokens: Column, keys: list[str]) -> DataFrame:
     return docs.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
 
 
+def global_rank(rows: DataFrame, group: str, measure: str, name: str, rank: str, lead: int = 3) -> DataFrame:
+    """Rank from 1 by falling ``measure``, then ``name``, with no group sorted in one task.
+
+    Rows are counted by measure and the first ``lead`` characters of the name; the
+    running sum of these counts, a small table, is where each cell's ranks begin,
+    and rows are ranked within their cell alone.
+    """
+    cell = [group, measure, "_lead"]
+    own = rows.withColumn("_lead", F.substring(name, 1, lead))
+    before = F.sum("_n").over(W.partitionBy(group).orderBy(F.desc(measure), "_lead").rowsBetween(W.unboundedPreceding, -1))
+    starts = own.groupBy(*cell).agg(F.count("*").alias("_n")).select(*cell, F.coalesce(before, F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy(*cell).orderBy(name))
+    return own.join(starts, cell).withColumn(rank, (F.col("_start") + inside).cast("long")).drop("_lead", "_start")
+
+
 def token_frequency(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
     """Totals, document counts and both ranks of every token of a universe."""
     size = docs.groupBy("universe").agg(F.count("*").alias("documents"))
     counts = token_counts(docs, tokens, ["universe", key]).groupBy("universe", "token").agg(F.sum("n").alias("total_count"), F.count("*").alias("document_count"))
-    by_total = W.partitionBy("universe").orderBy(F.desc("total_count"), "token")
-    by_documents = W.partitionBy("universe").orderBy(F.desc("document_count"), "token")
-    return counts.join(F.broadcast(size), "universe").select(  # one row for each universe
-        "universe", F.row_number().over(by_total).cast("long").alias("rank_by_total_frequency"), F.row_number().over(by_documents).cast("long").alias("rank_by_document_frequency"),
-        "token", X.token_class(F.col("token")).alias("token_class"), F.length("token").cast("long").alias("token_length"), "total_count", "document_count",
-        X.safe_ratio(F.col("document_count"), F.col("documents")).alias("document_fraction"),
+    ranked = global_rank(counts, "universe", "total_count", "token", "rank_by_total_frequency")
+    ranked = global_rank(ranked, "universe", "document_count", "token", "rank_by_document_frequency")
+    return ranked.join(F.broadcast(size), "universe").select(  # one row for each universe
+        "universe", "rank_by_total_frequency", "rank_by_document_frequency", "token", X.token_class(F.col("token")).alias("token_class"), F.length("token").cast("long").alias("token_length"),
+        "total_count", "document_count", X.safe_ratio(F.col("document_count"), F.col("documents")).alias("document_fraction"),
     )
 
 

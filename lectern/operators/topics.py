@@ -16,7 +16,7 @@ def ngrams(tokens: Column, most: int = 2) -> Column:
 
 
 def term_counts(docs: DataFrame, tokens: Column, key: str = "doc_id", most: int = 2) -> DataFrame:
-    kept = docs.select(key, tokens.alias("_t"))
+    kept = docs.select(key, tokens.alias("_t"))  # a projection of its own, so that tokens are made once
     return kept.select(key, F.explode(ngrams(F.col("_t"), most)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
@@ -31,9 +31,10 @@ def vocabulary(counts: DataFrame, documents: int, min_df: int, max_df: float, ma
 def tfidf(counts: DataFrame, vocab: DataFrame, documents: int, key: str = "doc_id") -> DataFrame:
     """Sublinear term frequency times smoothed inverse document frequency, rows of length one."""
     idf = F.ln((1 + F.lit(float(documents))) / (1 + F.col("df"))) + 1
-    raw = counts.join(vocab.select("term", "df"), "term").withColumn("x", (1 + F.ln(F.col("n").cast("double"))) * idf)
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, key).select(key, "term", "n", "df", (F.col("x") / F.col("norm")).alias("w"))
+    # the vocabulary has max_features rows; a document's terms meet once, for its length
+    raw = counts.join(F.broadcast(vocab.select("term", "df")), "term").withColumn("x", (1 + F.ln(F.col("n").cast("double"))) * idf)
+    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(W.partitionBy(key)))
+    return raw.select(key, "term", "n", "df", (F.col("x") / norm).alias("w"))
 
 
 def zero_vectors(docs: DataFrame, weights: DataFrame, key: str = "doc_id") -> DataFrame:

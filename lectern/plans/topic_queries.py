@@ -139,7 +139,7 @@ _PRE = f"{_TOK}, {_TERMS}, {_VOCAB}"
 def term_table(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     tokens = F.filter(X.lexical_tokens(X.casefold(F.col("text"))), lambda t: ~t.isin(*STOP))
-    counts = T.term_counts(d, tokens)
+    counts = T.term_counts(d, tokens).persist()  # counted once for the vocabulary, once for weights, once for pairs
     n = d.count()
     return d, counts, T.vocabulary(counts, n, MIN_DF, MAX_DF, FEATURES), n
 
