@@ -120,8 +120,12 @@ def _turned(fp: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def choose_blocks(n: int, budget: int, bucket: int = 256) -> tuple[int, int]:
-    """Number of blocks and of agreeing ones, such that ``n`` even fingerprints leave about ``bucket`` in a subtree."""
+def choose_blocks(n: int, budget: int, bucket: int = 2048) -> tuple[int, int]:
+    """Number of blocks and of agreeing ones, such that ``n`` even fingerprints leave about ``bucket`` in a subtree.
+
+    One agreeing block serves millions of fingerprints; each further one divides
+    subtrees by about a thousand and multiplies the copies of a fingerprint.
+    """
     for agree in range(1, 9):
         if n / 2 ** (64 * agree / (budget + agree)) <= bucket:
             break
