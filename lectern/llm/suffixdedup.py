@@ -41,7 +41,15 @@ WIDTH, GRAM = 50, 20
 #: Bytes of text in a pack, and bytes of text for each shard of anchors and pieces.
 PACK, SHARD = 2 << 20, 8 << 20
 _BASE = 0x9E3779B97F4A7C15
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def squeeze(data: bytes) -> bytes:
+    """Compressed bytes with their length ahead; texts cross shuffles several times."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def spread(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), np.uint8)
 
 
 def gram_hashes(data: np.ndarray, k: int = GRAM) -> np.ndarray:
@@ -64,6 +72,13 @@ def gram_hashes(data: np.ndarray, k: int = GRAM) -> np.ndarray:
     return out ^ out >> np.uint64(32)
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Anchors' hashes are the least of many, so they crowd at the low end; this spreads them evenly."""
+    out = h * np.uint64(0x94D049BB133111EB)
+    out ^= out >> np.uint64(31)
+    return out * np.uint64(_BASE)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of the texts marked in ``use``: hash, text, first and last window (as starts)."""
     none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
@@ -86,7 +101,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.
     at = (least[start] & low).astype(np.int64)
     edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
     first, last = start[edge], start[np.append(edge[1:], len(start)) - 1]
-    return h[at[edge]], np.searchsorted(offsets, first, "right") - 1, first, last
+    return mixed(h[at[edge]]), np.searchsorted(offsets, first, "right") - 1, first, last
+
+
+def anchor_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Anchor of each piece: its windows have one in common, so it is that of the first."""
+    h = gram_hashes(data)
+    at = offsets[:-1, None] + np.arange(WIDTH - GRAM + 1)
+    return h[at].min(1) if len(at) else np.zeros(0, np.uint64)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +118,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close():
         nonlocal ids, known, texts, size, number
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype("<i8")
-        out = [[number], [np.array(ids, "<i8").tobytes()], [np.array(known, np.uint8).tobytes()], [offsets.tobytes()], [b"".join(texts)]]
+        out = [[number], [np.array(ids, "<i8").tobytes()], [np.array(known, np.uint8).tobytes()], [offsets.tobytes()], [squeeze(b"".join(texts))]]
         ids, known, texts, size, number = [], [], [], 0, number + 1
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), *(4 * [pa.binary()])))], ["number", "ids", "known", "offsets", "data"])
 
@@ -123,10 +145,10 @@ class _Pack:
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.known = np.frombuffer(row["known"], np.uint8).astype(bool)
         self.offsets = np.frombuffer(row["offsets"], "<i8")
-        self.data = np.frombuffer(row["data"], np.uint8)
+        self.data = spread(row["data"])
 
     def find(self) -> None:
-        """Anchors in the order of their hash; ``lone`` is false where two of the pack's documents share one."""
+        """Anchors in the order of their hash; ``twice`` is true where two of the pack's documents share one."""
         h, doc, first, last = anchors(self.data, self.offsets, self.known)
         order = np.argsort(h, kind="stable")
         self.hash, self.doc, self.first, self.last = h[order], doc[order], first[order], last[order]
@@ -134,8 +156,7 @@ class _Pack:
         self.group = np.flatnonzero(new)
         self.member = np.cumsum(new) - 1
         own = self.ids[self.doc]
-        self.least = np.minimum.reduceat(own, self.group) if len(h) else own
-        self.most = np.maximum.reduceat(own, self.group) if len(h) else own
+        self.twice = np.minimum.reduceat(own, self.group) != np.maximum.reduceat(own, self.group) if len(h) else new
 
 
 def _cuts(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +173,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _anchor_sets(shards: int):
-    """For each pack and shard: distinct hashes and the least and greatest id that has them."""
+    """For each pack and shard: distinct hashes, and which of them two of the pack's documents share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -160,42 +181,34 @@ def _anchor_sets(shards: int):
             p.find()
             h = p.hash[p.group]
             shard, edge = _cuts(h, shards)
-            out = [[], [], [], [], []]
+            out = [[], [], [], []]
             for a, b in zip(edge, np.append(edge[1:], len(h))):
-                for o, v in zip(out, (int(shard[a]), row["number"], h[a:b].astype("<u4").tobytes(), p.least[a:b].astype("<i8").tobytes(), np.flatnonzero(p.most[a:b] != p.least[a:b]).astype("<u4").tobytes())):
+                for o, v in zip(out, (int(shard[a]), row["number"], h[a:b].astype("<u4").tobytes(), np.packbits(p.twice[a:b]).tobytes())):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), *(3 * [pa.binary()])))], ["shard", "number", "hashes", "least", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "number", "hashes", "twice"])
 
     return run
 
 
 def _meet(part: pa.Table) -> pa.Table:
-    """Which of a shard's hashes occur in two documents, as bits for each pack."""
+    """Which of a shard's hashes occur in two packs, or twice in one, as bits for each pack."""
     hashes = [np.frombuffer(b, "<u4") for b in part.column("hashes").to_pylist()]
     sizes = [len(x) for x in hashes]
+    twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(part.column("twice").to_pylist(), sizes)])
     h = np.concatenate(hashes)
-    ids = np.concatenate([np.frombuffer(b, "<i8") for b in part.column("least").to_pylist()])
     order = np.argsort(h, kind="stable")
-    h, ids = h[order], ids[order]
+    h = h[order]
     group = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    member = np.cumsum(np.concatenate([[1], h[1:] != h[:-1]])) - 1
+    count = np.diff(np.append(group, len(h)))
     flags = np.zeros(len(h), bool)
-    flags[order] = (np.minimum.reduceat(ids, group) != np.maximum.reduceat(ids, group))[member]
+    flags[order] = np.repeat((count > 1) | (np.maximum.reduceat(twice[order], group) > 0), count)
     ends = np.cumsum(sizes)
-    # an anchor that a pack shares within itself is known to it; others see it by its least id, or through that pack's mark
-    marked = np.zeros(len(h), bool)
-    for end, n, b in zip(ends, sizes, part.column("shared").to_pylist()):
-        marked[end - n + np.frombuffer(b, "<u4")] = True
-    any_marked = np.maximum.reduceat(marked[order], group)
-    again = np.zeros(len(h), bool)
-    again[order] = any_marked[member]
-    flags |= again
     bits = [np.packbits(flags[end - n : end]).tobytes() for end, n in zip(ends, sizes)]
     return pa.table({"number": part.column("number"), "shard": part.column("shard"), "bits": pa.array(bits, pa.binary())})
 
 
 def _pieces(shards: int):
-    """Windows of shared anchors: kind 0, pieces for the shards; kind 1, runs of windows that the pack settles itself."""
+    """Pieces of shared anchors for the shards; with negative shards, runs of windows that the pack settles itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -216,17 +229,19 @@ def _pieces(shards: int):
             np.minimum.at(least, code, ids)
             done = ids > least[code]
             settled = own[done]
-            out = [[1], [row["number"]], [-1], [_spans(p.doc[settled], p.first[settled], p.last[settled])]]
+            out = [[-1 - row["number"] % shards], [row["number"]], [_spans(p.doc[settled], p.first[settled], p.last[settled])]]
             rest = own[~done]
             where = shard[p.member[rest]]
             cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(rest) else []
             for a, b in zip(cut, np.append(cut[1:], len(rest))):
                 r = rest[a:b]
-                n = (p.last[r] - p.first[r] + WIDTH).astype("<u4")
-                body = b"".join((np.uint32(len(r)).tobytes(), p.hash[r].astype("<u8").tobytes(), p.ids[p.doc[r]].astype("<i8").tobytes(), p.doc[r].astype("<u4").tobytes(), p.first[r].astype("<u4").tobytes(), n.tobytes(), p.data[ragged(p.first[r], n.astype(np.int64))].tobytes()))
-                for o, v in zip(out, (0, row["number"], int(where[a]), body)):
+                doc, docs = np.unique(p.doc[r], return_inverse=True)
+                n = p.last[r] - p.first[r] + WIDTH
+                head = np.array([len(r), len(doc)], "<u4").tobytes()
+                body = head + squeeze(b"".join((p.ids[doc].astype("<i8").tobytes(), doc.astype("<u4").tobytes(), docs.astype("<u2").tobytes(), p.first[r].astype("<u4").tobytes(), n.astype("u1").tobytes(), p.data[ragged(p.first[r], n)].tobytes())))
+                for o, v in zip(out, (int(where[a]), row["number"], body)):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["kind", "number", "shard", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary()))], ["shard", "number", "body"])
 
     return run
 
@@ -270,26 +285,29 @@ def suffix_groups(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> t
 
 def _settle(part: pa.Table) -> pa.Table:
     """Runs of windows of a shard's pieces that also start in a document with a smaller id."""
+    if part.column("shard")[0].as_py() < 0:
+        return part.select(["number", "body"])
     numbers, blobs = part.column("number").to_pylist(), part.column("body").to_pylist()
     heads: list[tuple] = []
     bodies: list[np.ndarray] = []
     for k, b in enumerate(blobs):
-        n = int(np.frombuffer(b, "<u4", 1)[0])
-        h, i = np.frombuffer(b, "<u8", n, 4), np.frombuffer(b, "<i8", n, 4 + 8 * n)
-        d, f, s = (np.frombuffer(b, "<u4", n, 4 + 16 * n + 4 * n * x) for x in range(3))
-        heads.append((np.full(n, k), h, i, d.astype(np.int64), f.astype(np.int64), s.astype(np.int64)))
-        bodies.append(np.frombuffer(b, np.uint8, -1, 4 + 28 * n))
-    blob, h, ids, doc, first, size = (np.concatenate(x) for x in zip(*heads))
+        n, m = (int(x) for x in np.frombuffer(b, "<u4", 2))
+        b = spread(b[8:]).tobytes()
+        ids, doc, which = np.frombuffer(b, "<i8", m), np.frombuffer(b, "<u4", m, 8 * m).astype(np.int64), np.frombuffer(b, "<u2", n, 12 * m)
+        first, size = np.frombuffer(b, "<u4", n, 12 * m + 2 * n).astype(np.int64), np.frombuffer(b, "u1", n, 12 * m + 6 * n).astype(np.int64)
+        heads.append((np.full(n, k), ids[which], doc[which], first, size))
+        bodies.append(np.frombuffer(b, np.uint8, -1, 12 * m + 7 * n))
+    blob, ids, doc, first, size = (np.concatenate(x) for x in zip(*heads))
     piece = _binary(np.concatenate(bodies), size).dictionary_encode()
     del bodies, blobs
     code, n = piece.indices.to_numpy(), len(piece.dictionary)
     least = np.full(n, np.iinfo(np.int64).max)
     np.minimum.at(least, code, ids)
     # pieces are compared only where an anchor has several
-    rep = np.zeros(n, np.int64)
-    rep[code] = np.arange(len(code))
-    by_anchor = np.argsort(h[rep], kind="stable")
-    edge = np.flatnonzero(np.concatenate([[True], np.diff(h[rep][by_anchor]) != 0]))
+    data, offsets = text_buffer(piece.dictionary)
+    h = anchor_hashes(data, offsets)
+    by_anchor = np.argsort(h, kind="stable")
+    edge = np.flatnonzero(np.concatenate([[True], np.diff(h[by_anchor]) != 0]))
     count = np.diff(np.append(edge, n))
     several = np.sort(by_anchor[np.repeat(count > 1, count)])
     data, offsets = text_buffer(piece.dictionary.take(pa.array(several)))
@@ -350,13 +368,12 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     packs = docs.mapInArrow(_pack, _PACKS).withColumn("number", F.col("number") + F.shiftleft(F.spark_partition_id().cast("long"), 32))
     packs = materialise(packs, "packs")
-    total = packs.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0)).alias("n")).first()["n"]
+    total = documents.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first()["n"]
     shards = max(64, -(-total // SHARD))
-    sets = packs.mapInArrow(_anchor_sets(shards), "shard int, number long, hashes binary, least binary, shared binary")
+    sets = packs.mapInArrow(_anchor_sets(shards), "shard int, number long, hashes binary, twice binary")
     replies = sets.groupBy("shard").applyInArrow(_meet, "number long, shard int, bits binary")
     by_pack = replies.groupBy("number").agg(F.collect_list(F.struct("shard", "bits")).alias("replies"))  # a bit for each anchor of a pack
-    found = materialise(packs.join(by_pack, "number", "left").mapInArrow(_pieces(shards), "kind int, number long, shard int, body binary"), "pieces")
-    settled = found.where("kind = 0").groupBy("shard").applyInArrow(_settle, "number long, body binary")
-    runs = found.where("kind = 1").select("number", "body").union(settled)
+    found = packs.join(by_pack, "number", "left").mapInArrow(_pieces(shards), "shard long, number long, body binary")
+    runs = found.groupBy("shard").applyInArrow(_settle, "number long, body binary")
     gone = materialise(runs.groupBy("number").agg(F.collect_list("body").alias("bodies")), "runs")  # runs within a pack
     return packs.join(gone, "number", "left").mapInArrow(_cut, _DONE)
