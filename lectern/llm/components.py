@@ -39,10 +39,12 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             break
         seen = mark
         both = now.union(now.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # minima are written first: beside an aggregate, a skewed join could not be split
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         # now every edge leads to a smaller node: its smaller neighbours and itself go to the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        large = materialise(large, "large")
+        low = materialise(large.groupBy("b").agg(F.min("a").alias("m")), "least")
         small = large.join(low, "b").select("m", F.explode(F.array("a", "b")).alias("v"))
         now = materialise(small.where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "edges")
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a"), F.col("a")).distinct())

@@ -18,34 +18,48 @@ from lectern.llm.components import components, forest
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the shingles of ``width`` words, repeats included; 0 if there are no words."""
+def _signs(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, width: int = 4, seed: int = 42, second: bool = False) -> tuple[int, int]:
+    """64-bit SimHash of the shingles of ``width`` words, repeats included; 0 if there are no words.
+
+    With ``second``, also a SimHash of the same shingles by another hash.
+    """
     words = text.translate(_LOWER).split()
     n = len(words)
     if not n:
-        return 0
+        return 0, 0
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n <= width:
-        return digest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate([[0], ends[: n - width] + 1]).tolist()
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())), ">u8", n - width + 1)
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
-
-
-def fingerprints(documents: DataFrame, width: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit integer, for every row."""
+        hashes = np.array([digest(joined, seed)], np.uint64)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+        starts = np.concatenate([[0], ends[: n - width] + 1]).tolist()
+        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())), np.uint64, n - width + 1)
+    first = _signs(hashes)
+    if not second:
+        return first, 0
+    hashes *= np.uint64(0x9E3779B97F4A7C15)
+    hashes ^= hashes >> np.uint64(32)
+    return first, _signs(hashes * np.uint64(0xD6E8FEB86659FD93))
+
+
+def fingerprints(documents: DataFrame, width: int = 4, seed: int = 42, second: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id``, ``fp`` and ``second``, fingerprints as signed 64-bit integers, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             raw = data.tobytes()
-            fp = np.fromiter((fingerprint(raw[a:b], width, seed) for a, b in zip(offsets, offsets[1:])), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            both = np.array([fingerprint(raw[a:b], width, seed, second) for a, b in zip(offsets, offsets[1:])], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "fp", "second"])
 
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, second long")
 
 
 #: Node pairs that one step of the traversal holds at most; more are put aside and taken up later.
@@ -54,14 +68,15 @@ _FRONTIER = 1 << 19
 _LEAVES = 16
 
 
-def trie_pairs(keys: np.ndarray, starts: np.ndarray, depth: int, budget: int, other: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(keys: np.ndarray, starts: np.ndarray, depth: int, budget: int, other: np.ndarray | None = None, second: np.ndarray | None = None, most_second: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of all pairs of keys that differ in ``budget`` bits at most.
 
     ``keys`` are sorted within groups that begin at ``starts`` and share their
     first ``depth`` bits; a group is a subtree of a binary trie, a node a range of
     sorted keys.  Pairs of nodes are descended together: equal bits cost
     nothing, crossed ones one, and a pair over the budget is dropped with all
-    that hangs below it.  With ``other``, only pairs of keys for which it differs.
+    that hangs below it.  With ``other``, only pairs of keys for which it differs; with ``second``, only
+    pairs whose second fingerprints differ in ``most_second`` bits at most.
     """
     ends = np.append(starts[1:], len(keys))
     own = ends - starts > 1
@@ -83,6 +98,8 @@ def trie_pairs(keys: np.ndarray, starts: np.ndarray, depth: int, budget: int, ot
             ok = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
             if other is not None:
                 ok &= other[i] != other[j]
+            if second is not None:
+                ok &= np.bitwise_count(second[i] ^ second[j]) <= most_second
             if ok.any():
                 yield i[ok], j[ok]
             al, ah, bl, bh, cost = (x[~few] for x in (al, ah, bl, bh, cost))
@@ -132,9 +149,11 @@ def choose_blocks(n: int, budget: int, bucket: int = 2048) -> tuple[int, int]:
     return budget + agree, agree
 
 
-def links(fps: DataFrame, budget: int = 4, most: int = 1 << 12) -> DataFrame:
+def links(fps: DataFrame, budget: int = 4, most_second: int = 64, most: int = 1 << 14) -> DataFrame:
     """Edges ``(a, b)`` that connect distinct fingerprints ``fp`` which are linked by steps of ``budget`` bits or fewer.
 
+    With ``most_second`` under 64, a step's fingerprints ``second`` may differ in so many bits at most.
+
     Two fingerprints that differ in ``budget`` bits agree in at least ``agree`` of
     ``budget + agree`` blocks.  For each choice of agreeing blocks these are put
     first, so that they name a subtree of the trie, which one task joins with
@@ -151,9 +170,11 @@ def links(fps: DataFrame, budget: int = 4, most: int = 1 << 12) -> DataFrame:
             fp = batch.column(0).to_numpy().view(np.uint64)
             for k, o in enumerate(orders):
                 key = _turned(fp, o)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array((key >> np.uint64(64 - depth[k])).view(np.int64)), pa.array(key.view(np.int64))], ["turn", "node", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array((key >> np.uint64(64 - depth[k])).view(np.int64)), batch.column(1), pa.array(key.view(np.int64))], ["turn", "node", "second", "key"])
 
-    spread_out = fps.select("fp").mapInArrow(spread, "turn int, node long, key long")
+    # where second fingerprints play no part, nothing of them is sent
+    seconds = F.col("second") if most_second < 64 else F.lit(0).cast("long").alias("second")
+    spread_out = fps.select("fp", seconds).mapInArrow(spread, "turn int, node long, second long, key long")
     heavy = materialise(spread_out.groupBy("turn", "node").count().where(F.col("count") > most), "subtrees")
     parts = F.ceil(F.col("count") / (most // 2)).cast("int")
 
@@ -176,9 +197,9 @@ def links(fps: DataFrame, budget: int = 4, most: int = 1 << 12) -> DataFrame:
         def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             for k in np.unique(rows[:, 0]).tolist():
                 own = rows[rows[:, 0] == k]
-                keys = own[:, -1].copy().view(np.uint64)
+                keys, second = own[:, -1].copy().view(np.uint64), own[:, -2].copy().view(np.uint64)
                 order = np.lexsort((keys, *own[:, 1:grouped].T[::-1]))
-                own, keys = own[order], keys[order]
+                own, keys, second = own[order], keys[order], second[order]
                 starts = np.flatnonzero(np.concatenate([[True], (own[1:, :grouped] != own[:-1, :grouped]).any(1)]))
                 side = None
                 if cut:
@@ -186,7 +207,7 @@ def links(fps: DataFrame, budget: int = 4, most: int = 1 << 12) -> DataFrame:
                     lone = np.maximum.reduceat(side, starts) == np.minimum.reduceat(side, starts)
                     side = np.where(np.repeat(lone, np.diff(np.append(starts, len(keys)))), np.arange(len(keys)), side)
                 label, pairs, size = np.arange(len(keys)), [], 0
-                for i, j in trie_pairs(keys, starts, depth[k], budget, side):
+                for i, j in trie_pairs(keys, starts, depth[k], budget, side, second if most_second < 64 else None, most_second):
                     pairs.append((i, j))
                     size += len(i)
                     if size > 1 << 20:
@@ -208,7 +229,7 @@ def links(fps: DataFrame, budget: int = 4, most: int = 1 << 12) -> DataFrame:
         return spread_out.repartition("turn", "node").sortWithinPartitions("turn", "node").mapInArrow(join(False), out)
     light = spread_out.join(heavy, ["turn", "node"], "left_anti").repartition("turn", "node").sortWithinPartitions("turn", "node").mapInArrow(join(False), out)
     cut = spread_out.join(heavy, ["turn", "node"]).withColumn("n", parts).withColumn("part", F.pmod(F.xxhash64("key"), "n").cast("int"))
-    pairs = cut.select("turn", "node", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"), "part", "key").select("turn", "node", (F.least("part", "q") * 65536 + F.greatest("part", "q")).cast("long").alias("pair"), "part", "key")
+    pairs = cut.select("turn", "node", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"), "part", "second", "key").select("turn", "node", (F.least("part", "q") * 65536 + F.greatest("part", "q")).cast("long").alias("pair"), "part", "second", "key")
     return light.union(pairs.repartition("turn", "node", "pair").sortWithinPartitions("turn", "node", "pair").mapInArrow(join(True), out))
 
 
@@ -221,7 +242,7 @@ def _undo(order: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [at[f] for f in sorted(at)]
 
 
-def groups(documents: DataFrame, width: int = 4, budget: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(documents: DataFrame, width: int = 4, budget: int = 4, seed: int = 42, most_second: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest id that links reach, for every row.
 
     Fingerprints are the unit of all that follows: copies are one fingerprint, so
@@ -232,10 +253,10 @@ def groups(documents: DataFrame, width: int = 4, budget: int = 4, seed: int = 42
     a component's id unless all of its ids are null; repeated rows are each
     reported; an empty table gives no rows; further columns are ignored.
     """
-    docs = materialise(fingerprints(documents, width, seed, doc_id, text), "fingerprints")
-    fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = materialise(components(links(fps, budget)), "roots")
+    docs = materialise(fingerprints(documents, width, seed, most_second < 64, doc_id, text), "fingerprints")
+    fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("second").alias("second")), "distinct")
+    roots = materialise(components(links(fps, budget, most_second)), "roots")
     named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     by_fp = materialise(named.join(least, "root").select("fp", "component_id"), "members")
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")

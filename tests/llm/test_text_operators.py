@@ -15,6 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from lectern.llm import decontaminate, queries, simhash, simple8b, tokens, tokenstore
 from lectern.llm.bytepair import vocabulary
 
@@ -214,9 +216,9 @@ def test_simhash_odd_and_cut_subtrees(spark):
     centre = r.integers(0, 2**63, 6, dtype=np.uint64)
     near = [int(c) ^ sum(1 << int(b) for b in r.integers(0, 64, 3)) for c in centre for _ in range(60)]
     fps = sorted(set(near) | {int(x) for x in r.integers(0, 2**63, 100)})
-    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long").withColumn("second", F.lit(0).cast("long"))
     find = brute_components(fps)
-    for most in (1 << 12, 16):
+    for most in (1 << 14, 16):
         edges = [(int(np.int64(e["a"]).view(np.uint64)), int(np.int64(e["b"]).view(np.uint64))) for e in simhash.links(df, most=most).collect()]
         root = {f: f for f in fps}
 
