@@ -117,6 +117,7 @@ def repeated_runs(documents: DataFrame, min_words: int = 50, doc_id: str = "doc_
         named = own.withColumn("last", F.col("line") + F.col("n") - h).join(now.select(*_PLACE, "rank"), _PLACE).join(ends, ["doc", "tie", "last"])
         key = ["n", "rank", "then"]
         first = named.groupBy(*key).agg(F.min(F.struct(*_PLACE)).alias("first"), F.count("*").alias("copies")).where("copies > 1").select(*key, "first")
+        first = materialise(first, "first")  # beside an aggregate, a skewed join could not be split
         later = named.join(first, key).where(F.struct(*_PLACE) > F.col("first")).select(*_PLACE, "n")
         later = materialise(later, "later")
         found = later if found is None else found.union(later)
