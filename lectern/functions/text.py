@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
@@ -140,5 +139,3 @@ def is_folded_label(pattern: str, x: Column) -> Column:
     """Whether some folded line matches a pattern in full."""
     return F.exists(F.split(x, "\n"), lambda l: F.trim(l).rlike(f"^(?:{pattern})$"))
 
-
-SPACE = re.compile(r"\s+")

@@ -157,7 +157,6 @@ def export_counts(turns: DataFrame, documents: DataFrame, group: str) -> DataFra
 
 def export_checks(decisions: DataFrame, retained: DataFrame, documents: DataFrame, keys: list[str], most: int = MAXIMUM_CHUNK_WORDS) -> DataFrame:
     """Named integrity checks of an export, one row each."""
-    spark = decisions.sparkSession
     kept = decisions.where("decision = 'retained'").select(*keys)
     holds = lambda name, frame: frame.agg((F.count("*") == 0).alias("holds")).select(F.lit(name).alias("check_name"), "holds")
     declared = retained.select(*keys, "chunk_count").join(documents.groupBy(*keys).agg(F.count("*").alias("n"), F.max("chunk_index").alias("top"), F.sum("word_count").alias("words")), keys, "left")
@@ -175,5 +174,4 @@ def export_checks(decisions: DataFrame, retained: DataFrame, documents: DataFram
     out = checks[0]
     for c in checks[1:]:
         out = out.unionByName(c)
-    assert spark is not None
     return out
