@@ -145,7 +145,7 @@ def remove_repeats(documents: DataFrame, min_words: int = 50, doc_id: str = "doc
     runs = repeated_runs(source, min_words, doc_id, text)
     gone = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("line", "n")).alias("runs"))
     key = (F.col(doc_id).cast("long") == F.col("doc")) & (_digest_of(F.col(text)) == F.col("tie"))
-    joined = source.join(gone, key, "left")
+    joined = source.join(gone.hint("merge"), key, "left")  # one plan at every size
     gone_lines = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["line"], r["line"] + r["n"] - 1)))))
     every = F.split(F.col(text), "\n")
     removed = F.coalesce(gone_lines, F.array().cast("array<int>"))
