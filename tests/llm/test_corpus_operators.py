@@ -1,6 +1,5 @@
 """Operators 2, 5, 7, 8 and 9 and the pipeline against plain statements of what they do."""
 
-import hashlib
 import math
 import zlib
 
@@ -41,8 +40,6 @@ def test_sql_twins(spark, sf_dir, duck, name):
 
 def brute_lines(docs, least=50):
     """All maximal repeated runs by comparing every window with those before it."""
-    every = [(i, n, line) for i, t in docs for n, line in enumerate(t.split("\n"))]
-    at = {(i, n): k for k, (i, n, _) in enumerate(every)}
     gone = {i: set() for i, _ in docs}
     seen = {}
     for i, t in docs:
@@ -52,7 +49,6 @@ def brute_lines(docs, least=50):
                 if sum(len(x.encode().split()) for x in lines[a:b]) >= least:
                     if seen.setdefault(tuple(lines[a:b]), (i, a)) < (i, a):
                         gone[i] |= {*range(a, b)}
-    assert at is not None
     return gone
 
 
@@ -138,15 +134,14 @@ def brute_bytes(rows, width=50):
     return out
 
 
-def test_suffix_dedup_matches_brute_force(spark, monkeypatch):
+def test_suffix_dedup_matches_brute_force(spark):
     r = np.random.default_rng(2)
     passage = bytes(r.integers(97, 123, 70).tolist()).decode()
     rows = [(k, "".join(r.choice(["ab", "cd ", "é", passage[:49], passage, passage[10:], "xyz" * 20], 12))) for k in range(40)]
     rows += [(40, "a" * 300), (41, "a" * 120), (42, "ab" * 100), (43, passage[:50]), (44, passage[:49]), (45, rows[3][1]), (46, rows[3][1])]
     want = brute_bytes([(i, t.encode()) for i, t in rows])
-    for pack in (1 << 20, 300):  # one pack, and many
-        monkeypatch.setattr(suffixdedup, "PACK", pack)
-        got = suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    for parts in (1, 3, 20):  # one pack, and one for each partition
+        got = suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
         assert {x.doc_id: bytes(x.kept) for x in got} == want
         for x in got:
             raw = dict(rows)[x.doc_id].encode()
@@ -253,6 +248,22 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_both_prunings_keep_the_best(monkeypatch):
+    r = np.random.default_rng(7)
+    v = np.floor(256 * r.normal(size=(500, 5)) * r.choice([0.1, 1, 3], (500, 1))).astype(np.int64)
+    v[100:140] = v[3]
+    rows = list(enumerate((v / 256).tolist()))
+    for cosine in (-2.0, 0.3, 0.75, 9.0):
+        monkeypatch.setattr(topk, "COSINE", cosine)
+        q = np.arange(0, 500, 50)
+        best = topk.Best(q, 5)
+        order = np.argsort(-(v.astype(float) ** 2).sum(1))
+        for at in np.array_split(order, 12):
+            topk.search_bucket(best, v[q], np.sqrt((v[q].astype(float) ** 2).sum(1)), at, v[at])
+        rank = np.arange(len(best.query)) % 5 + 1
+        assert sorted(zip(q[best.query].tolist(), rank.tolist(), best.vec.tolist(), best.score.tolist())) == brute_top(rows)
+
+
 # Pipeline.
 
 
