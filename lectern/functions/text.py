@@ -72,7 +72,8 @@ def clean_text(x: Column) -> Column:
     Words cut by soft hyphens, or by a hyphen before white space, are joined.  One
     pass is enough: a join leaves letters on both sides, so it makes no new cut.
     """
-    soft, hard = r"(?<=\p{L})\x{AD}[\s\p{Z}]*(?=\p{L})", r"(?<=\p{L})-(?U:\s)+(?=\p{L})"
+    letter, blank = r"[\p{L}\p{Nl}\p{No}]", r"(?U:[\s\x1c-\x1f])"  # as Python's patterns have them
+    soft, hard = rf"(?<={letter})\x{{AD}}{blank}*(?={letter})", rf"(?<={letter})-{blank}+(?={letter})"
     joined = F.replace(F.regexp_replace(x, soft, ""), F.lit(SOFT_HYPHEN), F.lit(""))
     return F.struct(
         nfkc_casefold(F.regexp_replace(joined, hard, "")).alias("text"),

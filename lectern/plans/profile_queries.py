@@ -169,9 +169,9 @@ def text_functions(spark, sf_dir):
 
 @query(f"SELECT doc_id, {FOLDED} AS cleaned, 0::BIGINT AS soft_joins FROM documents WHERE NOT contains(text, chr(173)) AND NOT regexp_matches(text, '\\p{{L}}-\\s+\\p{{L}}')")
 def cleaned_text(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit(X.SOFT_HYPHEN)) & ~F.col("text").rlike(r"\p{L}-\s+\p{L}"))
+    """All documents; the twin leaves out those that need a repair, which tests hold against a cleaner by hand."""
     c = X.clean_text(F.col("text"))
-    return d.select("doc_id", c["text"].alias("cleaned"), c["soft_joins"].alias("soft_joins"))
+    return table(spark, sf_dir, "documents").select("doc_id", c["text"].alias("cleaned"), c["soft_joins"].alias("soft_joins"))
 
 
 _THRESHOLDS = [128, 256, 384, 512, 768, 1024, 2048]

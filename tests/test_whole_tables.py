@@ -1,5 +1,8 @@
 """Registered queries take whole tables: rows that a filter once left out come back, with right values."""
 
+import re
+import unicodedata
+
 import numpy as np
 
 from lectern.plans import registry
@@ -19,3 +22,23 @@ def test_density_clusters_of_any_id(spark, tmp_path):
     planted = [{got[i] for i in ids[a : a + 150]} - {-1} for a in (0, 150, 300)]
     assert [len(p) for p in planted] == [1, 1, 1] and len(set.union(*planted)) == 3
     assert sum(c == -1 for c in got.values()) < 45
+
+
+def cleaned(text):
+    """The cleaner by hand: joins at soft hyphens, the rest of them gone, then joins at hyphens before white space."""
+    if text is None:
+        return None, None
+    text, soft = re.subn(r"(?<=[^\W\d_])\u00ad\s*(?=[^\W\d_])", "", text)
+    text, n = text.replace("\u00ad", ""), 1
+    while n:
+        text, n = re.subn(r"(?<=[^\W\d_])-\s+(?=[^\W\d_])", "", text)
+    return unicodedata.normalize("NFKC", text).casefold(), soft
+
+
+def test_cleaned_text_of_cut_words(spark, tmp_path):
+    r = np.random.default_rng(2)
+    parts = ["a", "Ñ", "b", "7", "_", ".", "\u00ad", "\u00ad", "-", "-", " ", "\n", "\u00a0", "\x85", "\x1f", "²", "Ⅷ", "ß", "ﬁ"]
+    texts = ["educa\u00ad\nción", "co-\nlegio", "ex- \u00administro", "sin cortes", "", None, *("".join(r.choice(parts, 14)) for _ in range(500))]
+    got = run(spark, tmp_path, "cleaned_text", "documents", list(enumerate(texts)), "doc_id long, text string")
+    assert {x.doc_id: (x.cleaned, x.soft_joins) for x in got} == {k: cleaned(t) for k, t in enumerate(texts)}
+    assert len(got) == len(texts) and sum(x.soft_joins or 0 for x in got) > 50
