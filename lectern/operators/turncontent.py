@@ -280,12 +280,12 @@ _SPANS = "array<struct<content_span_index:int,segment:int,start:int,end:int,text
 
 
 def content_spans(turns: DataFrame, segments: str = "segments", family: str = "speaker_family") -> DataFrame:
-    """One row for each span of each turn; ``segments`` is an array of texts."""
+    """One row for each span of each turn; ``segments`` is an array of texts, of which a null one is empty."""
 
     @F.pandas_udf(_SPANS)
     def of(texts: pd.Series, families: pd.Series) -> pd.Series:
         def one(x, f):
-            return [{"content_span_index": k, "segment": s.segment, "start": s.start, "end": s.end, "text": s.text, "content_kind": s.kind, "include_in_speech": s.kind == SPOKEN, "classification_method": s.method, "classification_confidence": s.confidence, "word_count": len(s.text.split())} for k, s in enumerate(classify(list(x), f), 1)]
+            return [{"content_span_index": k, "segment": s.segment, "start": s.start, "end": s.end, "text": s.text, "content_kind": s.kind, "include_in_speech": s.kind == SPOKEN, "classification_method": s.method, "classification_confidence": s.confidence, "word_count": len(s.text.split())} for k, s in enumerate(classify([t or "" for t in x], f), 1)]
 
         return pd.Series([one(x if x is not None else [], f if isinstance(f, str) else None) for x, f in zip(texts, families)])
 

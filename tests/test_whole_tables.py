@@ -42,3 +42,18 @@ def test_cleaned_text_of_cut_words(spark, tmp_path):
     got = run(spark, tmp_path, "cleaned_text", "documents", list(enumerate(texts)), "doc_id long, text string")
     assert {x.doc_id: (x.cleaned, x.soft_joins) for x in got} == {k: cleaned(t) for k, t in enumerate(texts)}
     assert len(got) == len(texts) and sum(x.soft_joins or 0 for x in got) > 50
+
+
+#: Texts, the notes in them, and whether anything is left that is speech (every text is followed by one note).
+NOTED = [
+    ("Hola", 0, True), ("", 0, False), (None, 0, False), (" \n ", 0, False), ("Véase el texto en\nel apéndice.", 1, False), ("Pido la palabra.\nVéase la página 3.\nSigo.\n12. Vease el anexo.", 2, True),
+    ("(Aplausos.)", 0, False), ("Gracias. (Risas y aplausos.)", 0, True), ("hubo aplausos y risas", 0, True), ("- no es una nota", 0, True), ("- Se suspende la sesión.", 0, False), ("como véase más abajo", 0, True), ("Véase el texto en el apén-", 1, False),
+]
+
+
+def test_turn_statistics_of_texts_with_notes(spark, tmp_path):
+    roles = ["user", "assistant", "system"]
+    rows = [(k, j, role, text) for k, (text, _, _) in enumerate(NOTED) for j, role in enumerate(roles)]
+    got = run(spark, tmp_path, "turn_statistics", "conversations", rows, "conv_id long, turn long, role string, text string")
+    want = {(k, j): (n + 1, speech and role != "system") for k, (_, n, speech) in enumerate(NOTED) for j, role in enumerate(roles)}
+    assert {(x.conv_id, x.turn): (x.editorial_note_spans, x.has_speech) for x in got} == want
