@@ -166,10 +166,20 @@ def manifest_summary(spark, sf_dir):
     return M.summary(o)
 
 
+def _in_order(spark, sf_dir, chosen):
+    return M.select_in_order(chosen, table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority")
+
+
 @query("WITH s AS (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_partkey % 50 = 0) SELECT s.o_orderkey, o_orderpriority, CASE WHEN o.o_orderkey IS NULL THEN 'not in the manifest' WHEN trim(o_orderpriority) = '' THEN 'o_orderpriority is blank' END AS problem FROM s LEFT JOIN (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0) o USING (o_orderkey)")
 def ordered_selection(spark, sf_dir):
     chosen = table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return M.select_in_order(chosen, table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority")
+    return _in_order(spark, sf_dir, chosen)
+
+
+@query("WITH s AS (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem) SELECT s.o_orderkey, o_orderpriority, CASE WHEN o.o_orderkey IS NULL THEN 'not in the manifest' WHEN trim(o_orderpriority) = '' THEN 'o_orderpriority is blank' END AS problem FROM s LEFT JOIN (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0) o USING (o_orderkey)")
+def ordered_selection_of_all_items(spark, sf_dir):
+    """``ordered_selection`` without its choice of parts."""
+    return _in_order(spark, sf_dir, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct())
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS tags, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS host FROM pages")
@@ -180,9 +190,10 @@ def html_index(spark, sf_dir):
 
 @query("SELECT conv_id, turn, list_filter([{'s': 0, 'e': 10, 'o': 'a'}, {'s': 10, 'e': 12, 'o': 'b'}, {'s': 12, 'e': 40, 'o': 'c'}], lambda f: f.e > turn AND f.s < turn + 8).len() AS fragments, list_sum(list_transform(list_filter([{'s': 0, 'e': 10}, {'s': 10, 'e': 12}, {'s': 12, 'e': 40}], lambda f: f.e > turn AND f.s < turn + 8), lambda f: least(f.e, turn + 8) - greatest(f.s, turn)))::BIGINT AS covered FROM conversations WHERE turn < 30")
 def fragment_slices(spark, sf_dir):
+    """All turns; the twin ends at turn 29, and tests hold later ones."""
     made = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(s).alias("source")) for a, b, s in ((0, 10, "a"), (10, 12, "b"), (12, 40, "c"))])
     cut = C.slice_fragments(made, F.col("turn"), F.col("turn") + 8)
-    return table(spark, sf_dir, "conversations").where("turn < 30").select("conv_id", "turn", F.size(cut).cast("long").alias("fragments"), F.aggregate(cut, F.lit(0).cast("long"), lambda a, f: a + f["end"] - f["start"]).alias("covered"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(cut).cast("long").alias("fragments"), F.aggregate(cut, F.lit(0).cast("long"), lambda a, f: a + f["end"] - f["start"]).alias("covered"))
 
 
 @query("""WITH s AS (SELECT conv_id, turn, turn * 10 AS a, turn * 10 + 5 AS b FROM conversations), g AS (SELECT conv_id, turn AS segment_index, turn * 10 AS ga, turn * 10 + CASE WHEN turn % 2 = 0 THEN 9 ELSE 3 END AS gb FROM conversations)

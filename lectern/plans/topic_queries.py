@@ -105,6 +105,12 @@ def representatives(spark, sf_dir):
     return V.representatives(d, 5, "turn", "vec_id").select("topic", "vec_id", "turn", "rank")
 
 
+@query(f"WITH {_E}, r AS (SELECT *, row_number() OVER (PARTITION BY topic, turn ORDER BY w DESC, vec_id) AS rn FROM dt), b AS (SELECT topic, vec_id, turn, row_number() OVER (PARTITION BY topic ORDER BY CAST(rn > 1 AS INT), w DESC, vec_id) AS rank FROM r) SELECT * FROM b WHERE rank <= 5")
+def representatives_of_all_topics(spark, sf_dir):
+    """``representatives`` without its choice of topics."""
+    return V.representatives(levels(spark, sf_dir)["document"], 5, "turn", "vec_id").select("topic", "vec_id", "turn", "rank")
+
+
 _CENTROID = "x AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, pos, avg(x) AS m FROM x GROUP BY ALL), n AS (SELECT label, sqrt(sum(m * m)) AS n FROM m GROUP BY label)"
 
 

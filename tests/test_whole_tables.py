@@ -57,3 +57,23 @@ def test_turn_statistics_of_texts_with_notes(spark, tmp_path):
     got = run(spark, tmp_path, "turn_statistics", "conversations", rows, "conv_id long, turn long, role string, text string")
     want = {(k, j): (n + 1, speech and role != "system") for k, (_, n, speech) in enumerate(NOTED) for j, role in enumerate(roles)}
     assert {(x.conv_id, x.turn): (x.editorial_note_spans, x.has_speech) for x in got} == want
+
+
+def test_fragment_slices_of_late_turns(spark, tmp_path):
+    rows = [(1, t, "user", "x") for t in (0, 5, 29, 30, 35, 39, 40, 398)]
+    got = run(spark, tmp_path, "fragment_slices", "conversations", rows, "conv_id long, turn long, role string, text string")
+    ranges = [(0, 10), (10, 12), (12, 40)]
+    inside = {t: [min(b, t + 8) - max(a, t) for a, b in ranges if b > t and a < t + 8] for _, t, _, _ in rows}
+    assert {x.turn: (x.fragments, x.covered) for x in got} == {t: (len(n), sum(n)) for t, n in inside.items()}
+
+
+def test_representatives_of_all_topics(spark, sf_dir):
+    got = registry.QUERIES["representatives_of_all_topics"](spark, sf_dir).collect()
+    assert sorted((x.topic, x.rank) for x in got) == [(t, k) for t in range(64) for k in range(1, 6)]
+    first = registry.QUERIES["representatives"](spark, sf_dir).collect()
+    assert sorted(first) == sorted(x for x in got if x.topic < 8)
+
+
+def test_ordered_selection_of_all_items(spark, sf_dir):
+    got = {x.o_orderkey for x in registry.QUERIES["ordered_selection_of_all_items"](spark, sf_dir).collect()}
+    assert got == {x.l_orderkey for x in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().collect()}
