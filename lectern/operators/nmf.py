@@ -38,23 +38,21 @@ def rows_of(weights: DataFrame, vocab: DataFrame, key: str = "doc_id") -> tuple[
     return pairs.select(key, F.transform("p", lambda x: x["i"]).alias("idx"), F.transform("p", lambda x: x["v"]).alias("val")), terms
 
 
-def solve_row(idx: np.ndarray, val: np.ndarray, h: np.ndarray, gram: np.ndarray, w: np.ndarray | None = None, sweeps: int = 30) -> np.ndarray:
-    """Non-negative least squares of one row by coordinate descent."""
-    goal = h[:, idx] @ val
-    w = np.full(len(gram), goal.sum() / max(gram.sum(), 1e-12)) if w is None else w.copy()
+def solve_rows(idx: list[np.ndarray], val: list[np.ndarray], h: np.ndarray, gram: np.ndarray, sweeps: int = 30) -> tuple[np.ndarray, ...]:
+    """Non-negative least squares of rows by coordinate descent; also their products with the components, and each entry's row, term and value."""
+    row = np.repeat(np.arange(len(idx)), [len(x) for x in idx])
+    i, v = np.concatenate(idx), np.concatenate(val).astype(float)
+    goal = np.stack([np.bincount(row, weights=t[i] * v, minlength=len(idx)) for t in h], 1)
+    w = np.repeat(goal.sum(1, keepdims=True) / max(gram.sum(), 1e-12), len(gram), 1)
     for _ in range(sweeps):
         moved = 0.0
-        for k in range(len(w)):
+        for k in range(len(gram)):
             if gram[k, k] > 0:
-                new = max(0.0, w[k] + (goal[k] - gram[k] @ w) / gram[k, k])
-                moved, w[k] = max(moved, abs(new - w[k])), new
+                new = np.maximum(0.0, w[:, k] + (goal[:, k] - w @ gram[k]) / gram[k, k])
+                moved, w[:, k] = max(moved, np.abs(new - w[:, k]).max()), new
         if moved < 1e-9:
             break
-    return w
-
-
-def _dense(value) -> np.ndarray:
-    return np.asarray(value, dtype=float)
+    return w, goal, row, i, v
 
 
 def fit(rows: DataFrame, terms: list[str], k: int, most_iter: int = 100, tol: float = 1e-4, seed: int = 42) -> Factorisation:
@@ -72,12 +70,12 @@ def fit(rows: DataFrame, terms: list[str], k: int, most_iter: int = 100, tol: fl
         def sweep(parts: Iterator[pd.DataFrame], h: np.ndarray = h, gram: np.ndarray = gram) -> Iterator[pd.DataFrame]:
             ww, wx, error = np.zeros((k, k)), np.zeros((k, n)), 0.0
             for part in parts:
-                for idx, val in zip(part["idx"], part["val"]):
-                    i, v = np.asarray(idx), _dense(val)
-                    w = solve_row(i, v, h, gram)
-                    ww += np.outer(w, w)
-                    wx[:, i] += np.outer(w, v)
-                    error += v @ v - 2 * w @ (h[:, i] @ v) + w @ gram @ w
+                if len(part):
+                    w, goal, row, i, v = solve_rows(part["idx"].to_list(), part["val"].to_list(), h, gram)
+                    ww += w.T @ w
+                    for t in range(k):
+                        wx[t] += np.bincount(i, weights=w[row, t] * v, minlength=n)
+                    error += v @ v - 2 * (w * goal).sum() + ((w @ gram) * w).sum()
             for t in range(k):
                 yield pd.DataFrame({"topic": [t], "ww": [ww[t]], "wx": [wx[t]], "error": [error if t == 0 else 0.0]})
 
@@ -109,7 +107,8 @@ def transform(rows: DataFrame, model: Factorisation, key: str = "doc_id") -> Dat
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame({key: part[key], "w": [solve_row(np.asarray(i), _dense(v), h, gram, sweeps=200) for i, v in zip(part["idx"], part["val"])]})
+            if len(part):
+                yield pd.DataFrame({key: part[key], "w": list(solve_rows(part["idx"].to_list(), part["val"].to_list(), h, gram, sweeps=200)[0])})
 
     return rows.mapInPandas(solve, f"{key} {dict(rows.dtypes)[key]}, w array<double>")
 

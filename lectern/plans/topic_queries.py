@@ -250,11 +250,18 @@ def configuration_choice(spark, sf_dir):
     return d.select("lang", T.choose_configuration(F.col("a"), F.col("b")).alias("choice"))
 
 
+#: Sweeps that the reference allows a fit; one that needs more fails.
+MOST_SWEEPS = 400
+
+
 def _factorised(spark, sf_dir):
     _, _, vocab, _, w = tfidf_table(spark, sf_dir)
     rows, terms = N.rows_of(w, vocab)
     rows = rows.persist()
-    return rows, N.fit(rows, terms, 4, most_iter=6)
+    model = N.fit(rows, terms, 4, most_iter=MOST_SWEEPS)
+    if not model.converged:
+        raise RuntimeError(f"the factorisation hasn't converged: {N.metrics(model)}")
+    return rows, model
 
 
 @query()

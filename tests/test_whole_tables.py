@@ -4,8 +4,10 @@ import re
 import unicodedata
 
 import numpy as np
+import pytest
 
-from lectern.plans import registry
+from lectern.operators import nmf
+from lectern.plans import registry, topic_queries
 
 
 def run(spark, tmp_path, name, table, rows, schema):
@@ -77,3 +79,14 @@ def test_representatives_of_all_topics(spark, sf_dir):
 def test_ordered_selection_of_all_items(spark, sf_dir):
     got = {x.o_orderkey for x in registry.QUERIES["ordered_selection_of_all_items"](spark, sf_dir).collect()}
     assert got == {x.l_orderkey for x in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey").distinct().collect()}
+
+
+@pytest.mark.parametrize("name", ["nmf_components", "nmf_prevalence"])
+def test_factorisations_are_finished(spark, sf_dir, monkeypatch, name):
+    fits = []
+    monkeypatch.setattr(topic_queries.N, "fit", lambda *a, f=nmf.fit, **k: fits.append(f(*a, **k)) or fits[-1])
+    assert registry.QUERIES[name](spark, sf_dir).count() > 0
+    assert fits[0].converged and fits[0].errors[-2] - fits[0].errors[-1] <= 1e-4 * fits[0].errors[0]
+    monkeypatch.setattr(topic_queries, "MOST_SWEEPS", fits[0].n_iter - 1)
+    with pytest.raises(RuntimeError):
+        registry.QUERIES[name](spark, sf_dir)
