@@ -8,6 +8,10 @@ A group of copies heavier than a thousandth of all bytes or rows is split into
 parts by its rows' ids first, so that no group stands in a balanced cut's way;
 lighter groups stay together.
 
+A dimension of texts counts by the rank of its distinct values, so texts with
+a common start are as far apart as others; with more than 65,536 distinct
+values, neighbours in rank share a step of the 16 bits.
+
 Medians come from histograms: bytes by node and bin, 4096 bins a round, each
 round looking into the bin that holds the median.  What the driver sees is
 bounded by nodes times bins.  Places within a shard are numbered by sorted
@@ -38,13 +42,19 @@ NEAR = 1 / 4096
 HEAVY = 1 / 1024
 
 
-def _lexical(text: Column) -> Column:
-    """The first six bytes as a number, in the order of the texts."""
-    return F.conv(F.rpad(F.hex(F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def _dimension(name: str, kind: str) -> Column:
+    return F.coalesce(F.col(name), F.lit("")) if kind == "string" else F.coalesce(F.col(name).cast("double"), F.lit(0.0))
 
 
-def _dimension(name: str, kind: str) -> Column:
-    return _lexical(F.col(name)) if kind == "string" else F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+def _ranked(groups: DataFrame, name: str) -> DataFrame:
+    """Texts in column ``name`` become their ranks among its distinct values, by sorted ranges and one count for each."""
+    values = groups.select(name).distinct().repartitionByRange(name).sortWithinPartitions(name).withColumn("place", F.monotonically_increasing_id())
+    values = materialise(values, "values").withColumn("range", F.shiftright("place", 33))
+    counts = values.groupBy("range").agg(F.min("place").alias("first"), F.count("*").alias("n"))  # one row for each range
+    before = F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("range", (before - F.col("first")).alias("shift"))
+    ranks = materialise(values.join(F.broadcast(starts), "range").select(name, (F.col("place") + F.col("shift")).cast("double").alias("rank")), "ranks")
+    return groups.join(ranks, name).drop(name).withColumnRenamed("rank", name)
 
 
 def _node(points: DataFrame, splits: dict[int, tuple[str, int]]) -> DataFrame:
@@ -104,6 +114,8 @@ def kd_shards(documents: DataFrame, target_bytes: int | None = None, n_shards: i
     group = ["hash", "text_crc32", "size"]
     groups = rows.groupBy(*group).agg(F.count("*").alias("n"), *[F.min(n).alias(n) for n in names])
     groups = materialise(groups.withColumn("parts", F.ceil(F.greatest(F.col("n") * F.col("size") / F.lit(max(1.0, HEAVY * all_.bytes)), F.col("n") / F.lit(max(1.0, HEAVY * all_.n)))).cast("int")), "groups")
+    if texts := [n for n, c in zip(names, dimensions) if kinds[c] == "string"]:
+        groups = materialise(reduce(_ranked, texts, groups), "ranked")
     # more than HEAVY of the bytes or rows: 2 / HEAVY groups at most
     heavy = F.broadcast(groups.where("parts > 1").select(*group, "parts", "n").withColumnRenamed("n", "copies"))
     salted = rows.select("doc_id", *group).join(heavy, group, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int"))
