@@ -108,10 +108,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
 def count(df: DataFrame, path: str, limit: int, text: str = "text") -> DataFrame:
     """Add ``n_bytes``, ``n_tokens`` and ``cut_bytes`` of every text.
 
-    Prefix counts answer both questions: ``n_tokens`` is the count of the whole
-    text, ``cut_bytes`` the length of the longest start of the encoding with at
-    most ``limit`` tokens (the whole text if it has no more), found without
-    encoding anything again.
+    Counts at the ends of pieces answer both questions: ``n_tokens`` is the count
+    of the whole text, ``cut_bytes`` the length of the longest start of the
+    encoding with at most ``limit`` tokens (the whole text if it has no more); of
+    a text over the limit, only the piece where it falls is encoded again.
     """
     fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens", "cut_bytes")]
     source, schema = _with(df, fields)
