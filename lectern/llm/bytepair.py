@@ -13,9 +13,8 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Callable, Iterable
-from functools import lru_cache
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +41,6 @@ class Vocabulary:
         self._made = {pair: rank[i] for i, pair in parts.items()}
         self._fits: dict[int, bool] = {}
 
-    @property
-    def in_rank_order(self) -> bool:
-        """Whether ranks alone say how to merge: ids of merges ascend, and each token's last merge is the one that ranks give."""
-        made = sorted(self._parts, key=self._rank.__getitem__)
-        ids = self.id_of
-        return made == sorted(made) and all(_merge(self.token_bytes[i], ids, i) == [self.token_bytes[k] for k in self._parts[i]] for i in made)
-
     @classmethod
     def from_ranks(cls, path: str) -> Vocabulary:
         """A file of base64 tokens and their ranks; a token's id is its rank."""
@@ -66,6 +58,7 @@ class Vocabulary:
         """A file with vocabulary and merges in the JSON form of the tokenizers library."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_json(spec)
         letters = _byte_letters()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         plain = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
@@ -111,60 +104,81 @@ class Vocabulary:
             else:  # equal tokens: the left one is merged first, so undo the right one
                 until, left_ends, right = rank[right], False, can_r[0]
 
+    @cached_property
+    def _endings(self) -> dict[bytes, tuple[int, ...]]:
+        """Lengths of the tokens that end with each three bytes, the longest first."""
+        found: dict[bytes, set[int]] = {}
+        for b in self.id_of:
+            if len(b) > 2:
+                found.setdefault(b[-3:], {1, 2}).add(len(b))
+        return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+
+    def _last_token(self, data: bytes, i: int, last: list[int]) -> int:
+        """Last token of the first ``i`` bytes, from those of all shorter prefixes."""
+        id_of = self.id_of
+        for n in range(i, 0, -1) if i < 3 else self._endings.get(data[i - 3 : i], _SHORT):
+            if n <= i:
+                t = id_of.get(data[i - n : i])
+                if t is not None and (n == i or self.fits(last[i - n], t)):
+                    return t
+        raise ValueError("no token ends here; the vocabulary lacks a single byte")
+
     def prefix_table(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """``last[i]`` for every prefix of ``data``; a table of a shorter prefix is extended, not recomputed."""
-        id_of, token_bytes, fits, longest = self.id_of, self.token_bytes, self.fits, self.longest
         last = [-1] if last is None else last
         for i in range(len(last), len(data) + 1):
-            found = -1
-            for j in range(i - longest if i > longest else 0, i):
-                t = id_of.get(data[j:i])
-                if t is not None and (j == 0 or fits(last[j], t)):
-                    found = t
-                    break
-            if found < 0:
-                raise ValueError("no token ends here; the vocabulary lacks a single byte")
-            last.append(found)
+            last.append(self._last_token(data, i, last))
         return last
 
-    def prefix_counts(self, data: bytes) -> list[int]:
-        """Number of tokens of every prefix of one piece, the empty one first."""
-        counts = [0]
-        for i, t in enumerate(self.prefix_table(data)[1:], 1):
-            counts.append(counts[i - len(self.token_bytes[t])] + 1)
-        return counts
+    def tables(self, pieces: Iterable[bytes]) -> Iterator[tuple[bytes, list[int], list[int]]]:
+        """Every piece with its last tokens and its counts of tokens, both by prefix.
 
-    def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """Ids of many pieces; in sorted order, each keeps the table entries of the prefix it shares with the last."""
-        id_of, size, made, fits = self.id_of, {i: len(b) for i, b in self.token_bytes.items()}, self._fits, self.fits
-        longest, out, before, last = self.longest, {}, b"", [-1]
+        In sorted order, each keeps the entries of the prefix that it shares with the
+        one before; the lists are used again, so take what you need before going on.
+        """
+        id_of, size, known, fits, endings = self.id_of, self.sizes, self._fits, self.fits, self._endings
+        before, last, counts = b"", [-1], [0]
         for data in sorted(pieces):
-            whole = id_of.get(data)
-            if whole is not None:
-                out[data] = [whole]
-                continue
-            n, same = len(data), 0
+            same = 0
             for a, b in zip(data, before):
                 if a != b:
                     break
                 same += 1
-            del last[same + 1 :]
-            for i in range(same + 1, n + 1):
-                for j in range(i - longest if i > longest else 0, i):
-                    t = id_of.get(data[j:i])
+            del last[same + 1 :], counts[same + 1 :]
+            for i in range(same + 1, len(data) + 1):
+                for n in range(i, 0, -1) if i < 3 else endings.get(data[i - 3 : i], _SHORT):
+                    if n > i:
+                        continue
+                    t = id_of.get(data[i - n : i])
                     if t is not None:
-                        if not j:
+                        if n == i:
                             break
-                        ok = made.get(last[j] << 32 | t)
-                        if ok or ok is None and fits(last[j], t):
+                        ok = known.get(last[i - n] << 32 | t)
+                        if ok or ok is None and fits(last[i - n], t):
                             break
                 else:
                     raise ValueError("no token ends here; the vocabulary lacks a single byte")
                 last.append(t)
-            before, ids, i = data, [], n
+                counts.append(counts[i - size[t]] + 1)
+            before = data
+            yield data, last, counts
+
+    @cached_property
+    def sizes(self) -> dict[int, int]:
+        return {i: len(b) for i, b in self.token_bytes.items()}
+
+    def prefix_counts(self, data: bytes) -> list[int]:
+        """Number of tokens of every prefix of one piece, the empty one first."""
+        return next(c for _, _, c in self.tables([data]))
+
+    def encode_pieces(self, pieces: Iterable[bytes]) -> dict[bytes, list[int]]:
+        """Ids of many pieces."""
+        out = {p: [self.id_of[p]] for p in pieces if p in self.id_of}
+        for data, last, _ in self.tables(p for p in pieces if p not in out):
+            ids, i = [], len(data)
             while i:
                 ids.append(last[i])
-                i -= size[last[i]]
+                i -= self.sizes[last[i]]
             out[data] = ids[::-1]
         return out
 
@@ -184,7 +198,7 @@ class Vocabulary:
         new = data[:at] + inserted + data[at + removed :]
         shift, table, same = len(inserted) - removed, last[: at + 1], 0
         for i in range(at + 1, len(new) + 1):
-            self.prefix_table(new[:i], table)
+            table.append(self._last_token(new, i, table))
             old = i - shift
             same = same + 1 if i > at + len(inserted) and old > at + removed and last[old] == table[i] else 0
             if same >= self.longest:
@@ -208,6 +222,10 @@ class Vocabulary:
         return data[ragged(offsets[ids], lengths)], lengths
 
 
+#: Lengths that are tried where no token of three bytes or more ends.
+_SHORT = (2, 1)
+
+
 def _merge(data: bytes, ids: dict[bytes, int], below: int) -> list[bytes]:
     """Plain merging with ranks under ``below``; used on single tokens when a rank file is read."""
     parts = [data[k : k + 1] for k in range(len(data))]
@@ -221,6 +239,26 @@ def _merge(data: bytes, ids: dict[bytes, int], below: int) -> list[bytes]:
 
 # Pieces: what the tokenizer's pattern matches, each encoded by itself.
 
+#: Fixed value: the pattern that ``piece_starts`` says in array operations.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def check_pattern(pattern: str) -> None:
+    """Refuse a tokenizer with another pattern: its ids would come out wrong."""
+    if pattern != PATTERN:
+        raise ValueError(f"pieces are split by {PATTERN!r} only, not by {pattern!r}")
+
+
+def check_json(spec: dict) -> None:
+    """Refuse a tokenizer of the JSON form that does more than byte-level merges within the pattern's pieces."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if not plain or spec.get("normalizer") or model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "ignore_merges", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix")):
+        raise ValueError("only byte-level BPE without a normalizer, with the usual pattern and plain merges, is supported")
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take in white space or stand as whole words only are not supported")
+
+
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 #: Code points with the Unicode property White_Space.
 _WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -314,53 +352,45 @@ class Pieces:
 
 
 class PieceCache:
-    """Remembers a number for each piece, for as many pieces as fit."""
-
-    def __init__(self, of: Callable[[list[bytes]], Iterable[int]], most: int = 1_000_000):
-        self.of, self.most, self.known = of, most, {}
-
-    def __call__(self, pieces: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.most:
-            self.known.clear()
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            new = [p for p, v in zip(pieces, found) if v is None]
-            self.known.update(zip(new, self.of(new)))
-            found = list(map(self.known.get, pieces))
-        return np.array(found, np.int64)
+    """Remembers runs of figures for pieces: all runs one after the other in a few arrays, and each piece's place.
 
+    ``of`` gives, for a list of pieces, arrays of int32 figures and the length of
+    each piece's run.  When what is kept passes ``most`` bytes, all is forgotten.
+    """
 
-class IdCache:
-    """Remembers the ids of pieces: all ids in one array, and each piece's place in it."""
-
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = 1_000_000):
-        self._encode, self._most = encode, most
-        self._place = PieceCache(self._add, 1 << 62)
+    def __init__(self, of: Callable[[list[bytes]], tuple[list[np.ndarray], np.ndarray]], n_arrays: int = 1, most: int = 160 << 20):
+        self._of, self._n_arrays, self._most = of, n_arrays, most
         self._forget()
 
     def _forget(self) -> None:
-        self._place.known.clear()
-        self._ids, self._ends, self._n, self._used = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0, 0
-
-    def _add(self, pieces: list[bytes]) -> Iterable[int]:
-        each = self._encode(pieces)
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        first, start, n = self._n, self._used, int(sizes.sum())
-        while start + n > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        while first + len(each) + 1 > len(self._ends):
+        self._known: dict[bytes, int] = {}
+        self._flat, self._ends = [np.zeros(1 << 16, np.int32) for _ in range(self._n_arrays)], np.zeros(1 << 14, np.int64)
+        self._used = self._bytes = 0
+
+    def _add(self, pieces: list[bytes]) -> None:
+        flat, sizes = self._of(pieces)
+        first, start, n = len(self._known), self._used, int(sizes.sum())
+        while start + n > len(self._flat[0]):
+            self._flat = [np.concatenate([x, np.zeros_like(x)]) for x in self._flat]
+        while first + len(pieces) + 1 > len(self._ends):
             self._ends = np.concatenate([self._ends, np.zeros_like(self._ends)])
-        self._ids[start : start + n] = np.fromiter(chain.from_iterable(each), np.int32, n)
-        self._ends[first + 1 : first + 1 + len(each)] = start + np.cumsum(sizes)
-        self._n, self._used = first + len(each), start + n
-        return range(first, self._n)
-
-    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids, and where each piece's begin and how many they are."""
-        if self._n > self._most:
+        for own, new in zip(self._flat, flat):
+            own[start : start + n] = new
+        self._ends[first + 1 : first + 1 + len(pieces)] = start + np.cumsum(sizes)
+        self._known.update(zip(pieces, range(first, first + len(pieces))))
+        self._used = start + n
+        self._bytes += sum(map(len, pieces)) + 120 * len(pieces) + 4 * n * self._n_arrays
+
+    def __call__(self, pieces: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """All figures, and where each piece's begin and how many they are."""
+        if self._bytes > self._most:
             self._forget()
-        at = self._place(pieces)
-        return self._ids, self._ends[at], self._ends[at + 1] - self._ends[at]
+        found = list(map(self._known.get, pieces))
+        if None in found:
+            self._add([p for p, v in zip(pieces, found) if v is None])
+            found = list(map(self._known.get, pieces))
+        at = np.array(found, np.int64)
+        return self._flat, self._ends[at], self._ends[at + 1] - self._ends[at]
 
 
 @lru_cache(8)
@@ -368,10 +398,10 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary.from_json(path) if path.endswith(".json") else Vocabulary.from_ranks(path)
 
 
-def encode_texts(data: np.ndarray, offsets: np.ndarray, special: Iterable[str], encode: IdCache) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(data: np.ndarray, offsets: np.ndarray, special: Iterable[str], encode: PieceCache) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and n + 1 offsets."""
     p = Pieces(data, offsets, special)
-    flat, begin, size = encode(p.distinct)
+    (flat,), begin, size = encode(p.distinct)
     n = size[p.codes]
     ends = np.concatenate([[0], np.cumsum(n)])
     return flat[ragged(begin[p.codes], n)], ends[p.rows]

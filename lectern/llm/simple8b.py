@@ -23,27 +23,31 @@ _HEAD = struct.Struct("<4sIII")
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
-    n = np.zeros(len(values), np.uint8)
-    rest = values.copy()
-    for k in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1 << k)
-        n[big] += k
-        rest[big] >>= np.uint64(k)
-    return n + rest.astype(np.uint8)
+    high = values >> np.uint64(32)
+    if not high.any():
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)  # exact: a float holds 53 bits
+    low = np.frexp((values & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low).astype(np.uint8)
 
 
 def _selectors(values: np.ndarray) -> np.ndarray:
-    """For a word that would start at each value: the selector with the most fields that holds what follows in its run."""
-    runs = _bits(values).reshape(-1, RUN)
-    best = np.zeros(runs.shape, np.uint8)
-    most, span = runs.copy(), 1  # most: the maximum over ``span`` values
+    """For a word that would start at each value: the selector with the most fields that holds what follows in its run.
+
+    What fits a selector fits all later ones, which have fewer and wider fields, so
+    the number of selectors that fit tells the first of them.
+    """
+    most, span = _bits(values).reshape(-1, RUN), 1  # most: the maximum over ``span`` values
+    fit = np.zeros(most.shape, np.uint8)
     for s in range(15, 0, -1):
         while span < FIELDS[s]:
             step = min(span, int(FIELDS[s]) - span)
             most[:, :-step] = np.maximum(most[:, :-step], most[:, step:])
             span += step
-        best[most <= BITS[s]] = s
-    return best.ravel()
+        ok = most <= BITS[s]
+        if not ok.any():
+            break
+        fit += ok
+    return np.where(fit > 0, 16 - fit, 0).ravel()
 
 
 def pack(values: np.ndarray) -> bytes:

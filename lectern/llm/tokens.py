@@ -2,8 +2,10 @@
 
 Both split texts into the pieces of the tokenizer's pattern with array
 operations, and run the prefix dynamic programme of ``bytepair`` once for each
-distinct piece that a worker meets.  No shuffle; a task's memory is bounded by
-one slice of text and the piece cache.
+distinct piece that a worker meets.  What is kept of a piece: for encoding its
+ids, for counting the number of tokens and the last token's length at every
+byte.  No shuffle; a task's memory is bounded by one slice of text (one text, if
+it is longer) and the bytes of the piece cache.
 
 Defined results: a null or empty text has no tokens; repeated rows are
 encoded each; an empty table gives no rows; further columns are passed through
@@ -14,36 +16,46 @@ then replaces them.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lectern.llm.bytepair import IdCache, PieceCache, Pieces, Vocabulary, encode_texts, vocabulary
+from lectern.llm.bytepair import PATTERN, PieceCache, Pieces, Vocabulary, check_pattern, encode_texts, vocabulary
 from lectern.llm.common import slices, text_buffer
 
-_caches: dict[tuple, object] = {}
+_caches: dict[tuple, PieceCache] = {}
 
 
-def _encoder(v: Vocabulary):
-    """Ids of many pieces; a special token's string, which is a piece by itself, has one id."""
+def _ids(v: Vocabulary) -> PieceCache:
+    """Ids of pieces; a special token's string, which is a piece by itself, has one id."""
     marks = {s.encode(): [i] for s, i in v.special.items()}
 
-    def of(pieces: list[bytes]) -> list[list[int]]:
-        plain = v.encode_pieces([p for p in pieces if p not in marks])
-        return [marks[p] if p in marks else plain[p] for p in pieces]
+    def of(pieces: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        plain = v.encode_pieces([p for p in pieces if p not in marks]) | marks
+        each = [plain[p] for p in pieces]
+        return [np.fromiter(chain.from_iterable(each), np.int32)], np.fromiter(map(len, each), np.int64, len(each))
 
-    return of
+    return PieceCache(of)
 
 
-def _ids(v: Vocabulary) -> IdCache:
-    return IdCache(_encoder(v))
+def _prefixes(v: Vocabulary) -> PieceCache:
+    """For every prefix of a piece but the empty one: how many tokens it has, and the length of its last token.
 
+    A special token's string is one token, at any of its bytes.
+    """
+    marks = {s.encode() for s in v.special}
+
+    def of(pieces: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        size, found = v.sizes, {m: ([1] * len(m), list(range(1, len(m) + 1))) for m in marks}
+        for data, last, counts in v.tables(p for p in pieces if p not in marks):
+            found[data] = counts[1:], [size[t] for t in last[1:]]
+        each = [found[p] for p in pieces]
+        return [np.fromiter(chain.from_iterable(e[k] for e in each), np.int32) for k in (0, 1)], np.fromiter(map(len, pieces), np.int64, len(pieces))
 
-def _counts(v: Vocabulary) -> PieceCache:
-    encode = _encoder(v)
-    return PieceCache(lambda pieces: map(len, encode(pieces)))
+    return PieceCache(of, 2)
 
 
 def worker_cache(path: str, make):
@@ -68,11 +80,13 @@ def _append(part: pa.RecordBatch, names: list[str], added: list[pa.Array]) -> pa
     return pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *names])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """Add the token ids of every text, and with ``decoded`` also the bytes decoded from these ids.
 
-    ``path`` names a vocabulary file that every executor can open.
+    ``path`` names a vocabulary file that every executor can open, ``pattern`` the
+    pattern that it is used with; any but the one that ``bytepair`` knows is refused.
     """
+    check_pattern(pattern)
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
     source, schema = _with(df, fields)
 
@@ -105,37 +119,71 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     return source.mapInArrow(run, schema)
 
 
-def count(df: DataFrame, path: str, limit: int, text: str = "text") -> DataFrame:
-    """Add ``n_bytes``, ``n_tokens`` and ``cut_bytes`` of every text.
+class PrefixCounts:
+    """Token counts of every prefix of some texts, as sums over pieces and a stored table for each distinct piece.
+
+    A prefix that ends inside a piece counts the tokens of that part of the piece;
+    pieces are those of the whole text.
+    """
 
-    Counts at the ends of pieces answer both questions: ``n_tokens`` is the count
-    of the whole text, ``cut_bytes`` the length of the longest start of the
-    encoding with at most ``limit`` tokens (the whole text if it has no more); of
-    a text over the limit, only the piece where it falls is encoded again.
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, v: Vocabulary, cache: PieceCache):
+        self.offsets, self.pieces = offsets, Pieces(data, offsets, v.special)
+        (self.counts, self.widths), self.begin, self.size = cache(self.pieces.distinct)
+        #: tokens before each piece
+        self.until = np.concatenate([[0], np.cumsum(self.counts[self.begin + self.size - 1][self.pieces.codes])])
+        self.first = self.until[self.pieces.rows[:-1]]
+
+    def total(self) -> np.ndarray:
+        return np.diff(self.until[self.pieces.rows])
+
+    def at(self, position: np.ndarray) -> np.ndarray:
+        """Tokens of the first ``position`` bytes of every text (all of it, if it has no more)."""
+        here = np.minimum(self.offsets[:-1] + np.maximum(position, 0), self.offsets[1:])
+        k = np.searchsorted(self.pieces.starts, here, "right") - 1
+        inside = here - self.pieces.starts[np.minimum(k, len(self.pieces.starts) - 1)]
+        part = np.zeros(len(here), np.int64)
+        cut = np.flatnonzero(inside > 0)
+        part[cut] = self.counts[self.begin[self.pieces.codes[k[cut]]] + inside[cut] - 1]
+        return self.until[k] + part - self.first
+
+    def cut(self, row: int, limit: int) -> int:
+        """Bytes of the first ``limit`` tokens of a text that has more."""
+        p, first = self.pieces, int(self.pieces.rows[row])
+        k = int(np.searchsorted(self.until[first : int(p.rows[row + 1]) + 1], self.first[row] + limit, "right")) - 1 + first
+        left = int(self.first[row] + limit - self.until[k])
+        if not left:
+            return int(p.starts[k] - self.offsets[row])
+        begin, i = int(self.begin[p.codes[k]]), int(self.size[p.codes[k]])
+        while self.counts[begin + i - 1] > left:  # back over the piece's tokens
+            i -= int(self.widths[begin + i - 1])
+        return int(p.starts[k] - self.offsets[row]) + i
+
+
+def count(df: DataFrame, path: str, limit: int, text: str = "text", at: str | None = None) -> DataFrame:
+    """Add ``n_bytes``, ``n_tokens`` and ``cut_bytes`` of every text, and with ``at`` also ``tokens_at``.
+
+    ``cut_bytes`` is the length of the first ``limit`` tokens (the whole text if it
+    has no more); ``tokens_at`` is the number of tokens of the first so many bytes,
+    where ``at`` names a column of byte positions (null: the whole text).  All are
+    looked up in stored counts of prefixes; nothing is encoded again.
     """
-    fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens", "cut_bytes")]
+    fields = [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens", "cut_bytes", *(["tokens_at"] if at else []))]
     source, schema = _with(df, fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, cache = vocabulary(path), worker_cache(path, _counts)
+        v, cache = vocabulary(path), worker_cache(path, _prefixes)
         for batch in batches:
             for part in slices(batch, text):
                 data, offsets = text_buffer(part.column(part.schema.get_field_index(text)))
-                p = Pieces(data, offsets, v.special)
-                until = np.concatenate([[0], np.cumsum(cache(p.distinct)[p.codes])])
-                n, size = np.diff(until[p.rows]), np.diff(offsets)
+                p = PrefixCounts(data, offsets, v, cache)
+                n, size = p.total(), np.diff(offsets)
                 cut = size.copy()
                 for k in np.flatnonzero(n > limit):
-                    cut[k] = cut_at(v, p, until, int(p.rows[k]), int(p.rows[k + 1]), limit) - offsets[k]
-                yield _append(part, [f.name for f in fields], [pa.array(x.astype(np.int64)) for x in (size, n, cut)])
+                    cut[k] = p.cut(int(k), limit)
+                found = [size, n, cut]
+                if at:
+                    position = part.column(part.schema.get_field_index(at)).cast(pa.int64())
+                    found.append(p.at(np.where(position.is_null(), size, position.fill_null(0))))
+                yield _append(part, [f.name for f in fields], [pa.array(x.astype(np.int64)) for x in found])
 
     return source.mapInArrow(run, schema)
-
-
-def cut_at(v: Vocabulary, p: Pieces, until: np.ndarray, first: int, end: int, limit: int) -> int:
-    """Byte position after ``limit`` tokens of a text whose pieces are ``first`` to ``end``."""
-    k = int(np.searchsorted(until[first : end + 1], until[first] + limit, "right")) - 1 + first
-    left = int(until[first] + limit - until[k])
-    piece = p.distinct[p.codes[k]]
-    inside = v.encode_piece(piece)[:left] if left else []
-    return int(p.starts[k]) + sum(len(v.token_bytes[t]) for t in inside)

@@ -2,7 +2,7 @@
 
 Documents are dealt out by ranges of their id and sorted within each range, so
 file ``part`` holds a contiguous run of them.  A block holds whole documents and
-about ``BLOCK`` ids: a head (ids of its documents, their lengths, the number of
+``BLOCK`` ids or more, the last one fewer: a head (ids of its documents, their lengths, the number of
 ids in the file before it) and the packed ids.  Spark's writer puts the blocks
 of a part into one file of the store in use, so that a lost executor's part is
 written again and each is committed once.
@@ -18,6 +18,7 @@ gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,34 +30,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.llm import simple8b
-from lectern.llm.bytepair import IdCache, encode_texts, vocabulary
+from lectern.llm.bytepair import PieceCache, check_json, encode_texts
 from lectern.llm.common import slices, text_buffer
 
 #: Ids after which a block is closed.
 BLOCK = 1 << 16
+#: Bytes of text that are split into pieces at once: the more, the fewer times a common piece is looked up.
+SLICE = 8 << 20
 _HEAD = struct.Struct("<4sIQ")
 _BLOCKS = "part int, block long, n_documents long, n_ids long, data binary"
 
 
 @lru_cache(4)
-def _library(path: str) -> tuple[list[str], IdCache]:
-    """Special tokens of a JSON vocabulary, and a library's encoding of pieces.
-
-    Where merges come in the order of ids, tiktoken's merge loop gives the ids of
-    the tokenizers library, and several times as fast for single pieces; else that
-    library is asked.
-    """
-    v = vocabulary(path)
-    special = {s.encode(): [i] for s, i in v.special.items()}
-    if v.in_rank_order:
-        import tiktoken
-
-        one = tiktoken.Encoding(path, pat_str="", mergeable_ranks=v.id_of, special_tokens={})._core_bpe.encode_single_piece
-        return list(v.special), IdCache(lambda pieces: [special[p] if p in special else one(p) for p in pieces])
+def _library(path: str) -> tuple[list[str], PieceCache]:
+    """Special tokens of a JSON vocabulary, and the ids that the tokenizers library gives for pieces, one call for many."""
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    return list(v.special), IdCache(lambda pieces: [t.encode(p.decode(), add_special_tokens=False).ids for p in pieces])
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    check_json(spec)
+    t = Tokenizer.from_str(json.dumps(spec))
+
+    def of(pieces: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+        e = t.encode([p.decode() for p in pieces], is_pretokenized=True, add_special_tokens=False)
+        return [np.array(e.ids, np.int32)], np.bincount(np.array(e.word_ids, np.int64), minlength=len(pieces))
+
+    return [a["content"] for a in spec["added_tokens"]], PieceCache(of)
 
 
 def block_bytes(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, before: int, ids: np.ndarray) -> bytes:
@@ -89,7 +88,7 @@ def blocks(documents: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_
             return out
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 part_id = part.column(2)[0].as_py()
                 data, offsets = text_buffer(part.column(1))
                 ids, ends = encode_texts(data, offsets, special, cache)
@@ -106,8 +105,8 @@ def blocks(documents: DataFrame, path: str, end_id: int = 0, doc_id: str = "doc_
 
 
 def write(documents: DataFrame, path: str, to: str, **kwargs) -> None:
-    """Write the files of ``blocks`` to the folder ``to``."""
-    blocks(documents, path, **kwargs).write.option("compression", "zstd").parquet(to)
+    """Write the files of ``blocks`` to the folder ``to``; packed words gain nothing from another compression."""
+    blocks(documents, path, **kwargs).write.option("compression", "uncompressed").parquet(to)
 
 
 def read(spark: SparkSession, at: str) -> DataFrame:
