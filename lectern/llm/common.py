@@ -27,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share; a temporary one only where none is configured."""
+    """Folder that driver and executors share.  Where none is named, a temporary one serves a local session; a cluster is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="lectern-")
         shared_dir.own = named
     return named.rstrip("/")
@@ -40,7 +42,18 @@ def materialise(df: DataFrame, what: str, compression: str = "zstd") -> DataFram
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more."""
+    for t in tables:
+        if at := getattr(t, "_written_at", None):
+            jvm, spark = t.sparkSession._jvm, t.sparkSession
+            path = jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import discard, materialise
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -24,27 +24,35 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node`` and ``root`` (the smallest node of its component) for every node of the edges ``(a, b)``, ``a`` < ``b``.
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """``node`` and ``root`` (the smallest node of its component) for every node of the edges ``(a, b)``.
 
     Large star: each node's larger neighbours are tied to its smallest one.  Small
     star: its smaller neighbours are.  Minima are pre-aggregated before the
     shuffle; a node with very many neighbours is one skewed join key, which
-    adaptive execution splits.  Rounds grow with the logarithm of the longest path.
+    adaptive execution splits.  Rounds grow with the logarithm of the longest
+    path, and end when every edge leads from a root to a leaf that has no other;
+    if they don't come to that within ``rounds``, an error is raised.
+
+    The result is a table of ``materialise``.
     """
-    now, seen = materialise(edges.select("a", "b").where("a <> b").distinct(), "edges"), None
+    now = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
-        mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if mark[0] == 0 or mark == seen:
+        below = now.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+        if below.where("n > 1").isEmpty() and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
-        seen = mark
         both = now.union(now.select("b", "a")).toDF("u", "v")
         # minima are written first: beside an aggregate, a skewed join could not be split
         low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         # now every edge leads to a smaller node: its smaller neighbours and itself go to the smallest of them
         large = materialise(large, "large")
-        low = materialise(large.groupBy("b").agg(F.min("a").alias("m")), "least")
-        small = large.join(low, "b").select("m", F.explode(F.array("a", "b")).alias("v"))
-        now = materialise(small.where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "edges")
-    return now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a"), F.col("a")).distinct())
+        least = materialise(large.groupBy("b").agg(F.min("a").alias("m")), "least")
+        small = large.join(least, "b").select("m", F.explode(F.array("a", "b")).alias("v"))
+        before, now = now, materialise(small.where("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "edges")
+        discard(before, low, large, least)
+    else:
+        raise RuntimeError(f"components are not settled after {rounds} rounds")
+    out = materialise(now.select(F.col("b").alias("node"), F.col("a").alias("root")).union(now.select(F.col("a"), F.col("a")).distinct()), "roots")
+    discard(now)
+    return out

@@ -7,9 +7,15 @@ gives every line's probability of being good, and a document's score is their
 mean, weighted with the lines' lengths.
 
 The field is fitted on the driver by L-BFGS from at most ``TRAIN_DOCUMENTS``
-labelled documents of at most ``TRAIN_LINES`` lines each, chosen by a hash of
-their id; each line takes its document's label.  Only figures of lines travel
-to the driver, so this is bounded, and nothing else is sampled.
+labelled documents, chosen by a hash of their id, and at most ``TRAIN_LINES``
+lines of each in a row, from a place that the hash chooses; each line takes its
+document's label.  Only figures of lines travel to the driver, so this is
+bounded, and nothing else is sampled.
+
+Figures are made for ``BLOCK_BYTES`` of text at a time, cut between lines, and
+only three numbers of each line are kept; chains of more than ``SEGMENT`` lines are
+cut into segments, which pass messages on.  So neither many lines nor long
+chains need much: some 100 bytes a line, and steps with the root of the length.
 
 Defined results: a null or empty text is one empty line; a document with
 several labels takes the smallest; null labels don't count; without labels
@@ -28,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import slices, text_buffer
+from lectern.llm.common import ragged, slices, text_buffer
 
 #: Most documents and most lines of each in the training sample.
 TRAIN_DOCUMENTS, TRAIN_LINES = 4000, 400
+#: Bytes of text whose figures are made at once (one line, if it is longer); lines of a chain's segment.
+BLOCK_BYTES, SEGMENT = 256 << 10, 1024
 
 _KINDS = [  # bytes that are counted, each kind relative to the line's length
     range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), b" \t", b"!?", b"|", b"#$%&*+=~^@_<>{}[]\\/`", b".", b",;:", b"'\"()-", range(0x80, 0x100),
@@ -98,6 +106,13 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return out, length, rows
 
 
+def text_rows(column: pa.Array) -> Iterator[np.ndarray]:
+    """Bytes of each text."""
+    data, offsets = text_buffer(column)
+    for a, b in zip(offsets, offsets[1:]):
+        yield data[a:b]
+
+
 def with_neighbours(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Each line's figures, then those of the lines before and after it (0 beyond the text)."""
     before, after = np.zeros_like(x), np.zeros_like(x)
@@ -107,28 +122,97 @@ def with_neighbours(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.concatenate([x, before, after], 1)
 
 
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts in runs of about ``BLOCK_BYTES``; a longer text is cut at line breaks, which are left out there."""
+    small = np.diff(offsets) <= BLOCK_BYTES
+    k = 0
+    while k < len(small):
+        if not small[k]:
+            a, end = int(offsets[k]), int(offsets[k + 1])
+            while end - a > BLOCK_BYTES:
+                near = np.flatnonzero(data[a + BLOCK_BYTES : min(end, a + 2 * BLOCK_BYTES)] == 0x0A)
+                cut = a + BLOCK_BYTES + int(near[0]) if len(near) else data.tobytes().find(b"\n", a + BLOCK_BYTES, end)
+                if cut < 0:
+                    break
+                yield data[a:cut], np.array([0, cut - a])
+                a = cut + 1
+            yield data[a:end], np.array([0, end - a])
+            k += 1
+            continue
+        far = np.flatnonzero((offsets[k + 1 :] - offsets[k] > BLOCK_BYTES) | ~small[k:])
+        j = k + max(1, int(far[0])) if len(far) else len(small)
+        yield data[offsets[k] : offsets[j]], offsets[k : j + 1] - offsets[k]
+        k = j
+
+
+def line_odds(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every line's score for good against bad, lines' lengths, and the first line of each text (one more at the end)."""
+    three = weights.reshape(3, -1).T  # of a line's own figures, of those before it, of those after it
+    parts = [(x @ three, length) for x, length, _ in (line_features(*p) for p in _pieces(data, offsets))]
+    if not parts:
+        return np.zeros(0), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    own, length = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    breaks = _sums(data == 0x0A, offsets)
+    rows = np.concatenate([[0], np.cumsum(breaks + 1)])
+    odds, before, after = own[:, 0].copy(), np.zeros(len(own)), np.zeros(len(own))
+    before[1:], after[:-1] = own[:-1, 1], own[1:, 2]
+    before[rows[:-1]] = after[rows[1:] - 1] = 0
+    return odds + before + after, length, rows
+
+
+def messages(score: np.ndarray, ties: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log weight of all labellings up to each line, by that line's label, for the chains that begin at ``rows``.
+
+    Chains are cut into segments.  All segments run side by side, from either label
+    of the line before; their results are joined chain by chain; then they run
+    again with what came in.
+    """
+    n = np.diff(rows)
+    per = -(-n // SEGMENT)
+    first = ragged(np.zeros(len(n), np.int64), per) * SEGMENT + np.repeat(rows[:-1], per)
+    size = np.minimum(SEGMENT, np.repeat(rows[1:], per) - first)
+    order = np.argsort(-size, kind="stable")
+
+    def run(which: np.ndarray, begin: np.ndarray, out: np.ndarray | None) -> np.ndarray:
+        """Messages at the ends of the segments ``which``, longest first; ``begin`` is added to their first lines."""
+        now = score[first[which]] + begin
+        if out is not None:
+            out[first[which]] = now
+        for t in range(1, int(size[which].max(initial=0))):
+            k = int(np.searchsorted(-size[which], -t, "left"))
+            was, at = now[:k], first[which[:k]] + t
+            now[:k] = np.stack([np.logaddexp(was[:, 0] + ties[0, y], was[:, 1] + ties[1, y]) for y in (0, 1)], 1) + score[at]
+            if out is not None:
+                out[at] = now[:k]
+        return now
+
+    begin = np.zeros((len(first), 2))
+    ahead = np.concatenate([[0], np.cumsum(per)])
+    if len(long := np.flatnonzero(per > 1)):
+        which = order[np.isin(order, ragged(ahead[long], per[long] - 1))]
+        passed = np.zeros((2, len(first), 2))
+        for y in (0, 1):
+            start = np.full((len(which), 2), -np.inf)
+            start[:, y] = 0
+            passed[y, which] = run(which, start, None)
+        for c in long:
+            for s in range(ahead[c], ahead[c + 1] - 1):
+                end = np.logaddexp(begin[s, 0] + passed[0, s], begin[s, 1] + passed[1, s])
+                begin[s + 1] = np.logaddexp(end[0] + ties[0], end[1] + ties[1])
+    out = np.zeros_like(score)
+    run(order, begin[order], out)
+    return out
+
+
 def forward_backward(odds: np.ndarray, ties: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
     """Probability that each line is good, the log partition sum, and expected counts of label pairs.
 
     ``odds`` is each line's score for good against bad, ``ties`` the 2 x 2 weights of
-    neighbouring labels.  Step ``t`` handles line ``t`` of all chains that have one.
+    neighbouring labels; backwards is forwards with lines and ties turned round.
     """
-    n = np.diff(rows)
-    order = np.argsort(-n, kind="stable")
-    first, n = rows[:-1][order], n[order]
-    active = np.searchsorted(-n, -np.arange(1, n[0] + 1), "right") if len(n) else []
     score = np.stack([np.zeros(len(odds)), odds], 1)
-    ahead, back = score.copy(), np.zeros_like(score)
-    for t in range(1, len(active)):
-        now = first[: active[t]] + t
-        was = ahead[now - 1]
-        for y in (0, 1):
-            ahead[now, y] += np.logaddexp(was[:, 0] + ties[0, y], was[:, 1] + ties[1, y])
-    for t in range(len(active) - 1, 0, -1):
-        now = first[: active[t]] + t
-        then = back[now] + score[now]
-        for y in (0, 1):
-            back[now - 1, y] = np.logaddexp(then[:, 0] + ties[y, 0], then[:, 1] + ties[y, 1])
+    ahead = messages(score, ties, rows)
+    back = messages(score[::-1], ties.T, len(odds) - rows[::-1])[::-1] - score
     both = ahead + back
     total = np.logaddexp(both[:, 0], both[:, 1])
     good = np.exp(both[:, 1] - total)
@@ -136,7 +220,7 @@ def forward_backward(odds: np.ndarray, ties: np.ndarray, rows: np.ndarray) -> tu
     inner[rows[:-1]] = False
     at = np.flatnonzero(inner)
     pairs = np.array([[np.exp(ahead[at - 1, a] + ties[a, b] + score[at, b] + back[at, b] - total[at]).sum() for b in (0, 1)] for a in (0, 1)])
-    return good, float(total[rows[:-1]].sum()) if len(n) else 0.0, pairs
+    return good, float(total[rows[:-1]].sum()), pairs
 
 
 def minimise(f, x: np.ndarray, steps: int = 300, memory: int = 8) -> np.ndarray:
@@ -198,13 +282,16 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
     body = F.coalesce(F.col(text), F.lit(""))
     own = documents.select(F.col(doc_id).alias("doc_id"), body.alias("text")).join(F.broadcast(chosen), "doc_id")  # TRAIN_DOCUMENTS rows
-    own = own.where(F.size(F.split("text", "\n")) <= TRAIN_LINES).select("doc_id", "quality", "text")
+    own = own.select("doc_id", "quality", "text", F.xxhash64("doc_id").alias("hash"))
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                x, _, rows = line_features(*text_buffer(part.column(2)))
-                each = [x[a:b].astype(np.float32).tobytes() for a, b in zip(rows, rows[1:])]
+                each = []
+                for t, h in zip(text_rows(part.column(2)), part.column(3).to_pylist()):
+                    x = np.concatenate([line_features(*p)[0].astype(np.float32) for p in _pieces(t, np.array([0, len(t)]))])
+                    at = h % max(1, len(x) - TRAIN_LINES + 1)
+                    each.append(x[at : at + TRAIN_LINES].tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(each, pa.binary())], ["doc_id", "quality", "x"])
 
     got = own.mapInArrow(figures, "doc_id long, quality int, x binary").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(TRAIN_DOCUMENTS).toArrow()
@@ -227,8 +314,8 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
-                x, length, rows = line_features(*text_buffer(part.column(part.schema.get_field_index(text))))
-                good, _, _ = forward_backward(with_neighbours(x, rows) @ weights, ties, rows)
+                odds, length, rows = line_odds(*text_buffer(part.column(part.schema.get_field_index(text))), weights)
+                good, _, _ = forward_backward(odds, ties, rows)
                 mean = np.add.reduceat(good * length, rows[:-1]) / np.add.reduceat(length, rows[:-1])
                 new = [pa.array(np.clip(mean, 0, 1))]
                 if lines:

@@ -1,4 +1,16 @@
-"""SimHash near-duplicates by a binary trie self-join (operator 4)."""
+"""SimHash near-duplicates by a binary trie self-join (operator 4).
+
+``groups`` links fingerprints themselves: two are linked if they differ in
+``budget`` bits at most.  ``near_copies`` uses the same self-join to find
+candidates for a similarity of shingle sets: several fingerprints of a text, a
+candidate wherever one of them is near, and a check of the sets afterwards.
+
+Defined results of both: null and empty texts have no shingles, fingerprint 0, and
+are copies of each other; repeated rows are each reported; an empty table gives
+no rows; further columns are ignored, whatever their names.  Rows with a null
+id are reported by ``groups`` (a null is never a component's id unless all of
+its ids are null) and take no part in ``near_copies``.
+"""
 
 from __future__ import annotations
 
@@ -11,55 +23,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, ragged, text_buffer
+from lectern.llm.common import discard, materialise, ragged, text_buffer
 from lectern.llm.components import components, forest
 
 #: A-Z to a-z; other bytes stay.
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th hash of the same shingles, 0 being the one given."""
+    if not k:
+        return hashes
+    out = hashes ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return out * np.uint64(0x94D049BB133111EB)
+
+
 def _signs(hashes: np.ndarray) -> int:
     """Bits that are set in over half of the hashes."""
     ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42, second: bool = False) -> tuple[int, int]:
-    """64-bit SimHash of the shingles of ``width`` words, repeats included; 0 if there are no words.
-
-    With ``second``, also a SimHash of the same shingles by another hash.
-    """
+def shingles(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle of ``width`` words, repeats included; of all words, if they are fewer."""
     words = text.translate(_LOWER).split()
     n = len(words)
     if not n:
-        return 0, 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if n <= width:
-        hashes = np.array([digest(joined, seed)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[: n - width] + 1]).tolist()
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())), np.uint64, n - width + 1)
-    first = _signs(hashes)
-    if not second:
-        return first, 0
-    hashes *= np.uint64(0x9E3779B97F4A7C15)
-    hashes ^= hashes >> np.uint64(32)
-    return first, _signs(hashes * np.uint64(0xD6E8FEB86659FD93))
-
-
-def fingerprints(documents: DataFrame, width: int = 4, seed: int = 42, second: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` and ``second``, fingerprints as signed 64-bit integers, for every row."""
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], ends[: n - width] + 1]).tolist()
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends[width - 1 :].tolist())), np.uint64, n - width + 1)
+
+
+def fingerprints(documents: DataFrame, width: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id`` and ``fp``, the 64-bit SimHash of all shingles as a signed integer, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             raw = data.tobytes()
-            both = np.array([fingerprint(raw[a:b], width, seed, second) for a, b in zip(offsets, offsets[1:])], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_id", "fp", "second"])
+            own = np.array([_signs(h) if len(h := shingles(raw[a:b], width, seed)) else 0 for a, b in zip(offsets, offsets[1:])], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.view(np.int64))], ["doc_id", "fp"])
 
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long, second long")
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 #: Node pairs that one step of the traversal holds at most; more are put aside and taken up later.
@@ -149,32 +161,58 @@ def choose_blocks(n: int, budget: int, bucket: int = 2048) -> tuple[int, int]:
     return budget + agree, agree
 
 
-def links(fps: DataFrame, budget: int = 4, most_second: int = 64, most: int = 1 << 14) -> DataFrame:
-    """Edges ``(a, b)`` that connect distinct fingerprints ``fp`` which are linked by steps of ``budget`` bits or fewer.
-
-    With ``most_second`` under 64, a step's fingerprints ``second`` may differ in so many bits at most.
+def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the edges between ``a`` and ``b`` make up the minimum spanning forest; equal weights count in the order given."""
+    order = np.argsort(weight, kind="stable")
+    nodes, place = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    a, b, none = place[: len(order)], place[len(order) :], len(order)
+    label, open_, taken = np.arange(len(nodes)), np.arange(len(order)), []
+    while True:
+        la, lb = label[a[open_]], label[b[open_]]
+        apart = la != lb
+        open_, la, lb = open_[apart], la[apart], lb[apart]
+        if not len(open_):
+            return order[np.concatenate([*taken, np.zeros(0, np.int64)]).astype(np.int64)]
+        least = np.full((2, len(nodes)), none)
+        least[0, la[::-1]], least[1, lb[::-1]] = open_[::-1], open_[::-1]  # the first edge is written last
+        best = least.min(0)
+        pick = np.unique(best[best < none])
+        taken.append(pick)
+        label = forest(len(nodes), label[a[pick]], label[b[pick]])[label]
+
+
+def links(nodes: DataFrame, fps: tuple[str, ...] = ("fp",), budget: int = 4, most_second: int = 64, most: int = 1 << 14) -> DataFrame:
+    """Edges ``(a, b)`` between nodes ``id`` that connect all nodes of which one fingerprint differs in ``budget`` bits or fewer.
+
+    With ``most_second`` under 64, the fingerprints that come after the near ones
+    in ``fps`` (the first ones, after the last) may differ in so many bits at most.
 
     Two fingerprints that differ in ``budget`` bits agree in at least ``agree`` of
     ``budget + agree`` blocks.  For each choice of agreeing blocks these are put
     first, so that they name a subtree of the trie, which one task joins with
-    itself.  A task passes on only edges that connect what it had not connected
-    yet.  A subtree of more than ``most`` fingerprints is cut into parts, and
-    every two parts are joined by a task of their own; nothing is left out.
+    itself.  Of the pairs it finds, a task passes on the minimum spanning forest,
+    by bits that differ in both fingerprints and then by a hash of the pair: edges
+    that most tasks with the same nodes agree on, so a group costs edges in
+    proportion to its size.  A subtree of more than ``most`` nodes is cut into
+    parts, and every two parts are joined by a task of their own; nothing is
+    left out.
     """
-    n_blocks, agree = choose_blocks(fps.count(), budget)
+    n_blocks, agree = choose_blocks(nodes.count(), budget)
     orders = turns(n_blocks, agree)
     depth = [sum(w for _, w in o[:agree]) for o in orders]
+    strict = most_second < 64
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for k, o in enumerate(orders):
-                key = _turned(fp, o)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array((key >> np.uint64(64 - depth[k])).view(np.int64)), batch.column(1), pa.array(key.view(np.int64))], ["turn", "node", "second", "key"])
-
-    # where second fingerprints play no part, nothing of them is sent
-    seconds = F.col("second") if most_second < 64 else F.lit(0).cast("long").alias("second")
-    spread_out = fps.select("fp", seconds).mapInArrow(spread, "turn int, node long, second long, key long")
+            own = [c.to_numpy().view(np.uint64) for c in batch.columns[1:]]
+            for f, fp in enumerate(own):
+                second = pa.array(own[(f + 1) % len(own)].view(np.int64) if strict else np.zeros(len(fp), np.int64))
+                for k, o in enumerate(orders):
+                    key = _turned(fp, o)
+                    turn = pa.array(np.full(len(fp), f * len(orders) + k, np.int32))
+                    yield pa.RecordBatch.from_arrays([turn, pa.array((key >> np.uint64(64 - depth[k])).view(np.int64)), second, batch.column(0), pa.array(key.view(np.int64))], ["turn", "node", "second", "id", "key"])
+
+    spread_out = nodes.select("id", *fps).mapInArrow(spread, "turn int, node long, second long, id long, key long")
     heavy = materialise(spread_out.groupBy("turn", "node").count().where(F.col("count") > most), "subtrees")
     parts = F.ceil(F.col("count") / (most // 2)).cast("int")
 
@@ -195,32 +233,33 @@ def links(fps: DataFrame, budget: int = 4, most_second: int = 64, most: int = 1
                 yield from found(np.concatenate(rest))
 
         def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in np.unique(rows[:, 0]).tolist():
-                own = rows[rows[:, 0] == k]
-                keys, second = own[:, -1].copy().view(np.uint64), own[:, -2].copy().view(np.uint64)
+            for turn in np.unique(rows[:, 0]).tolist():
+                own = rows[rows[:, 0] == turn]
+                keys = own[:, -1].copy().view(np.uint64)
                 order = np.lexsort((keys, *own[:, 1:grouped].T[::-1]))
-                own, keys, second = own[order], keys[order], second[order]
+                own, keys = own[order], keys[order]
+                ids, second = own[:, -2].copy(), own[:, -3].copy().view(np.uint64)
                 starts = np.flatnonzero(np.concatenate([[True], (own[1:, :grouped] != own[:-1, :grouped]).any(1)]))
                 side = None
                 if cut:
                     side = own[:, 3]
                     lone = np.maximum.reduceat(side, starts) == np.minimum.reduceat(side, starts)
                     side = np.where(np.repeat(lone, np.diff(np.append(starts, len(keys)))), np.arange(len(keys)), side)
-                label, pairs, size = np.arange(len(keys)), [], 0
-                for i, j in trie_pairs(keys, starts, depth[k], budget, side, second if most_second < 64 else None, most_second):
+                a, b, pairs, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+                for i, j in trie_pairs(keys, starts, depth[turn % len(orders)], budget, side, second if strict else None, most_second):
                     pairs.append((i, j))
                     size += len(i)
                     if size > 1 << 20:
-                        label, pairs, size = tie(label, pairs), [], 0
-                label = tie(label, pairs)
-                back = _turned(keys, _undo(orders[k]))
-                tied = np.flatnonzero(label != np.arange(len(keys)))
-                a, b = back[label[tied]].view(np.int64), back[tied].view(np.int64)
+                        (a, b), pairs, size = tie(keys, second, ids, [*pairs, (a, b)]), [], 0
+                a, b = tie(keys, second, ids, [*pairs, (a, b)])
+                a, b = ids[a], ids[b]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        def tie(label: np.ndarray, pairs: list) -> np.ndarray:
-            a, b = zip(*pairs, (np.arange(len(label)), label))
-            return forest(len(label), np.concatenate(a), np.concatenate(b))
+        def tie(keys: np.ndarray, second: np.ndarray, ids: np.ndarray, pairs: list) -> tuple[np.ndarray, np.ndarray]:
+            a, b = map(np.concatenate, zip(*pairs))
+            far = (np.bitwise_count(keys[a] ^ keys[b]) + np.bitwise_count(second[a] ^ second[b])).astype(np.uint64)
+            own = spanning(a, b, far << np.uint64(56) | _mixed((ids[a] ^ ids[b]).view(np.uint64), 1) >> np.uint64(8))
+            return a[own], b[own]
 
         return run
 
@@ -228,35 +267,87 @@ def links(fps: DataFrame, budget: int = 4, most_second: int = 64, most: int = 1
     if heavy.isEmpty():
         return spread_out.repartition("turn", "node").sortWithinPartitions("turn", "node").mapInArrow(join(False), out)
     light = spread_out.join(heavy, ["turn", "node"], "left_anti").repartition("turn", "node").sortWithinPartitions("turn", "node").mapInArrow(join(False), out)
-    cut = spread_out.join(heavy, ["turn", "node"]).withColumn("n", parts).withColumn("part", F.pmod(F.xxhash64("key"), "n").cast("int"))
-    pairs = cut.select("turn", "node", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"), "part", "second", "key").select("turn", "node", (F.least("part", "q") * 65536 + F.greatest("part", "q")).cast("long").alias("pair"), "part", "second", "key")
+    cut = spread_out.join(heavy, ["turn", "node"]).withColumn("n", parts).withColumn("part", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    rest = ["part", "second", "id", "key"]
+    pairs = cut.select("turn", "node", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"), *rest).select("turn", "node", (F.least("part", "q") * 65536 + F.greatest("part", "q")).cast("long").alias("pair"), *rest)
     return light.union(pairs.repartition("turn", "node", "pair").sortWithinPartitions("turn", "node", "pair").mapInArrow(join(True), out))
 
 
-def _undo(order: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The blocks of a turned fingerprint in their first order, by where they are now."""
-    at, now = {}, 0
-    for first, width in order:
-        at[first] = (now, width)
-        now += width
-    return [at[f] for f in sorted(at)]
-
-
-def groups(documents: DataFrame, width: int = 4, budget: int = 4, seed: int = 42, most_second: int = 64, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(documents: DataFrame, width: int = 4, budget: int = 4, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id``, the smallest id that links reach, for every row.
 
     Fingerprints are the unit of all that follows: copies are one fingerprint, so
     a group of copies, however large, is one node.  Only the last join meets them
     again; its key may be skewed, which adaptive execution splits.
-
-    Defined results: null and empty texts have fingerprint 0; a null id never is
-    a component's id unless all of its ids are null; repeated rows are each
-    reported; an empty table gives no rows; further columns are ignored.
     """
-    docs = materialise(fingerprints(documents, width, seed, most_second < 64, doc_id, text), "fingerprints")
-    fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("second").alias("second")), "distinct")
-    roots = materialise(components(links(fps, budget, most_second)), "roots")
+    docs = materialise(fingerprints(documents, width, seed, doc_id, text), "fingerprints")
+    fps = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(fps.select(F.col("fp").alias("id"), "fp"), budget=budget))
     named = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = materialise(named, "roots")
     least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     by_fp = materialise(named.join(least, "root").select("fp", "component_id"), "members")
+    discard(fps, roots, named, least)
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def _sets(width: int, seed: int, count: int):
+    """Arrow step: each text's set of shingles as a hash, and ``count`` fingerprints of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(2))
+            raw, out = data.tobytes(), np.zeros((len(batch), count + 1), np.uint64)
+            for k, (a, b) in enumerate(zip(offsets, offsets[1:])):
+                h = np.unique(shingles(raw[a:b], width, seed))
+                if len(h):
+                    out[k, 0] = _mixed(h, count).sum(dtype=np.uint64)
+                    out[k, 1:] = [_signs(_mixed(h, f)) for f in range(count)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c.copy()) for c in out.view(np.int64).T)], ["doc_id", "tie", "id", *(f"fp{f}" for f in range(count))])
+
+    return run
+
+
+def near_copies(
+    documents: DataFrame, similarity: float = 0.8, width: int = 5, count: int = 5, budget: int = 8, most_second: int = 20, seed: int = 42, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """``doc_id``, ``tie`` (hash of the text) and ``first``, the smallest ``(doc_id, tie)`` of its group, for every row with an id.
+
+    Texts with the same set of shingles (words in lower case) are copies.  Two
+    others are candidates if one of ``count`` fingerprints of their sets differs in
+    ``budget`` bits at most, and the next one in ``most_second``; ``links`` passes on
+    a spanning forest of candidates, the nearest first.  Of these, links between
+    sets with a Jaccard similarity of ``similarity`` or more hold, which is checked
+    on the whole sets; groups are what such links connect.  A document is an id
+    and a text: texts that share an id are told apart, rows that repeat both are
+    one document.
+
+    A set is named by a 64-bit hash and a shingle by XXH64.
+    """
+    names = [f"fp{f}" for f in range(count)]
+    source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    docs = materialise(source.mapInArrow(_sets(width, seed, count), f"doc_id long, tie long, id long, {', '.join(f'{n} long' for n in names)}"), "sets")
+    sets = materialise(docs.groupBy("id").agg(F.min(F.struct("doc_id", "tie")).alias("least"), *[F.min(n).alias(n) for n in names]), "distinct")
+    edges = materialise(links(sets, tuple(names), budget, most_second).distinct(), "edges")
+    involved = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "least.*"), "id")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            raw = data.tobytes()
+            each = [np.unique(shingles(raw[a:b], width, seed)).view(np.int64) for a, b in zip(offsets, offsets[1:])]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*each, np.zeros(0, np.int64)])))], ["id", "own"])
+
+    texts = source.join(involved, ["doc_id", "tie"]).select("id", "text").mapInArrow(whole, "id long, own array<long>")
+    texts = materialise(texts.dropDuplicates(["id"]), "shingles")
+    both = edges.join(texts.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
+    low, high = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    holds = both.where((low >= similarity * high) & (shared >= similarity * (low + high - shared))).select("a", "b")
+    roots = components(holds)
+    named = materialise(sets.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root")), "roots")
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("first")), "firsts")
+    by_set = materialise(named.join(least, "root").select("id", "first"), "members")
+    discard(sets, edges, texts, roots, named, least)
+    return docs.join(by_set, "id").select("doc_id", "tie", "first")

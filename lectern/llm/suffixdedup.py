@@ -4,17 +4,24 @@ Removed is each byte covered by a ``WIDTH``-byte string that also starts in a
 document with a smaller id.  The steps, on packs of whole documents:
 
 1. *Anchors.*  Of the ``GRAM``-byte strings inside each window of ``WIDTH`` bytes,
-   the one with the least hash is the window's anchor.  It depends on the
-   window's bytes alone, so equal windows have equal anchors, wherever they are.
+   the one with the least hash, the first of them in a tie, is the window's
+   anchor.  Both depend on the window's bytes alone, so equal windows have equal
+   anchors, wherever they are.
 2. *Shared anchors.*  Hashes of anchors meet by hash range; a bit for each says
    whether it occurs in two documents.  Windows of other anchors can't repeat.
+   An anchor that ``CROWD`` packs have is crowded.
 3. *Pieces.*  The windows of a shared anchor are a run; the bytes they span are a
    piece.  Equal pieces of a pack are settled at once: only the smallest id goes on.
-   Pieces are dealt to shards by their anchor.
-4. *Suffix arrays.*  A shard sorts the windows' suffixes by refinement: eight bytes
-   at a time, and only in groups not yet told apart, until ``WIDTH`` bytes are
-   compared.  Neighbours that were never told apart share ``WIDTH`` bytes; the
-   smallest id of such a group settles it.
+   Pieces are dealt to shards by their anchor; a crowded anchor's, which may have
+   as many different surroundings as there are documents, window by window, by
+   the whole window's hash.
+4. *Suffix arrays.*  A shard's pieces are put into arrays of ``ARRAY`` bytes at most.
+   Each is sorted by Larsson and Sadakane's refinement (ranks by the first ``h``
+   bytes, doubled in groups not yet told apart), Kasai's scan finds the common
+   prefixes of neighbours, many lanes of text side by side, and neighbours with
+   ``WIDTH`` bytes in common are equal windows.  Where a shard has several arrays,
+   their distinct windows are merged by binary search.  The smallest id of equal
+   windows settles them.
 5. What was found goes back to the packs, where documents are cut.
 
 Anchors meet only by their hashes, so a false meeting costs time, not results;
@@ -40,6 +47,10 @@ from lectern.llm.common import materialise, ragged, text_buffer
 WIDTH, GRAM = 50, 20
 #: Bytes of text in a pack, and bytes of text for each shard of anchors and pieces.
 PACK, SHARD = 2 << 20, 8 << 20
+#: Bytes of pieces in one suffix array, and lanes of Kasai's scan.
+ARRAY, LANES = 8 << 20, 1 << 14
+#: Packs with an anchor from which its windows are dealt one by one.
+CROWD = 1024
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -85,20 +96,18 @@ def anchors(data: np.ndarray, offsets: np.ndarray, use: np.ndarray) -> tuple[np.
     if len(data) < WIDTH:
         return none
     h = gram_hashes(data)
-    bits = max(1, int(len(h)).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    least = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # ties go to the left
-    span, w = 1, WIDTH - GRAM + 1
+    least, at, span, w = h, np.arange(len(h), dtype=np.int32), 1, WIDTH - GRAM + 1
     while span < w:
         step = min(span, w - span)
-        least = np.minimum(least[:-step], least[step:])
+        right = least[step:] < least[:-step]  # ties go to the left
+        least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
         span += step
     # windows inside one text that is used
     room = np.maximum(0, np.diff(offsets) - WIDTH + 1) * use
     start = ragged(offsets[:-1], room)
     if not len(start):
         return none
-    at = (least[start] & low).astype(np.int64)
+    at = at[start].astype(np.int64)
     edge = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
     first, last = start[edge], start[np.append(edge[1:], len(start)) - 1]
     return mixed(h[at[edge]]), np.searchsorted(offsets, first, "right") - 1, first, last
@@ -191,7 +200,7 @@ def _anchor_sets(shards: int):
 
 
 def _meet(part: pa.Table) -> pa.Table:
-    """Which of a shard's hashes occur in two packs, or twice in one, as bits for each pack."""
+    """Which of a shard's hashes occur in two packs, or twice in one, as bits for each pack; and which are crowded (no bits: none)."""
     hashes = [np.frombuffer(b, "<u4") for b in part.column("hashes").to_pylist()]
     sizes = [len(x) for x in hashes]
     twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(part.column("twice").to_pylist(), sizes)])
@@ -200,11 +209,12 @@ def _meet(part: pa.Table) -> pa.Table:
     h = h[order]
     group = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     count = np.diff(np.append(group, len(h)))
-    flags = np.zeros(len(h), bool)
+    flags, crowd = np.zeros(len(h), bool), np.zeros(len(h), bool)
     flags[order] = np.repeat((count > 1) | (np.maximum.reduceat(twice[order], group) > 0), count)
+    crowd[order] = np.repeat(count >= CROWD, count)
     ends = np.cumsum(sizes)
-    bits = [np.packbits(flags[end - n : end]).tobytes() for end, n in zip(ends, sizes)]
-    return pa.table({"number": part.column("number"), "shard": part.column("shard"), "bits": pa.array(bits, pa.binary())})
+    bits = [[np.packbits(f[end - n : end]).tobytes() if f is flags or f[end - n : end].any() else b"" for end, n in zip(ends, sizes)] for f in (flags, crowd)]
+    return pa.table({"number": part.column("number"), "shard": part.column("shard"), "bits": pa.array(bits[0], pa.binary()), "crowd": pa.array(bits[1], pa.binary())})
 
 
 def _pieces(shards: int):
@@ -216,29 +226,37 @@ def _pieces(shards: int):
             p.find()
             h = p.hash[p.group]
             shard, edge = _cuts(h, shards)
-            flags = np.zeros(len(h), bool)
-            bits = {r["shard"]: r["bits"] for r in row["replies"] or []}
+            flags, crowd = np.zeros(len(h), bool), np.zeros(len(h), bool)
+            replies = {r["shard"]: r for r in row["replies"] or []}
             for a, b in zip(edge, np.append(edge[1:], len(h))):
-                flags[a:b] = np.unpackbits(np.frombuffer(bits[int(shard[a])], np.uint8), count=b - a).astype(bool)
+                r = replies[int(shard[a])]
+                flags[a:b] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=b - a).astype(bool)
+                if r["crowd"]:
+                    crowd[a:b] = np.unpackbits(np.frombuffer(r["crowd"], np.uint8), count=b - a).astype(bool)
             own = np.flatnonzero(flags[p.member])
-            first, size = p.first[own], p.last[own] - p.first[own] + WIDTH
+            doc, first, last, where = p.doc[own], p.first[own], p.last[own], shard[p.member[own]]
+            if (alone := crowd[p.member[own]]).any():  # each window for itself
+                n = last[alone] - first[alone] + 1
+                start = ragged(first[alone], n)
+                to, _ = _cuts(mixed(gram_hashes(p.data, WIDTH)[start]), shards)
+                doc, first, last, where = (np.concatenate([x[~alone], y]) for x, y in ((doc, np.repeat(doc[alone], n)), (first, start), (last, start), (where, to)))
+                order = np.argsort(where, kind="stable")
+                doc, first, last, where = doc[order], first[order], last[order], where[order]
+            size = last - first + WIDTH
             piece = _binary(p.data[ragged(first, size)], size).dictionary_encode()
             code = piece.indices.to_numpy()
-            ids = p.ids[p.doc[own]]
+            ids = p.ids[doc]
             least = np.full(len(piece.dictionary), np.iinfo(np.int64).max)
             np.minimum.at(least, code, ids)
             done = ids > least[code]
-            settled = own[done]
-            out = [[-1 - row["number"] % shards], [row["number"]], [_spans(p.doc[settled], p.first[settled], p.last[settled])]]
-            rest = own[~done]
-            where = shard[p.member[rest]]
-            cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(rest) else []
-            for a, b in zip(cut, np.append(cut[1:], len(rest))):
-                r = rest[a:b]
-                doc, docs = np.unique(p.doc[r], return_inverse=True)
-                n = p.last[r] - p.first[r] + WIDTH
-                head = np.array([len(r), len(doc)], "<u4").tobytes()
-                body = head + squeeze(b"".join((p.ids[doc].astype("<i8").tobytes(), doc.astype("<u4").tobytes(), docs.astype("<u2").tobytes(), p.first[r].astype("<u4").tobytes(), n.astype("u1").tobytes(), p.data[ragged(p.first[r], n)].tobytes())))
+            out = [[-1 - row["number"] % shards], [row["number"]], [_spans(doc[done], first[done], last[done])]]
+            doc, first, last, where, ids = doc[~done], first[~done], last[~done], where[~done], ids[~done]
+            cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(doc) else []
+            for a, b in zip(cut, np.append(cut[1:], len(doc))):
+                docs, which = np.unique(doc[a:b], return_inverse=True)
+                n = last[a:b] - first[a:b] + WIDTH
+                head = np.array([b - a, len(docs)], "<u4").tobytes()
+                body = head + squeeze(b"".join((p.ids[docs].astype("<i8").tobytes(), docs.astype("<u4").tobytes(), which.astype("<u2").tobytes(), first[a:b].astype("<u4").tobytes(), n.astype("u1").tobytes(), p.data[ragged(first[a:b], n)].tobytes())))
                 for o, v in zip(out, (int(where[a]), row["number"], body)):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary()))], ["shard", "number", "body"])
@@ -255,32 +273,128 @@ def _spans(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> bytes:
     return np.stack([doc, first, last]).astype("<u4").tobytes()
 
 
-def suffix_groups(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array of the windows at ``starts`` by their first ``width`` bytes, and where each group of equal ones begins.
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Suffixes of ``data`` in order, to the end: Kasai's scan needs more than the first ``WIDTH`` bytes in order.
 
-    Refinement by eight bytes a round: groups told apart stay as they are, the
-    others are sorted by their next bytes.
+    Larsson and Sadakane: suffixes are sorted by eight bytes; then those that are
+    not alone in their group are sorted by the rank of the suffix ``h`` bytes on,
+    and ``h`` doubles.  Groups of one are never touched again.
     """
+    n = len(data)
     body = np.concatenate([data, np.zeros(8, np.uint8)])
-    eight = np.zeros(len(data), np.uint64)
+    eight = np.zeros(n, np.uint64)
     for k in range(8):
-        eight |= body[k : k + len(data)].astype(np.uint64) << np.uint64(56 - 8 * k)
-    order, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)  # group: position of a window's group in the order
-    new = np.zeros(len(starts), bool)
-    new[:1] = True
-    open_ = np.arange(len(starts))  # places in the order whose group has more than one member
-    for at in [*range(0, width - 7, 8), *([width - 8] if width % 8 else [])]:
-        if not len(open_):
-            break
-        key, g = eight[starts[order[open_]] + at], group[open_]
-        sort = np.lexsort((key, g))
-        order[open_], key, g = order[open_][sort], key[sort], g[sort]
-        new[open_[1:]] |= (key[1:] != key[:-1]) | (g[1:] != g[:-1])
-        heads = np.flatnonzero(new)
-        size = np.diff(np.append(heads, len(order)))
-        group = np.repeat(heads, size)
-        open_ = np.flatnonzero(np.repeat(size > 1, size))
-    return order, np.flatnonzero(new)
+        eight |= body[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
+    # suffixes of under eight bytes come before longer ones that go on with zeros
+    short = max(0, n - 7)
+    first = np.concatenate([np.arange(n - 1, short - 1, -1), np.arange(short)])
+    order = first[np.argsort(eight[first], kind="stable")]
+    new = np.ones(n + 1, bool)
+    new[1:n] = (eight[order[1:]] != eight[order[:-1]]) | (order[1:] >= short) | (order[:-1] >= short)
+    rank, h = np.full(n + 1, -1), 8
+    heads = np.flatnonzero(new)
+    rank[order] = np.repeat(heads[:-1], np.diff(heads))
+    open_ = np.flatnonzero(~(new[:-1] & new[1:]))  # places in groups of several
+    while len(open_):
+        own = order[open_]
+        key = rank[own] * (n + 1) + rank[np.minimum(own + h, n)] + 1
+        sort = np.argsort(key, kind="stable")
+        own, key = own[sort], key[sort]
+        order[open_] = own
+        new[open_[1:]] |= key[1:] != key[:-1]
+        heads = np.where(new[open_], open_, 0)
+        rank[own] = np.maximum.accumulate(heads)
+        open_ = open_[~(new[open_] & new[open_ + 1])]
+        h *= 2
+    return order
+
+
+def common_prefixes(data: np.ndarray, order: np.ndarray, most: int = WIDTH) -> np.ndarray:
+    """Bytes that each suffix in ``order`` shares with the one before it, ``most`` at most; 0 for the first.
+
+    Kasai's scan: in the order of the text, a suffix shares with its neighbour at
+    least one byte less than the suffix before it did with its own.  The text is
+    cut into lanes, which are scanned side by side, eight bytes at a time.
+    """
+    n = len(data)
+    body = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.zeros(n + 1, np.uint64)
+    for k in range(8):  # the first byte is the lowest
+        eight[:n] |= body[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    before = np.full(n, -1)
+    before[order[1:]] = order[:-1]
+    shared = np.zeros(n, np.uint8)
+    lane = -(-n // LANES) if n else 1
+    at = np.arange(0, n, lane)
+    stop, h = np.minimum(at + lane, n), np.zeros(len(at), np.int64)
+    while len(at):
+        other = before[at]
+        a, b = np.minimum(at + h, n), np.minimum(np.maximum(other, 0) + h, n)
+        differ = eight[a] ^ eight[b]
+        low = differ & (~differ + np.uint64(1))
+        same = np.where(differ == 0, 8, (np.bitwise_count(low - np.uint64(1)) >> 3)).astype(np.int64)
+        same = np.minimum(same, np.minimum(n - a, n - b))  # no byte beyond the text
+        same[other < 0] = 0
+        h += same
+        go_on = (same == 8) & (h < most)
+        done = ~go_on
+        h[done] = np.minimum(h[done], most)
+        shared[at[done]] = h[done]
+        h[done] = np.maximum(h[done] - 1, 0)
+        at = at + done
+        open_ = at < stop
+        at, stop, h = at[open_], stop[open_], h[open_]
+    return shared[order]
+
+
+def equal_windows(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Windows ``starts`` (their places in that list) in the order of the suffix array, and where each group of equal ones begins."""
+    order = suffix_array(data)
+    shared = common_prefixes(data, order, width)
+    group = np.cumsum(shared < width)
+    place = np.full(len(data), -1)
+    place[starts] = np.arange(len(starts))
+    window = place[order]
+    own = window >= 0
+    window, group = window[own], group[own]
+    return window, np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(window) else np.zeros(0, np.int64)
+
+
+def least_of_equal(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every window in the pieces at ``offsets``, and the least of the ``ids`` of pieces that hold an equal window.
+
+    Pieces go into suffix arrays of ``ARRAY`` bytes at most (one piece at least);
+    where there are several, each finds its distinct windows in all others' by
+    binary search in one sorted list.
+    """
+    windows = np.maximum(0, np.diff(offsets) - width + 1)
+    starts, owner = ragged(offsets[:-1], windows), np.repeat(np.arange(len(windows)), windows)
+    found = ids[owner]
+    bounds, k = [0], 0
+    while k < len(ids):
+        k = max(k + 1, int(np.searchsorted(offsets, offsets[k] + ARRAY, "right")) - 1)
+        bounds.append(min(k, len(ids)))
+    keys, least, parts = np.zeros(0, f"S{width}"), np.zeros(0, np.int64), []
+    for a, b in zip(bounds, bounds[1:]):
+        mine = slice(*np.searchsorted(owner, [a, b]))
+        text, at = data[offsets[a] : offsets[b]], starts[mine] - offsets[a]
+        order, group = equal_windows(text, at, width)
+        if not len(order):
+            continue
+        size = np.diff(np.append(group, len(order)))
+        low = np.minimum.reduceat(found[mine][order], group)
+        found[mine.start + order] = np.repeat(low, size)
+        if len(bounds) > 2:
+            own = np.frombuffer(text[at[order[group]][:, None] + np.arange(width)].tobytes(), f"S{width}")  # sorted, as the array is
+            parts.append((mine.start + order, size, own))
+            to = np.searchsorted(keys, own)
+            known = to < len(keys)
+            known[known] = keys[to[known]] == own[known]
+            least[to[known]] = np.minimum(least[to[known]], low[known])
+            keys, least = np.insert(keys, to[~known], own[~known]), np.insert(least, to[~known], low[~known])
+    for order, size, own in parts:
+        found[order] = np.repeat(least[np.searchsorted(keys, own)], size)
+    return starts, found
 
 
 def _settle(part: pa.Table) -> pa.Table:
@@ -312,12 +426,9 @@ def _settle(part: pa.Table) -> pa.Table:
     several = np.sort(by_anchor[np.repeat(count > 1, count)])
     data, offsets = text_buffer(piece.dictionary.take(pa.array(several)))
     windows = np.diff(offsets) - WIDTH + 1
-    starts, owner = ragged(offsets[:-1], windows), np.repeat(several, windows)
-    gone = np.zeros(len(starts), bool)
-    if len(starts):
-        order, group = suffix_groups(data, starts)
-        own = least[owner[order]]
-        gone[order] = own > np.repeat(np.minimum.reduceat(own, group), np.diff(np.append(group, len(order))))
+    starts, smallest = least_of_equal(data, offsets, least[several])
+    owner = np.repeat(several, windows)
+    gone = least[owner] > smallest
     # runs of such windows in each piece
     inner = starts - np.repeat(offsets[:-1], windows)
     edge = np.flatnonzero(gone & np.concatenate([[True], ~gone[:-1] | (owner[1:] != owner[:-1])]))
@@ -371,8 +482,8 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     total = documents.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first()["n"]
     shards = max(64, -(-total // SHARD))
     sets = packs.mapInArrow(_anchor_sets(shards), "shard int, number long, hashes binary, twice binary")
-    replies = sets.groupBy("shard").applyInArrow(_meet, "number long, shard int, bits binary")
-    by_pack = replies.groupBy("number").agg(F.collect_list(F.struct("shard", "bits")).alias("replies"))  # a bit for each anchor of a pack
+    replies = sets.groupBy("shard").applyInArrow(_meet, "number long, shard int, bits binary, crowd binary")
+    by_pack = replies.groupBy("number").agg(F.collect_list(F.struct("shard", "bits", "crowd")).alias("replies"))  # a bit for each anchor of a pack
     found = packs.join(by_pack, "number", "left").mapInArrow(_pieces(shards), "shard long, number long, body binary")
     runs = found.groupBy("shard").applyInArrow(_settle, "number long, body binary")
     gone = materialise(runs.groupBy("number").agg(F.collect_list("body").alias("bodies")), "runs")  # runs within a pack

@@ -14,14 +14,18 @@ cosine with ``q`` reaches ``c = t / (|q| l)``:
 Candidates are verified by their integer products.  Bounds are loosened by a
 relative ``1e-9`` against rounding, so nothing is lost.
 
-The queries are sent to the executors in blocks of ``BLOCK``, whatever their
-number; each block starts from scores against the longest vectors of all.
+The queries are dealt into blocks of about ``BLOCK`` bytes, as many as it takes.
+A block is sent to the executors, starts from scores against the longest
+vectors of all, and is searched ``STEP`` queries at a time inside the tasks.  With
+more than one block, each one's best rows are written before the next is sent,
+so plans and memory don't grow with the number of queries.
 
 Defined results: vectors that are null, or hold a null or non-finite component,
 or have a null id take no part; a query is not its own candidate, so rows that
-repeat its id aren't either; ties go to the smaller id; equal rows are
+repeat its id aren't either; an id with several vectors asks with the least of
+them, component by component; ties go to the smaller id; equal rows are
 candidates each; only vectors of the query's dimension are candidates; further
-columns are ignored.
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries sent at once, and vectors in a bucket.
-BLOCK, BUCKET = 1024, 2048
+from lectern.llm.common import discard, materialise
+
+#: Bytes of queries sent at once, queries searched at once, and vectors in a bucket.
+BLOCK, STEP, BUCKET = 32 << 20, 1024, 2048
 #: Vectors of greatest length that give first thresholds.
 PILOT = 2048
 #: Local cosine threshold from which coordinates prune better than lengths.
@@ -133,43 +139,61 @@ def whole(embeddings: DataFrame, scale: int = 256, vec_id: str = "vec_id", vecto
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score``; ``is_query`` is a condition on ``vec_id``."""
     rows = whole(embeddings, scale)
-    queries = rows.where(is_query).select("vec_id", "v").dropDuplicates(["vec_id"])
-    blocks = max(1, -(-queries.count() // BLOCK))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    size = queries.agg(F.coalesce(F.sum(F.size("v") * 8 + 16), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK))
     context = embeddings.sparkSession.sparkContext
     pilot = rows.orderBy(F.desc("norm2"), "vec_id").limit(PILOT).select("vec_id", "v").toArrow().combine_chunks()
-    found = None
     dealt = rows.repartitionByRange(F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id").select("vec_id", "v")
+    if blocks > 1:  # read again for each block
+        dealt, queries = materialise(dealt, "vectors"), materialise(queries, "queries")
+    parts = []
     for block in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block)
-        sent = {}
-        for batch in own.toArrow().to_batches():
-            for at, m in _matrix(batch, "v"):
-                ids, held = batch.column(0).to_numpy()[at], sent.get(m.shape[1])
-                sent[m.shape[1]] = (ids, m) if held is None else (np.concatenate([held[0], ids]), np.concatenate([held[1], m]))
-        for n, (ids, m) in sent.items():
+        sent = context.broadcast(_prepared(own.toArrow(), pilot, k))
+        found = dealt.mapInArrow(_searcher(sent, k), "query_id long, vec_id long, score long")
+        if blocks > 1:
+            found = materialise(found, "found")
+            sent.destroy()
+        parts.append(found)
+    if blocks > 1:
+        discard(dealt, queries)
+    every = parts[0] if blocks == 1 else embeddings.sparkSession.read.schema(parts[0].schema).parquet(*[p._written_at for p in parts])
+    ranked = every.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _prepared(queries: pa.Table, pilot: pa.Table, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and first thresholds of a block's queries, ``STEP`` of one dimension at a time."""
+    by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in queries.to_batches():
+        for at, m in _matrix(batch, "v"):
+            by_size.setdefault(m.shape[1], []).append((batch.column(0).to_numpy()[at], m))
+    out = []
+    for n, held in by_size.items():
+        every, vectors = np.concatenate([i for i, _ in held]), np.concatenate([m for _, m in held])
+        for a in range(0, len(every), STEP):
+            ids, m = every[a : a + STEP], vectors[a : a + STEP]
             best = Best(ids, k)
             for batch in pilot.to_batches():
                 for at, p in _matrix(batch, "v"):
                     if p.shape[1] == n:
                         search_bucket(best, m, np.sqrt((m.astype(float) ** 2).sum(1)), batch.column(0).to_numpy()[at], p)
-            sent[n] = ids, m, best.floor
-        part = dealt.mapInArrow(_searcher(context.broadcast(sent), k), "query_id long, vec_id long, score long")
-        found = part if found is None else found.union(part)
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            out.append((ids, m, best.floor))
+    return out
 
 
 def _searcher(sent, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {n: (m, np.sqrt((m.astype(float) ** 2).sum(1)), Best(ids, k, floor)) for n, (ids, m, floor) in sent.value.items()}
+        state = [(m, np.sqrt((m.astype(float) ** 2).sum(1)), Best(ids, k, floor)) for ids, m, floor in sent.value]
         for batch in batches:
             for i in range(0, len(batch), BUCKET):
                 bucket = batch.slice(i, BUCKET)
                 for at, vectors in _matrix(bucket, "v"):
-                    if vectors.shape[1] in state:
-                        m, lengths, best = state[vectors.shape[1]]
-                        search_bucket(best, m, lengths, bucket.column(0).to_numpy()[at], vectors)
-        for _, _, best in state.values():
+                    for m, lengths, best in state:
+                        if vectors.shape[1] == m.shape[1]:
+                            search_bucket(best, m, lengths, bucket.column(0).to_numpy()[at], vectors)
+        for _, _, best in state:
             yield pa.RecordBatch.from_arrays([pa.array(best.own[best.query]), pa.array(best.vec), pa.array(best.score)], ["query_id", "vec_id", "score"])
 
     return run

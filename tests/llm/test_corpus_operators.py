@@ -159,14 +159,67 @@ def test_suffix_dedup_odd_input(spark):
     assert suffixdedup.remove_repeats(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_suffix_groups():
+def test_suffix_arrays_and_common_prefixes(monkeypatch):
     r = np.random.default_rng(4)
-    data = r.choice(np.array([97, 98], np.uint8), 3000, p=[0.95, 0.05])
-    starts = np.arange(len(data) - 49)
-    order, heads = suffixdedup.suffix_groups(data, starts)
-    sorted_ = [data[k : k + 50].tobytes() for k in order]
-    assert sorted_ == sorted(sorted_)
-    assert heads.tolist() == [k for k in range(len(sorted_)) if not k or sorted_[k] != sorted_[k - 1]]
+    for data in (r.choice(np.array([97, 98], np.uint8), 3000, p=[0.95, 0.05]), np.zeros(400, np.uint8), np.tile(np.frombuffer(b"abcab", np.uint8), 90), r.integers(0, 256, 500).astype(np.uint8), np.zeros(1, np.uint8), np.zeros(0, np.uint8)):
+        order = suffixdedup.suffix_array(data)
+        raw = data.tobytes()
+        assert order.tolist() == sorted(range(len(raw)), key=lambda k: raw[k:])
+        want = [0] + [next((k for k, (x, y) in enumerate(zip(raw[a:], raw[b:])) if x != y), min(len(raw) - a, len(raw) - b)) for a, b in zip(order, order[1:])]
+        for lanes in (1, 7, 1 << 14):
+            monkeypatch.setattr(suffixdedup, "LANES", lanes)
+            assert suffixdedup.common_prefixes(data, order).tolist() == [min(50, x) for x in want[: len(raw)]]
+
+
+def test_windows_of_several_arrays_merge(monkeypatch):
+    r = np.random.default_rng(6)
+    parts = [bytes(r.choice([0, 97, 98], 60, p=[0.5, 0.3, 0.2]).tolist()) for _ in range(9)]
+    pieces = [b"".join(parts[k] for k in r.integers(0, 9, r.integers(1, 4)))[: r.integers(50, 170)] for _ in range(300)]
+    data, offsets, ids = np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])]), r.permutation(300)
+    least = {}
+    for i, p in zip(ids, pieces):
+        for k in range(len(p) - 49):
+            least[p[k : k + 50]] = min(i, least.get(p[k : k + 50], i))
+    for most in (1 << 20, 4000, 1):
+        monkeypatch.setattr(suffixdedup, "ARRAY", most)
+        starts, found = suffixdedup.least_of_equal(data, offsets, ids)
+        assert found.tolist() == [least[data[k : k + 50].tobytes()] for k in starts]
+
+
+def test_anchors_do_not_depend_on_the_pack_even_in_ties(monkeypatch):
+    """All hashes forced into four values: windows keep their anchors in packs of any size."""
+    monkeypatch.setattr(suffixdedup, "gram_hashes", lambda data, k=20, f=suffixdedup.gram_hashes: f(data, k) >> np.uint64(62))
+    r = np.random.default_rng(9)
+    text = r.integers(97, 101, 90).astype(np.uint8)
+    big = np.concatenate([r.integers(97, 101, 500_000).astype(np.uint8), text])
+    one = suffixdedup.anchors(text, np.array([0, 90]), np.array([True]))
+    two = suffixdedup.anchors(big, np.array([0, 500_000, 500_090]), np.array([False, True]))
+    assert one[0].tolist() == two[0].tolist() and one[2].tolist() == (two[2] - 500_000).tolist() and one[3].tolist() == (two[3] - 500_000).tolist()
+
+
+def test_crowded_anchors(spark, monkeypatch):
+    """Windows dealt one by one; the workers read the changed bound from the module's function, so it is called here directly."""
+    monkeypatch.setattr(suffixdedup, "CROWD", 1)
+    r = np.random.default_rng(3)
+    passage = "".join(chr(97 + x) for x in r.integers(0, 26, 70))
+    rows = [(k, "".join(chr(97 + x) for x in r.integers(0, 26, 60)) + passage + "".join(chr(97 + x) for x in r.integers(0, 26, 30))) for k in range(20)]
+    import pyarrow as pa
+
+    packs = [b.to_pylist()[0] for k in range(0, 20, 5) for b in suffixdedup._pack([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows[k : k + 5]]), pa.array([t for _, t in rows[k : k + 5]])], ["doc_id", "text"])])]
+    for k, p in enumerate(packs):
+        p["number"] = k
+    table = lambda rows: pa.RecordBatch.from_pylist(rows) if rows else None
+    sets = [x for p in packs for b in suffixdedup._anchor_sets(8)([table([p])]) for x in b.to_pylist()]
+    replies = [x for s in sorted({x["shard"] for x in sets}) for x in suffixdedup._meet(pa.Table.from_pylist([x for x in sets if x["shard"] == s])).to_pylist()]
+    for p in packs:
+        p["replies"] = [x for x in replies if x["number"] == p["number"]]
+    assert any(x["crowd"] for x in replies)
+    pieces = [x for p in packs for b in suffixdedup._pieces(8)([table([p])]) for x in b.to_pylist()]
+    runs = [x for s in sorted({x["shard"] for x in pieces}) for x in suffixdedup._settle(pa.Table.from_pylist([x for x in pieces if x["shard"] == s])).to_pylist()]
+    for p in packs:
+        p["bodies"] = [x["body"] for x in runs if x["number"] == p["number"]]
+    got = {x["doc_id"]: x["kept"] for p in packs for b in suffixdedup._cut([table([p])]) for x in b.to_pylist()}
+    assert got == brute_bytes([(i, t.encode()) for i, t in rows]) and len(got[7]) < len(rows[7][1])
 
 
 # Quality.
@@ -194,7 +247,9 @@ def brute_chain(odds, ties):
     return good / weight, math.log(weight)
 
 
-def test_forward_backward_and_gradient():
+@pytest.mark.parametrize("segment", [1024, 3, 1])
+def test_forward_backward_and_gradient(monkeypatch, segment):
+    monkeypatch.setattr(quality, "SEGMENT", segment)
     r = np.random.default_rng(0)
     sizes = [1, 4, 7, 2]
     rows = np.concatenate([[0], np.cumsum(sizes)])
@@ -211,6 +266,49 @@ def test_forward_backward_and_gradient():
             assert np.isclose(pairs[a, b], (quality.forward_backward(odds, up, rows)[1] - quality.forward_backward(odds, down, rows)[1]) / (2 * e), atol=1e-4)
 
 
+def brute_score(text, model):
+    """A text's score line by line: figures of one line at a time, messages one after the other."""
+    weights, ties = model
+    lines = text.split("\n")
+    x = [quality.line_features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0][0] for t in lines]
+    none = np.zeros_like(x[0])
+    odds = [np.concatenate([x[k], x[k - 1] if k else none, x[k + 1] if k + 1 < len(x) else none]) @ weights for k in range(len(x))]
+    odd, ahead, back = [np.array([0, o]) for o in odds], [], [np.zeros(2)]
+    for o in odd:
+        ahead.append(o + (np.logaddexp(*(ahead[-1][:, None] + ties)) if ahead else 0))
+    for o in odd[:0:-1]:
+        back.insert(0, np.logaddexp(*(ties + o + back[0]).T))
+    good = [1 / (1 + np.exp((a + b)[0] - (a + b)[1])) for a, b in zip(ahead, back)]
+    length = [len(t.encode()) + 1 for t in lines]
+    return sum(g * n for g, n in zip(good, length)) / sum(length)
+
+
+def test_scores_match_plain_recursion(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/labels.parquet"))
+    assert np.abs(model[0]).max() > 0
+    texts = [d["text"] for d in pq.read_table(f"{sf_dir}/documents.parquet").to_pylist()][:80] + ["", "\n", "one line", "a\n\nb\n" * 40]
+    got = {x.doc_id: x.score for x in quality.score(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), model).collect()}
+    assert all(abs(got[k] - brute_score(t, model)) < 1e-9 for k, t in enumerate(texts))
+
+
+def test_texts_of_many_lines_and_of_many_bytes(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    model = r.normal(size=3 * quality.line_features(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0].shape[1]) / 5, r.normal(size=(2, 2))
+    texts = ["ab cd\n\nefg 12!\n" * 2000, "\n" * 3000, "x" * 5000, "", "short\nlines"]
+    want = [x.score for x in sorted(quality.score(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), model).collect())]
+    column = __import__("pyarrow").array(texts)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(quality, "SEGMENT", 50)
+    odds, length, rows = quality.line_odds(*quality.text_buffer(column), model[0])
+    good = quality.forward_backward(odds, model[1], rows)[0]
+    again = np.add.reduceat(good * length, rows[:-1]) / np.add.reduceat(length, rows[:-1])
+    assert np.abs(again - want).max() < 1e-9
+    big = ["\n" * (2 << 20), "word and word again\n" * 250_000, "y" * (5 << 20)]
+    out = quality.score(spark.createDataFrame(enumerate(big), "doc_id long, text string"), model, lines=False).collect()
+    assert len(out) == 3 and all(0 <= x.score <= 1 for x in out)
+
+
 def test_quality_odd_input(spark):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     model = quality.fit(frame(spark, ODD), labels)
@@ -240,14 +338,21 @@ def test_top_k(spark, monkeypatch):
     rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (450, [1.0, 2.0]), (451, [3.0, -1.0]), (500, [0.0] * 6), (501, []), (550, [])]
     rows += [(600 + k, rows[7][1]) for k in range(30)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    for block, bucket, pilot, cosine in ((1024, 2048, 2048, 0.75), (3, 16, 8, 0.2), (3, 16, 8, -1.0)):
-        for n, v in (("BLOCK", block), ("BUCKET", bucket), ("PILOT", pilot), ("COSINE", cosine)):
+    for block, step, bucket, pilot, cosine in ((1 << 20, 1024, 2048, 2048, 0.75), (200, 2, 16, 8, 0.2), (1 << 20, 2, 16, 8, -1.0)):
+        for n, v in (("BLOCK", block), ("STEP", step), ("BUCKET", bucket), ("PILOT", pilot), ("COSINE", cosine)):
             monkeypatch.setattr(topk, n, v)
         got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
         assert got == brute_top(rows)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_clashing_names(spark):
+    rows = [(50, [2.0, 1.0]), (50, [1.0, 9.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 7, "x", 0.5) for i, v in rows], "vec_id long, embedding array<float>, rank int, query_id string, score double")
+    got = [tuple(x) for x in topk.top_k(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [(50, 1, 1, 9 * 65536), (50, 2, 1, 65536), (50, 3, 2, 65536)]
+
+
 def test_both_prunings_keep_the_best(monkeypatch):
     r = np.random.default_rng(7)
     v = np.floor(256 * r.normal(size=(500, 5)) * r.choice([0.1, 1, 3], (500, 1))).astype(np.int64)

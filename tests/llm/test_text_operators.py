@@ -80,8 +80,8 @@ def test_decontamination_offsets_groups_and_odd_input(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     text = "Été one-two  THREE! and beta gamma delta epsilon zeta eta theta iota kappa lambda mu; nine x y"
     docs = frame(spark, [text, *ODD])
-    for size in (1 << 20, 1):  # one automaton, and one for each item
-        out = rows(decontaminate.find(docs, bench, automaton_bytes=size))
+    for size in (1 << 20, 1):  # one automaton, and one for each pattern
+        out = rows(decontaminate.find(docs, bench, most_nodes=size))
         assert len(out) == len(ODD) + 1
         r = out[0]
         assert (r["n_words"], r["items"]) == (19, ["1", "2", "5"])
@@ -147,8 +147,70 @@ def test_token_counts(spark, sf_dir):
             v = vocabulary(public_tokenizers.path(queries.JSON))
             assert r["cut_bytes"] == sum(len(v.token_bytes[i]) for i in e.ids[:1024])
     odd = rows(tokens.count(frame(spark, ODD), public_tokenizers.path(queries.JSON), 3))
+    v = vocabulary(public_tokenizers.path(queries.JSON))
     for k, t in enumerate(ODD):
-        assert odd[k]["n_tokens"] == len(LIBRARY.encode(t or "", add_special_tokens=False).ids)
+        ids = LIBRARY.encode(t or "", add_special_tokens=False).ids
+        assert odd[k]["n_tokens"] == len(ids)
+        assert odd[k]["cut_bytes"] == sum(len(v.token_bytes.get(i, b"<|endoftext|>")) for i in ids[:3])
+
+
+def test_counts_of_prefixes_and_cuts_need_no_encoding(spark, monkeypatch):
+    from lectern.llm.bytepair import Pieces
+    from lectern.llm.common import text_buffer
+
+    import pyarrow as pa
+
+    v = vocabulary(public_tokenizers.path(queries.JSON))
+    texts = ["retitioninganthouendblewh's 123 naïve  x", "", "understanding hyperextension <|endoftext|>é", "aaaaaaaaaaaaaaaaaaaa bbbbb"]
+    cache, buffers = tokens._prefixes(v), text_buffer(pa.array(texts))
+    p = tokens.PrefixCounts(*buffers, v, cache)
+    monkeypatch.setattr(v, "tables", None)  # all is stored by now
+    for row, t in enumerate(texts):
+        raw = t.encode()
+        own = Pieces(*text_buffer(pa.array([t])), v.special)
+        ids = LIBRARY.encode(t, add_special_tokens=False).ids
+        for b in range(len(raw) + 1):
+            want = 0
+            for a, c in zip(own.starts, own.codes):
+                inside = min(b, a + len(own.distinct[c])) - a
+                if inside > 0:
+                    part = own.distinct[c][:inside]
+                    want += 1 if b"<|endoftext|>".startswith(part) and a in [x for x, _ in own.special] else brute_merge(v, part)
+            assert p.at(np.full(len(texts), b))[row] == want
+        for limit in range(1, len(ids)):
+            assert p.cut(row, limit) == sum(len(v.token_bytes.get(i, b"<|endoftext|>")) for i in ids[:limit])
+
+
+def brute_merge(v, data):
+    """Number of tokens by merging the earliest pair again and again."""
+    parts = [v.id_of[data[k : k + 1]] for k in range(len(data))]
+    made = {pair: i for i, pair in v._parts.items()}
+    while found := [(v._rank[made[x]], k) for k, x in enumerate(zip(parts, parts[1:])) if x in made]:
+        _, k = min(found)
+        parts[k : k + 2] = [made[parts[k], parts[k + 1]]]
+    return len(parts)
+
+
+def test_tokens_at_a_column_of_positions(spark):
+    df = spark.createDataFrame([(1, "hello world", 5), (2, "hello world", None), (3, None, 4), (4, "hello world", 999), (5, "hello world", -3)], "doc_id long, text string, b int")
+    got = rows(tokens.count(df, public_tokenizers.path(queries.JSON), 1024, at="b"))
+    assert [got[k]["tokens_at"] for k in range(1, 6)] == [1, 2, 0, 2, 0]
+
+
+def test_other_patterns_are_refused(spark, tmp_path):
+    import json
+
+    with pytest.raises(ValueError):
+        tokens.encode(frame(spark, ODD), public_tokenizers.path(queries.RANKS), pattern=r"\w+|\W+")
+    with open(public_tokenizers.path(queries.JSON), encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {**spec["pre_tokenizer"], "add_prefix_space": True}}):
+        at = tmp_path / "changed.json"
+        at.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            vocabulary.__wrapped__(str(at))
+        with pytest.raises(ValueError):
+            tokenstore._library.__wrapped__(str(at))
 
 
 def test_simple8b_round_trip():
@@ -216,7 +278,7 @@ def test_simhash_odd_and_cut_subtrees(spark):
     centre = r.integers(0, 2**63, 6, dtype=np.uint64)
     near = [int(c) ^ sum(1 << int(b) for b in r.integers(0, 64, 3)) for c in centre for _ in range(60)]
     fps = sorted(set(near) | {int(x) for x in r.integers(0, 2**63, 100)})
-    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long").withColumn("second", F.lit(0).cast("long"))
+    df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long").withColumn("id", F.col("fp"))
     find = brute_components(fps)
     for most in (1 << 14, 16):
         edges = [(int(np.int64(e["a"]).view(np.uint64)), int(np.int64(e["b"]).view(np.uint64))) for e in simhash.links(df, most=most).collect()]
