@@ -1,7 +1,8 @@
 """Exact corpus statistics: counts, ranks, quantiles, samples and anomalies.
 
-Inputs are documents with ``universe`` fan-out; tokens are counted once per
-document before the shuffle, so a frequent token costs a row for each document.
+Token statistics take documents with an array of ``universes``, so a text is cut
+into tokens once, however many universes it is in, and totals are pre-aggregated
+before the shuffle; the others take one row for each universe (``fan_out``).
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lectern.functions import text as X
+from lectern.sources.scratch import materialise
 
 #: Reported quantiles, and sequences that betray wrongly decoded text.
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
@@ -18,48 +20,67 @@ MOJIBAKE = ["Ã", "Â", "â€", "â€“", "â€”", "â"]
 LONG_TOKEN = 30
 
 
+def with_universes(docs: DataFrame, primary: Column) -> DataFrame:
+    """``universes``: ``all_sessions``, and ``primary`` too if the condition holds."""
+    return docs.withColumn("universes", F.when(primary, F.array(F.lit("all_sessions"), F.lit("primary"))).otherwise(F.array(F.lit("all_sessions"))))
+
+
+def fan_out(rows: DataFrame) -> DataFrame:
+    """One row for each of a row's universes."""
+    return rows.withColumn("universe", F.explode("universes")).drop("universes")
+
+
 def with_universe(docs: DataFrame, primary: Column) -> DataFrame:
-    """Each row in ``all_sessions``, and in ``primary`` too if the condition holds."""
-    return docs.withColumn("universe", F.explode(F.when(primary, F.array(F.lit("all_sessions"), F.lit("primary"))).otherwise(F.array(F.lit("all_sessions")))))
+    return fan_out(with_universes(docs, primary))
+
 
+def token_totals(docs: DataFrame, tokens: Column) -> DataFrame:
+    """``total_count`` and ``document_count`` of every token of a universe, in one pass over the texts.
 
-def token_counts(docs: DataFrame, tokens: Column, keys: list[str]) -> DataFrame:
-    """One row for each document and token: ``keys``, ``token`` and ``n``."""
-    return docs.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
+    A document gives a row for each token and one more for each distinct token;
+    both kinds are added up before they are shuffled, and universes after that.
+    """
+    mark = lambda n, d: lambda t: F.struct(t.alias("token"), F.lit(n).alias("n"), F.lit(d).alias("d"))
+    own = docs.select("universes", tokens.alias("_t"))
+    each = own.select("universes", F.explode(F.concat(F.transform("_t", mark(1, 0)), F.transform(F.array_distinct("_t"), mark(0, 1)))).alias("t"))
+    counts = each.groupBy("universes", "t.token").agg(F.sum("t.n").alias("n"), F.sum("t.d").alias("d"))
+    return fan_out(counts).groupBy("universe", "token").agg(F.sum("n").alias("total_count"), F.sum("d").alias("document_count"))
 
 
-def global_rank(rows: DataFrame, group: str, measure: str, name: str, rank: str, lead: int = 3) -> DataFrame:
-    """Rank from 1 by falling ``measure``, then ``name``, with no group sorted in one task.
+def global_ranks(rows: DataFrame, group: str, name: str, ranks: dict[str, str], lead: int = 3) -> DataFrame:
+    """Ranks from 1 by falling measures, ties by ``name``, with no group sorted in one task; ``ranks`` gives the column for each measure.
 
     Rows are counted by measure and the first ``lead`` characters of the name; the
     running sum of these counts, a small table, is where each cell's ranks begin,
-    and rows are ranked within their cell alone.
+    and rows are ranked within their cell alone.  ``rows`` are read several times:
+    give a written table.
     """
-    cell = [group, measure, "_lead"]
     own = rows.withColumn("_lead", F.substring(name, 1, lead))
-    before = F.sum("_n").over(W.partitionBy(group).orderBy(F.desc(measure), "_lead").rowsBetween(W.unboundedPreceding, -1))
-    starts = own.groupBy(*cell).agg(F.count("*").alias("_n")).select(*cell, F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy(*cell).orderBy(name))
-    return own.join(starts, cell).withColumn(rank, (F.col("_start") + inside).cast("long")).drop("_lead", "_start")
+    out = own
+    for measure, rank in ranks.items():
+        cell = [group, measure, "_lead"]
+        before = F.sum("_n").over(W.partitionBy(group).orderBy(F.desc(measure), "_lead").rowsBetween(W.unboundedPreceding, -1))
+        starts = own.groupBy(*cell).agg(F.count("*").alias("_n")).select(*cell, F.coalesce(before, F.lit(0)).alias("_start"))
+        inside = F.row_number().over(W.partitionBy(*cell).orderBy(name))
+        out = out.join(starts, cell).withColumn(rank, (F.col("_start") + inside).cast("long")).drop("_start")
+    return out.drop("_lead")
 
 
-def token_frequency(docs: DataFrame, tokens: Column, key: str = "doc_id") -> DataFrame:
+def token_frequency(docs: DataFrame, tokens: Column) -> DataFrame:
     """Totals, document counts and both ranks of every token of a universe."""
-    size = docs.groupBy("universe").agg(F.count("*").alias("documents"))
-    counts = token_counts(docs, tokens, ["universe", key]).groupBy("universe", "token").agg(F.sum("n").alias("total_count"), F.count("*").alias("document_count"))
-    ranked = global_rank(counts, "universe", "total_count", "token", "rank_by_total_frequency")
-    ranked = global_rank(ranked, "universe", "document_count", "token", "rank_by_document_frequency")
+    size = fan_out(docs.select("universes")).groupBy("universe").agg(F.count("*").alias("documents"))
+    counts = materialise(token_totals(docs, tokens), "token-totals")
+    ranked = global_ranks(counts, "universe", "token", {"total_count": "rank_by_total_frequency", "document_count": "rank_by_document_frequency"})
     return ranked.join(F.broadcast(size), "universe").select(  # one row for each universe
         "universe", "rank_by_total_frequency", "rank_by_document_frequency", "token", X.token_class(F.col("token")).alias("token_class"), F.length("token").cast("long").alias("token_length"),
         "total_count", "document_count", X.safe_ratio(F.col("document_count"), F.col("documents")).alias("document_fraction"),
     )
 
 
-def top_tokens(docs: DataFrame, tokens: Column, n: int, key: str = "doc_id") -> DataFrame:
+def top_tokens(docs: DataFrame, tokens: Column, n: int) -> DataFrame:
     """The ``n`` most frequent tokens of a universe; only these reach a window's task in full."""
-    counts = token_counts(docs, tokens, ["universe", key]).groupBy("universe", "token").agg(F.sum("n").alias("total_count"), F.count("*").alias("document_count"))
     rank = F.row_number().over(W.partitionBy("universe").orderBy(F.desc("total_count"), "token"))
-    return counts.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
+    return token_totals(docs, tokens).withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
 
 
 def vocabulary_growth(docs: DataFrame, tokens: Column, year: str) -> DataFrame:
@@ -80,10 +101,11 @@ def length_statistics(docs: DataFrame, n: str, keys: list[str]) -> DataFrame:
 
 
 def length_histogram(docs: DataFrame, n: str, most: int, key: str) -> DataFrame:
-    """Every length from 1 to ``most``, with zeros."""
+    """Every length from 1 to ``most``, with zeros; ``most + 1`` counts all longer ones, and 0 the empty, so that no document is left out."""
     spark = docs.sparkSession
-    counts = docs.where(F.col(n).between(1, most)).groupBy(key, F.col(n).cast("long").alias("word_count")).agg(F.count("*").alias("document_count"))
-    frame = docs.select(key).distinct().crossJoin(F.broadcast(spark.range(1, most + 1).toDF("word_count")))  # groups x a fixed number
+    length = F.least(F.coalesce(F.col(n), F.lit(0)), F.lit(most + 1)).cast("long")
+    counts = docs.groupBy(key, length.alias("word_count")).agg(F.count("*").alias("document_count"))
+    frame = docs.select(key).distinct().crossJoin(F.broadcast(spark.range(0, most + 2).toDF("word_count")))  # groups x a fixed number
     return frame.join(counts, [key, "word_count"], "left").withColumn("document_count", F.coalesce("document_count", F.lit(0)))
 
 
@@ -111,26 +133,36 @@ def candidate_stopwords(frequency: DataFrame, min_fraction: float, min_total: in
     return out.select("universe", "token", "token_class", "token_length", "total_count", "document_count", "document_fraction", F.array_join("reasons", "|").alias("candidate_reasons"), F.lit(False).alias("selected_for_removal"))
 
 
+#: One test for all kinds of odd tokens; which kinds, is asked of the few that pass.
+_ODD_TOKEN = rf"\p{{Nd}}|^\p{{L}}$|^.{{{LONG_TOKEN},}}$|(.)\1{{3}}"
+
+
 def anomalies(text: Column, tokens: Column) -> Column:
-    """All odd things in a text: array of reason, value and how often."""
+    """All odd things in a text: array of reason (null for an odd token), value and how often."""
     one = lambda reason, value, n: F.struct(F.lit(reason).alias("reason"), value.alias("value"), n.cast("long").alias("n"))
     each = lambda reason: lambda value: one(reason, value, F.lit(1))
     literal = [("replacement_character", "\ufffd"), ("soft_hyphen", X.SOFT_HYPHEN), *[("mojibake_pattern", m) for m in MOJIBAKE]]
     found = [F.array(one(reason, F.lit(s), (F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))) / len(s))) for reason, s in literal]
     for reason, pattern in (("control_character", r"[\p{Cc}&&[^\n\r\t]]"), ("format_or_unassigned_character", r"[\p{Cf}\p{Co}\p{Cs}\p{Cn}&&[^\x{AD}]]")):
         found.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), each(reason)))
+    found.append(F.transform(F.filter(tokens, lambda t: t.rlike(_ODD_TOKEN)), each(None)))
+    return F.filter(F.concat(*found), lambda a: a["n"] > 0)
+
+
+def token_anomalies(token: Column) -> Column:
+    """Reasons for which a token is odd."""
     kinds = [
-        ("mixed_letter_digit", lambda t: t.rlike(r"\p{L}") & t.rlike(r"\p{Nd}")), ("digit_only", lambda t: t.rlike(r"^\p{Nd}+$")),
-        ("single_letter", lambda t: t.rlike(r"^\p{L}$")), ("unusually_long", lambda t: F.length(t) >= LONG_TOKEN), ("repeated_character", lambda t: t.rlike(r"(.)\1{3,}")),
+        ("mixed_letter_digit", token.rlike(r"\p{L}") & token.rlike(r"\p{Nd}")), ("digit_only", token.rlike(r"^\p{Nd}+$")),
+        ("single_letter", token.rlike(r"^\p{L}$")), ("unusually_long", F.length(token) >= LONG_TOKEN), ("repeated_character", token.rlike(r"(.)\1{3,}")),
     ]
-    for reason, test in kinds:
-        found.append(F.transform(F.filter(tokens, test), each(reason)))
-    return F.filter(F.concat(*found), lambda a: a["n"] > 0)
+    return F.array_compact(F.array(*[F.when(test, reason) for reason, test in kinds]))
 
 
 def suspicious(docs: DataFrame, text: str, tokens: Column, key: str = "doc_id") -> DataFrame:
     """Anomalies of a universe: totals, documents and the ids of up to three lowest examples."""
-    each = docs.select("universe", key, F.explode(anomalies(F.col(text), tokens)).alias("a")).groupBy("universe", key, F.col("a.reason").alias("reason"), F.col("a.value").alias("value")).agg(F.sum("a.n").alias("n"))
+    each = docs.select("universes", key, F.explode(anomalies(F.col(text), tokens)).alias("a")).groupBy("universes", key, F.col("a.reason").alias("reason"), F.col("a.value").alias("value")).agg(F.sum("a.n").alias("n"))
+    each = each.withColumn("reason", F.explode(F.when(F.col("reason").isNull(), token_anomalies(F.col("value"))).otherwise(F.array("reason"))))
+    each = fan_out(materialise(each, "anomalies"))
     rank = F.row_number().over(W.partitionBy("universe", "reason", "value").orderBy(key))
     # examples from a ranked prefix: a group's ids are never gathered in full
     first = each.withColumn("r", rank).where("r <= 3").groupBy("universe", "reason", "value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda i: i.cast("string")), "|").alias("example_ids"))

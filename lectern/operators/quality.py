@@ -78,3 +78,19 @@ def header_violations(found: list[str], declared: list[str], table: str) -> list
 def report(parts: dict[str, DataFrame]) -> DataFrame:
     """Violations of all tables: ``table``, then their columns."""
     return reduce(DataFrame.unionByName, [v.withColumn("table", F.lit(name)) for name, v in parts.items()])
+
+
+def ordered_digest(rows: DataFrame, key: str, levels: int = 3, span: int = 4096) -> DataFrame:
+    """``rows`` and a digest of whole-number keys in their order: digests of ranges of ``span`` keys, digests of ``span`` of those, and so on.
+
+    No task joins more than ``span`` strings, but for the last one, which joins a
+    string for each ``span ** levels`` keys.
+    """
+    ranges = rows.select(F.floor(F.col(key) / span).alias("_r"), F.col(key).cast("string").alias("_v"), F.col(key).alias("_k"))
+    now = ranges.groupBy("_r").agg(F.count("*").alias("rows"), F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_l"))
+    join = lambda: F.sha2(F.array_join(F.transform("_l", lambda x: x["_v"]), "\n"), 256)
+    now = now.select(F.col("_r").alias("_k"), "rows", join().alias("_v"))
+    for level in range(1, levels + 1):
+        group = F.floor(F.col("_k") / span) if level < levels else F.lit(0)
+        now = now.groupBy(group.alias("_r")).agg(F.sum("rows").alias("rows"), F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_l")).select(F.col("_r").alias("_k"), "rows", join().alias("_v"))
+    return now.select("rows", F.col("_v").alias("ordered_digest"))

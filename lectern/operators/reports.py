@@ -59,6 +59,29 @@ def pivot_share(long: DataFrame, row: str, column: str, values: list, measure: s
     return long.groupBy(row).pivot(column, values).agg(F.first(measure))
 
 
+def robustness(shares: DataFrame) -> DataFrame:
+    """Shares of a topic and year in percent, the three levels side by side."""
+    own = shares.withColumn("percent", F.round(F.col("prevalence_share") * 100, 6))
+    return own.groupBy("topic", "year").pivot("aggregation_level", ["document", "source_turn", "session"]).agg(F.max("percent"))
+
+
+def topic_lines(shares: DataFrame, level: str, topics: list[int] | None = None, years: int | None = None) -> DataFrame:
+    """Points of topics' lines at one level, in percent; with ``years``, a topic with another number of points is an error."""
+    own = shares.where(F.col("aggregation_level") == level)
+    own = own if topics is None else own.where(F.col("topic").isin(*topics))
+    if years is not None:
+        wrong = own.groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") != years).limit(1).collect()
+        if wrong:
+            raise ValueError(f"topic {wrong[0].topic} has {wrong[0].n} points instead of {years}")
+    return own.select("topic", "year", F.round(F.col("prevalence_share") * 100, 6).alias("percent"))
+
+
+def selection_curve(grid: DataFrame, k: str, value: str) -> DataFrame:
+    """Each configuration's value, how far it is below the best, and whether it is the one (a grid has a few rows)."""
+    best = F.max(value).over(W.partitionBy())
+    return grid.select(k, value, F.round(best - F.col(value), 6).alias("below_best"), (F.col(value) == best).alias("selected"))
+
+
 def joined_offsets(segments: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """Where each segment begins and ends in its turn's text, segments being joined by one line break."""
     until = F.sum(F.length(text) + 1).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))

@@ -15,15 +15,26 @@ def ngrams(tokens: Column, most: int = 2) -> Column:
     return F.concat(tokens, F.when(F.size(tokens) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def term_counts(docs: DataFrame, tokens: Column, key: str = "doc_id", most: int = 2) -> DataFrame:
+def term_counts(docs: DataFrame, tokens: Column, key: str = "doc_id", most: int = 2, vocab: DataFrame | None = None) -> DataFrame:
+    """``key``, ``term`` and ``n``; with ``vocab``, of its terms alone, so that others never reach the shuffle."""
     kept = docs.select(key, tokens.alias("_t"))  # a projection of its own, so that tokens are made once
-    return kept.select(key, F.explode(ngrams(F.col("_t"), most)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    each = kept.select(key, F.explode(ngrams(F.col("_t"), most)).alias("term"))
+    if vocab is not None:
+        each = each.join(F.broadcast(vocab.select("term")), "term", "left_semi")  # max_features terms
+    return each.groupBy(key, "term").agg(F.count("*").alias("n"))
 
 
-def vocabulary(counts: DataFrame, documents: int, min_df: int, max_df: float, max_features: int) -> DataFrame:
+def term_totals(docs: DataFrame, tokens: Column, most: int = 2) -> DataFrame:
+    """``term``, ``df`` and ``tf`` of all terms: rows of both counts are added up before the shuffle."""
+    mark = lambda d, n: lambda t: F.struct(t.alias("term"), F.lit(d).alias("df"), F.lit(n).alias("tf"))
+    kept = docs.select(tokens.alias("_t")).select(ngrams(F.col("_t"), most).alias("_g"))
+    each = kept.select(F.explode(F.concat(F.transform("_g", mark(0, 1)), F.transform(F.array_distinct("_g"), mark(1, 0)))).alias("t"))
+    return each.groupBy("t.term").agg(F.sum("t.df").alias("df"), F.sum("t.tf").alias("tf"))
+
+
+def vocabulary(totals: DataFrame, documents: int, min_df: int, max_df: float, max_features: int) -> DataFrame:
     """Terms within the document-frequency bounds, the most frequent ones first; ties in the order of terms."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
-    bounded = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * documents))
+    bounded = totals.where((F.col("df") >= min_df) & (F.col("df") <= max_df * documents))
     # orderBy + limit keeps max_features rows at each step, however many terms there are
     return bounded.orderBy(F.desc("tf"), "term").limit(max_features)
 

@@ -19,11 +19,15 @@ UNIVERSE = "(SELECT *, 'all_sessions' AS universe FROM documents UNION ALL SELEC
 CLASS = "CASE WHEN regexp_full_match(token, '\\p{L}+') THEN 'alphabetic' WHEN regexp_full_match(token, '\\p{Nd}+') THEN 'numeric' ELSE 'mixed_alphanumeric' END"
 
 
+def texts(spark, sf_dir):
+    """Documents with the universes they are in."""
+    return P.with_universes(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), F.col("lang") == "es")
+
+
 def documents(spark, sf_dir):
-    """Documents in their universes, with folded text, words, and the parts of an identifier."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    d = d.withColumn("word_count", F.size(X.words(F.col("text"))).cast("long")).withColumn("year", F.col("doc_id") % 18 + 2008).withColumn("turn", F.col("doc_id") % 300).withColumn("session", F.col("doc_id") % 50)
-    return P.with_universe(d, F.col("lang") == "es")
+    """Documents once for each universe, with words and the parts of an identifier."""
+    d = texts(spark, sf_dir).withColumn("word_count", F.size(X.words(F.col("text"))).cast("long"))
+    return P.fan_out(d.withColumn("year", F.col("doc_id") % 18 + 2008).withColumn("turn", F.col("doc_id") % 300).withColumn("session", F.col("doc_id") % 50))
 
 
 def lexical():
@@ -43,12 +47,12 @@ freq AS (SELECT universe, row_number() OVER (PARTITION BY universe ORDER BY tota
 
 @query(f"WITH {FREQUENCY.replace("{tokens}", TOKENS)} SELECT * FROM freq")
 def token_frequency(spark, sf_dir):
-    return P.token_frequency(documents(spark, sf_dir), lexical())
+    return P.token_frequency(texts(spark, sf_dir), lexical())
 
 
 @query(f"WITH {FREQUENCY.replace("{tokens}", CLUSTERS)} SELECT universe, token, total_count, document_count, rank_by_total_frequency AS rank FROM freq WHERE rank_by_total_frequency <= 20")
 def top_tokens(spark, sf_dir):
-    return P.top_tokens(documents(spark, sf_dir), clusters(), 20)
+    return P.top_tokens(texts(spark, sf_dir), clusters(), 20)
 
 
 @query(f"""WITH {DOCS}, seen AS (SELECT DISTINCT universe, year, unnest({TOKENS}) AS token FROM docs), s AS (SELECT universe, year, count(*) AS vocabulary_size FROM seen GROUP BY ALL),
@@ -66,7 +70,7 @@ def length_statistics(spark, sf_dir):
     return P.length_statistics(documents(spark, sf_dir), "word_count", ["universe", "lang"])
 
 
-@query(f"""WITH {DOCS}, c AS (SELECT universe, word_count, count(*) AS n FROM docs GROUP BY ALL), u AS (SELECT DISTINCT universe FROM docs), r AS (SELECT unnest(range(1, 301)) AS word_count)
+@query(f"""WITH {DOCS}, c AS (SELECT universe, least(word_count, 301) AS word_count, count(*) AS n FROM docs GROUP BY ALL), u AS (SELECT DISTINCT universe FROM docs), r AS (SELECT unnest(range(0, 302)) AS word_count)
 SELECT universe, word_count, coalesce(n, 0) AS document_count FROM u CROSS JOIN r LEFT JOIN c USING (universe, word_count)""")
 def length_histogram(spark, sf_dir):
     return P.length_histogram(documents(spark, sf_dir), "word_count", 300, "universe")
@@ -107,7 +111,7 @@ _SEEDS = ", ".join(f"'{s}'" for s in SEEDS)
 @query(f"""WITH {FREQUENCY.replace("{tokens}", CLUSTERS)}, r AS (SELECT *, list_sort(list_filter([CASE WHEN document_fraction >= 0.5 THEN 'high_document_fraction' END, CASE WHEN total_count >= 2000 THEN 'high_total_count' END, CASE WHEN length(token) <= 2 AND token_class = 'alphabetic' THEN 'short_alphabetic' END, CASE WHEN token IN ({_SEEDS}) THEN 'procedural_seed' END], lambda x: x IS NOT NULL)) AS reasons FROM freq)
 SELECT universe, token, token_class, token_length, total_count, document_count, document_fraction, array_to_string(reasons, '|') AS candidate_reasons, false AS selected_for_removal FROM r WHERE len(reasons) > 0""")
 def candidate_stopwords(spark, sf_dir):
-    return P.candidate_stopwords(P.token_frequency(documents(spark, sf_dir), clusters()), 0.5, 2000, SEEDS)
+    return P.candidate_stopwords(P.token_frequency(texts(spark, sf_dir), clusters()), 0.5, 2000, SEEDS)
 
 
 _ODD = " UNION ALL ".join(f"SELECT universe, doc_id, '{r}' AS reason, {s} AS value, (length(text) - length(replace(text, {s}, ''))) // {n} AS n FROM docs" for r, s, n in [("replacement_character", "chr(65533)", 1), ("soft_hyphen", "chr(173)", 1), *[("mojibake_pattern", f"'{m}'", len(m)) for m in P.MOJIBAKE]])
@@ -118,7 +122,7 @@ _RUNS = "SELECT universe, doc_id, 'repeated_character' AS reason, token AS value
 @query(f"""WITH {DOCS}, tok AS (SELECT universe, doc_id, unnest({CLUSTERS}) AS token FROM docs), a AS ({_ODD} UNION ALL {_KINDS} UNION ALL {_RUNS}), e AS (SELECT universe, reason, value, doc_id, sum(n) AS n FROM a WHERE n > 0 GROUP BY ALL)
 SELECT universe, reason, value AS token_or_anomaly, CAST(sum(n) AS BIGINT) AS total_count, count(*) AS document_count, array_to_string(list_slice(list_sort(list(doc_id)), 1, 3), '|') AS example_ids FROM e GROUP BY universe, reason, value""")
 def suspicious_tokens(spark, sf_dir):
-    return P.suspicious(documents(spark, sf_dir), "text", clusters())
+    return P.suspicious(texts(spark, sf_dir), "text", clusters())
 
 
 SAMPLE = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY universe, lang, source ORDER BY sample_hash, doc_id) AS sample_rank FROM (SELECT *, sha256('42:' || doc_id) AS sample_hash FROM docs)), sample AS (SELECT * FROM ranked WHERE sample_rank <= 3)"""
@@ -142,11 +146,12 @@ def sampled_bigrams(spark, sf_dir):
 
 
 @query(f"""WITH {DOCS}, {SAMPLE}, {FREQUENCY.replace("{tokens}", TOKENS)}, top AS (SELECT universe, token FROM freq WHERE rank_by_total_frequency <= 20),
-e AS (SELECT DISTINCT universe, doc_id, sample_hash, unnest({TOKENS}) AS token FROM sample), r AS (SELECT *, row_number() OVER (PARTITION BY universe, token ORDER BY sample_hash, doc_id) AS context_rank FROM e JOIN top USING (universe, token))
-SELECT universe, token, context_rank, doc_id FROM r WHERE context_rank <= 3""")
+e AS (SELECT DISTINCT universe, doc_id, sample_hash, unnest({TOKENS}) AS token FROM sample), r AS (SELECT *, row_number() OVER (PARTITION BY universe, token ORDER BY sample_hash, doc_id) AS context_rank FROM e JOIN top USING (universe, token)),
+x AS (SELECT r.universe, token, context_rank, r.doc_id, text, instr(text, token) AS hit FROM r JOIN documents USING (doc_id) WHERE context_rank <= 3), y AS (SELECT *, greatest(1, hit - 60) AS a, least(length(text), hit + length(token) + 59) AS z FROM x)
+SELECT universe, token, context_rank, doc_id, CASE WHEN hit = 0 THEN substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 180) ELSE substring(CASE WHEN a > 1 THEN '...' ELSE '' END || trim(regexp_replace(substring(text, a, z - a + 1), '\\s+', ' ', 'g')) || CASE WHEN z < length(text) THEN '...' ELSE '' END, 1, 180) END AS context FROM y""")
 def token_contexts(spark, sf_dir):
-    found = P.token_contexts(sample(spark, sf_dir), P.top_tokens(documents(spark, sf_dir), lexical(), 20), lexical(), "text", 3)
-    return found.drop("context")
+    found = P.token_contexts(sample(spark, sf_dir), P.top_tokens(texts(spark, sf_dir), lexical(), 20), lexical(), "text", 3)
+    return found
 
 
 @query(f"""WITH {DOCS}, u AS (SELECT * FROM docs WHERE universe = 'all_sessions'), e AS (SELECT doc_id, sha256('42:' || doc_id) AS h, {FOLDED} AS cleaned FROM u ORDER BY h, doc_id LIMIT 25) SELECT doc_id, h AS sample_hash, cleaned FROM e""")
@@ -167,9 +172,14 @@ def text_functions(spark, sf_dir):
     return d.select("doc_id", F.length("text").cast("long").alias("characters"), X.excerpt(F.col("text"), 80).alias("excerpt"), F.size(lexical()).cast("long").alias("lexical_count"), F.size(clusters()).cast("long").alias("cluster_count"), F.sha2("text", 256).alias("content_hash"))
 
 
-@query(f"SELECT doc_id, {FOLDED} AS cleaned, 0::BIGINT AS soft_joins FROM documents WHERE NOT contains(text, chr(173)) AND NOT regexp_matches(text, '\\p{{L}}-\\s+\\p{{L}}')")
+# a word cut by soft hyphens, or by a hyphen before white space, is joined: RE2 has no looking ahead, so runs of one letter take a second pass
+_JOIN = lambda text, cut: f"regexp_replace(regexp_replace({text}, '(\\p{{L}}|\\p{{Nl}}|\\p{{No}}){cut}(\\p{{L}}|\\p{{Nl}}|\\p{{No}})', '\\1\\2', 'g'), '(\\p{{L}}|\\p{{Nl}}|\\p{{No}}){cut}(\\p{{L}}|\\p{{Nl}}|\\p{{No}})', '\\1\\2', 'g')"
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, {_JOIN('text', chr(0xAD) + r'\s*')} AS soft FROM documents), h AS (SELECT doc_id, text, soft, {_JOIN("replace(soft, chr(173), '')", r'-\s+')} AS hard FROM s)
+SELECT doc_id, replace(lower(nfc_normalize(hard)), 'ß', 'ss') AS cleaned, CAST(length(text) - length(replace(text, chr(173), '')) - (length(soft) - length(replace(soft, chr(173), ''))) AS BIGINT) AS soft_joins FROM h""")
 def cleaned_text(spark, sf_dir):
-    """All documents; the twin leaves out those that need a repair, which tests hold against a cleaner by hand."""
+    """All documents; tests hold composed and compatibility characters, which the twin has no words for, against a cleaner by hand."""
     c = X.clean_text(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", c["text"].alias("cleaned"), c["soft_joins"].alias("soft_joins"))
 

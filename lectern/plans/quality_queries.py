@@ -147,17 +147,21 @@ def session_ids(spark, sf_dir):
     return o.select("o_orderkey", M.source_record_id(F.col("o_orderkey") % 150, F.to_date("o_orderdate"), meeting, X.fold_for_matching(F.col("o_orderpriority"))).alias("source_record_id"))
 
 
-_TITLES = ["Sesión ordinaria de prórroga", "Asamblea Legislativa", "Sesión preparatoria", "Homenaje a Güemes", "Sesión informativa extraordinaria", "Sesión extraordinaria especial (no efectuada)", "Sesión fracasada", "Presentación de presupuesto", "Expresiones en minoría", "Otra cosa"]
-_EXPECT = [("legislative_debate", "extension", "held"), ("assembly", "unknown", "held"), ("preparatory", "unknown", "held"), ("homage", "unknown", "held"), ("informative", "extraordinary", "held"), ("legislative_debate", "extraordinary", "not_held"), ("legislative_debate", "unknown", "failed"), ("budget_presentation", "unknown", "held"), ("expressions_in_minority", "unknown", "held"), ("other", "unknown", "held")]
-_VALUES = ", ".join(f"({k}, '{c}', '{t}', '{s}')" for k, (c, t, s) in enumerate(_EXPECT))
+_KINDS = ["Sesión", "Asamblea Legislativa", "Sesión preparatoria", "Homenaje a Güemes", "Sesión informativa", "Presentación de presupuesto", "Expresiones en minoría", "Otra cosa", "Reunión ordinaria"]
+_EXTRAS = ["", "ordinaria", "ordinaria de prórroga", "extraordinaria especial", "(no efectuada)", "extraordinaria (fracasada)", "PRÓRROGA - no efectuada"]
+_list = lambda x: "[" + ", ".join(f"'{v}'" for v in x) + "]"
+_TITLE_SQL = f"{_list(_KINDS)}[event_id % {len(_KINDS)} + 1] || ' ' || {_list(_EXTRAS)}[event_id // {len(_KINDS)} % {len(_EXTRAS)} + 1]"
 
 
-@query(f"SELECT e_id, category, term, event_status FROM (SELECT event_id AS e_id, event_id % 10 AS k FROM events) JOIN (VALUES {_VALUES}) v(k, category, term, event_status) USING (k)")
+@query(f"""WITH t AS (SELECT event_id AS e_id, user_id % 4 > 0 AS pdf, trim(regexp_replace(upper(strip_accents({_TITLE_SQL})), '[^A-Z0-9]+', ' ', 'g')) AS f FROM events),
+c AS (SELECT *, CASE WHEN contains(f, 'ASAMBLEA LEGISLATIVA') THEN 'assembly' WHEN contains(f, 'PRESENTACION DE PRESUPUESTO') THEN 'budget_presentation' WHEN contains(f, 'EXPRESIONES EN MINORIA') THEN 'expressions_in_minority' WHEN contains(f, 'PREPARATORIA') THEN 'preparatory' WHEN contains(f, 'HOMENAJE') THEN 'homage' WHEN contains(f, 'INFORMATIVA') THEN 'informative' WHEN contains(f, 'SESION') OR contains(f, 'ORDINARIA') THEN 'legislative_debate' ELSE 'other' END AS category FROM t)
+SELECT e_id, category, CASE WHEN category IN ('assembly', 'budget_presentation') THEN 'unknown' WHEN contains(f, 'PRORROGA') THEN 'extension' WHEN contains(f, 'EXTRAORDINARIA') THEN 'extraordinary' WHEN contains(f, 'ORDINARIA') THEN 'ordinary' ELSE 'unknown' END AS term, CASE WHEN contains(f, 'NO EFECTUADA') THEN 'not_held' WHEN contains(f, 'FRACASADA') THEN 'failed' WHEN pdf THEN 'held' ELSE 'unknown' END AS event_status FROM c""")
 def session_classes(spark, sf_dir):
-    title = F.element_at(F.array(*[F.lit(t) for t in _TITLES]), (F.col("event_id") % 10 + 1).cast("int"))
-    f = table(spark, sf_dir, "events").select(F.col("event_id").alias("e_id"), X.fold_for_matching(title).alias("f"))
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(t) for t in values]), (k % len(values) + 1).cast("int"))
+    title = F.concat(pick(_KINDS, F.col("event_id")), F.lit(" "), pick(_EXTRAS, F.floor(F.col("event_id") / len(_KINDS))))
+    f = table(spark, sf_dir, "events").select(F.col("event_id").alias("e_id"), (F.col("user_id") % 4 > 0).alias("pdf"), X.fold_for_matching(title).alias("f"))
     c = M.category(F.col("f"))
-    return f.select("e_id", c.alias("category"), M.term(F.col("f"), c).alias("term"), M.event_status(F.col("f"), F.lit(True)).alias("event_status"))
+    return f.select("e_id", c.alias("category"), M.term(F.col("f"), c).alias("term"), M.event_status(F.col("f"), F.col("pdf")).alias("event_status"))
 
 
 @query("SELECT count(*) AS sessions, count(DISTINCT year(o_orderdate)) AS periods, min(CAST(o_orderdate AS DATE)) AS first_date, max(CAST(o_orderdate AS DATE)) AS last_date, count_if(o_totalprice > 100000) AS with_pdf, count_if(o_orderstatus = 'O') AS debates FROM orders")
@@ -166,31 +170,23 @@ def manifest_summary(spark, sf_dir):
     return M.summary(o)
 
 
-def _in_order(spark, sf_dir, chosen):
-    return M.select_in_order(chosen, table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority")
-
-
-@query("WITH s AS (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem WHERE l_partkey % 50 = 0) SELECT s.o_orderkey, o_orderpriority, CASE WHEN o.o_orderkey IS NULL THEN 'not in the manifest' WHEN trim(o_orderpriority) = '' THEN 'o_orderpriority is blank' END AS problem FROM s LEFT JOIN (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0) o USING (o_orderkey)")
+@query("WITH s AS (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem) SELECT s.o_orderkey, o_orderpriority, CASE WHEN o.o_orderkey IS NULL THEN 'not in the manifest' WHEN trim(o_orderpriority) = '' THEN 'o_orderpriority is blank' END AS problem FROM s LEFT JOIN (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O') o USING (o_orderkey)")
 def ordered_selection(spark, sf_dir):
-    chosen = table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return _in_order(spark, sf_dir, chosen)
-
-
-@query("WITH s AS (SELECT DISTINCT l_orderkey AS o_orderkey FROM lineitem) SELECT s.o_orderkey, o_orderpriority, CASE WHEN o.o_orderkey IS NULL THEN 'not in the manifest' WHEN trim(o_orderpriority) = '' THEN 'o_orderpriority is blank' END AS problem FROM s LEFT JOIN (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 3 <> 0) o USING (o_orderkey)")
-def ordered_selection_of_all_items(spark, sf_dir):
-    """``ordered_selection`` without its choice of parts."""
-    return _in_order(spark, sf_dir, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct())
+    """The orders of all items, looked up among those that are open."""
+    chosen = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    return M.select_in_order(chosen, table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority")
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS tags, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS host FROM pages")
+@query("WITH i AS (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS e FROM pages), u AS (SELECT page_id, unnest(range(1, len(e) + 1)) AS source_entry_position, unnest(e) AS entry FROM i) SELECT page_id, source_entry_position::INTEGER AS source_entry_position, source_entry_position::INTEGER AS period_entry_position, array_to_string(list_filter(string_split_regex(regexp_replace(entry, '<[^>]*>', '', 'g'), '\\s+'), lambda w: w <> ''), ' ') AS title, CAST(NULL AS INTEGER) AS period FROM u")
 def html_index(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.size(F.regexp_extract_all("html", F.lit("<[a-zA-Z][^>]*>"), F.lit(0))).cast("long").alias("tags"), F.nullif(F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")).alias("title"), F.nullif(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.lit("")).alias("host"))
+    """Entries of every list in a page, in order; pages without periods are one stretch."""
+    from lectern.sources.readers import html_entries
 
+    return html_entries(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "source_entry_position", "period_entry_position", "title", "period")
 
-@query("SELECT conv_id, turn, list_filter([{'s': 0, 'e': 10, 'o': 'a'}, {'s': 10, 'e': 12, 'o': 'b'}, {'s': 12, 'e': 40, 'o': 'c'}], lambda f: f.e > turn AND f.s < turn + 8).len() AS fragments, list_sum(list_transform(list_filter([{'s': 0, 'e': 10}, {'s': 10, 'e': 12}, {'s': 12, 'e': 40}], lambda f: f.e > turn AND f.s < turn + 8), lambda f: least(f.e, turn + 8) - greatest(f.s, turn)))::BIGINT AS covered FROM conversations WHERE turn < 30")
+
+@query("SELECT conv_id, turn, fragments, coalesce(covered_or_null, 0) AS covered FROM (SELECT conv_id, turn, list_filter([{'s': 0, 'e': 10, 'o': 'a'}, {'s': 10, 'e': 12, 'o': 'b'}, {'s': 12, 'e': 40, 'o': 'c'}], lambda f: f.e > turn AND f.s < turn + 8).len() AS fragments, list_sum(list_transform(list_filter([{'s': 0, 'e': 10}, {'s': 10, 'e': 12}, {'s': 12, 'e': 40}], lambda f: f.e > turn AND f.s < turn + 8), lambda f: least(f.e, turn + 8) - greatest(f.s, turn)))::BIGINT AS covered_or_null FROM conversations)")
 def fragment_slices(spark, sf_dir):
-    """All turns; the twin ends at turn 29, and tests hold later ones."""
     made = F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(s).alias("source")) for a, b, s in ((0, 10, "a"), (10, 12, "b"), (12, 40, "c"))])
     cut = C.slice_fragments(made, F.col("turn"), F.col("turn") + 8)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(cut).cast("long").alias("fragments"), F.aggregate(cut, F.lit(0).cast("long"), lambda a, f: a + f["end"] - f["start"]).alias("covered"))
@@ -205,11 +201,13 @@ def containment_join(spark, sf_dir):
     return I.contained(spans, segments, ["conv_id"])
 
 
-@query("WITH k AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT count(*) AS documents, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS ordered_digest FROM k")
+_FOLD = lambda of, into, value: f"SELECT {of} // 4096 AS {into}, sha256(string_agg({value}, chr(10) ORDER BY {of})) AS digest"
+
+
+@query(f"WITH k AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), a AS ({_FOLD('doc_id', 'a', 'CAST(doc_id AS VARCHAR)')} FROM k GROUP BY a), b AS ({_FOLD('a', 'b', 'digest')} FROM a GROUP BY b), c AS ({_FOLD('b', 'c', 'digest')} FROM b GROUP BY c) SELECT (SELECT count(*) FROM k) AS documents, sha256(string_agg(digest, chr(10) ORDER BY c)) AS ordered_digest FROM c")
 def corpus_digest(spark, sf_dir):
     kept = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
-    kept.createOrReplaceTempView("corpus_digest_kept")
-    return spark.sql("SELECT count(*) AS documents, sha2(listagg(CAST(doc_id AS STRING), '\n') WITHIN GROUP (ORDER BY doc_id), 256) AS ordered_digest FROM corpus_digest_kept")
+    return Q.ordered_digest(kept, "doc_id").withColumnRenamed("rows", "documents")
 
 
 @query("WITH e AS (SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT c_custkey, 'REPLACED' AS c_mktsegment FROM customer WHERE c_custkey % 15 = 0) SELECT * FROM n UNION ALL SELECT * FROM e WHERE c_custkey NOT IN (SELECT c_custkey FROM n)")

@@ -22,19 +22,29 @@ def turn_index(spark, sf_dir):
     return S.number_turns(e, "conv_id", ["turn"])
 
 
-@query("SELECT conv_id, turn, 0::BIGINT AS start, 18::BIGINT AS \"end\", 'Pérez Gómez' AS raw_label, 'SRA.' AS normalized_title, 'explicit_honorific_dot_dash' AS detection_method, 1.0::DOUBLE AS detection_confidence FROM conversations")
+@query("""WITH c AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 2 = 0 THEN 'Sr.' ELSE 'Sra.' END AS title, CASE WHEN turn % 3 = 0 THEN '.-' WHEN turn % 3 = 1 THEN '. –' ELSE ' -' END AS sep, regexp_replace(text, '[.\\-–—]', ',', 'g') AS body FROM conversations), m AS (SELECT *, title || ' ' || role || sep AS marker FROM c)
+SELECT conv_id, turn, 0::BIGINT AS start, length(marker) AS "end", role AS raw_label, upper(title) AS normalized_title, marker AS raw_marker, 'block_start' AS position, CASE WHEN sep = ' -' THEN 'explicit_honorific_dash_only' ELSE 'explicit_honorific_dot_dash' END AS detection_method, CASE WHEN sep = ' -' THEN 0.95 ELSE 1.0 END::DOUBLE AS detection_confidence FROM m
+UNION ALL SELECT conv_id, turn, length(marker) + length(body) + 2, length(marker) + length(body) + 2 + 18, 'Pérez Gómez', 'SRA.', 'Sra. Pérez Gómez.-', 'embedded', 'explicit_honorific_dot_dash', 1.0::DOUBLE FROM m""")
 def speaker_markers(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(S.speaker_markers(F.concat(F.lit("Sra. Pérez Gómez.-"), F.lit(" "), "text"))).alias("m"))
-    return c.where("m.start = 0").select("conv_id", "turn", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), "m.raw_label", "m.normalized_title", "m.detection_method", "m.detection_confidence")
+    """A marker before and one within each text, whose own points and dashes become commas."""
+    title, c = F.when(F.col("conv_id") % 2 == 0, "Sr.").otherwise("Sra."), table(spark, sf_dir, "conversations")
+    sep = F.when(F.col("turn") % 3 == 0, ".-").when(F.col("turn") % 3 == 1, ". –").otherwise(" -")
+    body = F.concat(title, F.lit(" "), "role", sep, F.lit(" "), F.regexp_replace("text", "[.\\-–—]", ","), F.lit("\nSra. Pérez Gómez.- Gracias"))
+    m = c.select("conv_id", "turn", F.explode(S.speaker_markers(body)).alias("m"))
+    return m.select("conv_id", "turn", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("end"), "m.raw_label", "m.normalized_title", "m.raw_marker", "m.position", "m.detection_method", "m.detection_confidence")
 
 
-_LABELS = [("Presidente de la Nación", "executive_official"), ("Presidenta (Camaño)", "chair"), ("Secretario (Hidalgo)", "chamber_secretary"), ("Ministro de Economía", "executive_official"), ("Secretaria de Energía", "executive_official"), ("Varios señores diputados", "collective_or_anonymous"), ("Pérez.-", "named_or_role_unspecified"), ("Vicepresidente 1°", "chair")]
-_VALUES = ", ".join(f"({k}, '{f}')" for k, (_, f) in enumerate(_LABELS))
+_OFFICES = ["Presidente de la Nación", "Presidenta", "Vicepresidente 1°", "Secretario", "Ministro de Economía", "Secretaria de Energía", "Subsecretario de", "Varios señores diputados", "Jefe de Gabinete", "Pérez"]
+_ENDS = ["", ".-", " (Camaño)", " de la Nación", " y voces"]
+_LABEL_SQL = "[" + ", ".join(f"'{o}'" for o in _OFFICES) + f"][event_id % {len(_OFFICES)} + 1] || [" + ", ".join(f"'{e}'" for e in _ENDS) + f"][event_id // {len(_OFFICES)} % {len(_ENDS)} + 1]"
 
 
-@query(f"SELECT event_id, family FROM events JOIN (VALUES {_VALUES}) v(k, family) ON event_id % 8 = k")
+@query(rf"""WITH l AS (SELECT event_id, regexp_replace(trim(regexp_replace(upper(strip_accents(replace({_LABEL_SQL}, '°', '°'))), '\s+', ' ', 'g')), '^[ .,:;–—-]+|[ .,:;–—-]+$', '', 'g') AS label FROM events)
+SELECT event_id, CASE WHEN label IN ('PRESIDENTE DE LA NACION', 'PRESIDENTA DE LA NACION') THEN 'executive_official' WHEN regexp_matches(label, '\bVICEPRESIDENT[EA]\b|\bPRESIDENT[EA]\b') THEN 'chair' WHEN label IN ('SECRETARIO', 'SECRETARIA') OR regexp_matches(label, '^SECRETARI[OA] *\(') THEN 'chamber_secretary'
+ WHEN regexp_matches(label, '\b(JEFE DE GABINETE|MINISTRO|MINISTRA|SUBSECRETARIO|SUBSECRETARIA|SECRETARIO DE|SECRETARIA DE)\b') THEN 'executive_official' WHEN regexp_matches(label, '\b(VARIOS|VARIAS|VOCES|DIPUTADOS|DIPUTADAS)\b') THEN 'collective_or_anonymous' ELSE 'named_or_role_unspecified' END AS family FROM l""")
 def speaker_families(spark, sf_dir):
-    label = F.element_at(F.array(*[F.lit(x) for x, _ in _LABELS]), (F.col("event_id") % 8 + 1).cast("int"))
+    pick = lambda values, k: F.element_at(F.array(*[F.lit(t) for t in values]), (k % len(values) + 1).cast("int"))
+    label = F.concat(pick(_OFFICES, F.col("event_id")), pick(_ENDS, F.floor(F.col("event_id") / len(_OFFICES))))
     e = table(spark, sf_dir, "events").select("event_id", X.label_text(label).alias("label"))
     return e.select("event_id", S.family(F.col("label")).alias("family"))
 
@@ -122,11 +132,19 @@ def turn_statistics(spark, sf_dir):
     return turncontent.turn_statistics(s, ["conv_id", "turn"]).select("conv_id", "turn", "editorial_note_spans", "has_speech")
 
 
-@query("SELECT 0::BIGINT AS gaps")
+_TAIL = "'(Aplausos.)' || chr(10) || '- Ocupa la Presidencia la señora vicepresidenta' || chr(10) || 'primera de la Honorable Cámara.' || chr(10) || 'Véase el texto en el Apéndice.'"
+
+
+@query(f"SELECT conv_id, turn, sha256(coalesce(text, '') || {_TAIL}) AS spans_sha256, 0::BIGINT AS gaps FROM conversations")
 def lossless_spans(spark, sf_dir):
+    """A turn's spans put together again are its text, and each begins where the one before it ends."""
     from lectern.operators import turncontent
 
-    return turncontent.coverage_gaps(turncontent.content_spans(_segments(spark, sf_dir)), ["conv_id", "turn"]).agg(F.count("*").alias("gaps"))
+    keys = ["conv_id", "turn"]
+    spans = turncontent.content_spans(_segments(spark, sf_dir)).select(*keys, "segment", "start", "end", "text")
+    whole = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("segment", "start", "text"))).alias("s"))  # a turn's spans
+    gaps = turncontent.coverage_gaps(spans, keys).groupBy(*keys).agg(F.count("*").alias("gaps"))
+    return whole.join(gaps, keys, "left").select(*keys, F.sha2(F.array_join(F.transform("s", lambda x: x["text"]), ""), 256).alias("spans_sha256"), F.coalesce("gaps", F.lit(0)).alias("gaps"))
 
 
 @query()

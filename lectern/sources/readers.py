@@ -74,6 +74,29 @@ def is_pdf(content: Column) -> Column:
     return F.substring(content, 1, 5) == F.lit(b"%PDF-")
 
 
+def source_turns(spark: SparkSession, root: str, metadata: DataFrame, version: str, turn_schema: str, span_schema: str) -> DataFrame:
+    """Turns of every source under ``root/<source>/`` with their session's metadata and their spans in order.
+
+    Each source has ``manifest.json`` (``version``), ``turns.jsonl`` and ``spans.jsonl``.  Another
+    version, a turn without metadata, and spans of a turn that isn't there are errors.
+    """
+    source = F.element_at(F.split(F.input_file_name(), "/"), -2).alias("source_record_id")
+    manifests = spark.read.schema("version string").option("multiLine", True).option("mode", "FAILFAST").json(f"{root}/*/manifest.json")
+    turns = spark.read.schema(turn_schema).option("mode", "FAILFAST").json(f"{root}/*/turns.jsonl").select(source, "*")
+    spans = spark.read.schema(span_schema).option("mode", "FAILFAST").json(f"{root}/*/spans.jsonl").select(source, "*")
+    key = ["source_record_id", "turn_index"]
+    problems = {
+        "another version": manifests.select(source, "version").where(~F.col("version").eqNullSafe(version)), "no metadata": turns.join(metadata, "source_record_id", "left_anti"),
+        "spans of no turn": spans.join(turns, key, "left_anti"), "repeated turn": turns.groupBy(*key).count().where("count > 1"), "no manifest": turns.join(manifests.select(source), "source_record_id", "left_anti"),
+    }
+    for what, rows in problems.items():
+        if found := rows.limit(1).collect():
+            raise ValueError(f"{found[0].source_record_id}: {what}")
+    fields = [c for c in spans.columns if c not in key]
+    own = spans.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("content_span_index", *[f for f in fields if f != "content_span_index"]))).alias("spans"))  # a turn's spans
+    return turns.join(metadata, "source_record_id").join(own, key, "left")
+
+
 _ENTRY = "period int, source_entry_position int, period_entry_position int, title string, viewer_url string, pdf_url string"
 
 
