@@ -11,13 +11,12 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lectern.sources.scratch import discard, materialise, release, shared_dir  # noqa: F401
+
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
 SLICE_BYTES = 2 << 20
 
@@ -26,36 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.  Where none is named, a temporary one serves a local session; a cluster is refused."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        named = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="lectern-")
-        shared_dir.own = named
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._written_at = at
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing reads any more."""
-    for t in tables:
-        if at := getattr(t, "_written_at", None):
-            jvm, spark = t.sparkSession._jvm, t.sparkSession
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets, starting at 0; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise, ragged, text_buffer
+from lectern.llm.common import discard, materialise, ragged, release, text_buffer
 
 WIDTH, GRAM = 50, 20
 #: Bytes of text in a pack, and bytes of text for each shard of anchors and pieces.
@@ -484,7 +484,11 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     sets = packs.mapInArrow(_anchor_sets(shards), "shard int, number long, hashes binary, twice binary")
     replies = sets.groupBy("shard").applyInArrow(_meet, "number long, shard int, bits binary, crowd binary")
     by_pack = replies.groupBy("number").agg(F.collect_list(F.struct("shard", "bits", "crowd")).alias("replies"))  # a bit for each anchor of a pack
+    by_pack = materialise(by_pack, "replies")
+    release(documents.sparkSession)  # what was shuffled up to here is not needed again
     found = packs.join(by_pack, "number", "left").mapInArrow(_pieces(shards), "shard long, number long, body binary")
     runs = found.groupBy("shard").applyInArrow(_settle, "number long, body binary")
     gone = materialise(runs.groupBy("number").agg(F.collect_list("body").alias("bodies")), "runs")  # runs within a pack
+    discard(by_pack)
+    release(documents.sparkSession)
     return packs.join(gone, "number", "left").mapInArrow(_cut, _DONE)
