@@ -280,6 +280,24 @@ def nmf_prevalence(spark, sf_dir):
     return w.select("doc_id", V.dominant(F.col("w")).alias("dominant_topic"), F.array_max("w").alias("dominant_weight"))
 
 
+@query()
+def nmf_grid(spark, sf_dir):
+    """A fit for each number of topics of a grid, without its run time; none may be unfinished."""
+    _, _, vocab, _, w = tfidf_table(spark, sf_dir)
+    rows, terms = N.rows_of(w, vocab)
+    _, record = N.grid(materialise(rows, "rows"), terms, [2, 3, 4], most_iter=MOST_SWEEPS)
+    return record.select("k", "n_iter", "converged", F.round("error", 6).alias("error"))
+
+
+@query()
+def nmf_comparison(spark, sf_dir):
+    """Prevalence of topics from the stored components against that of the fit's own last weights."""
+    rows, model = _factorised(spark, sf_dir)
+    own = N.transform(rows.where("size(idx) > 0"), model)
+    again = N.transform(rows, N.Factorisation(model.terms, model.h.astype("float32").astype(float)))
+    return N.prevalence_differences(N.prevalence(own), N.prevalence(again)).select("topic", "within")
+
+
 @query()
 def density_clusters(spark, sf_dir):
     """No SQL form: tests check planted clusters."""

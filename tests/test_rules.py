@@ -1,5 +1,7 @@
 """Operators without a SQL form, held case by case against their rules."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -281,6 +283,66 @@ def test_nmf_finds_planted_topics(spark):
         nmf.fit(sparse, terms, 1 << 25)
 
 
+def dense_start(x, k):
+    """The same start from a full singular value decomposition."""
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    h = np.zeros((k, x.shape[1]))
+    h[0] = np.sqrt(s[0]) * np.abs(vt[0])
+    for c in range(1, k):
+        sides = [(np.maximum(a, 0), np.maximum(b, 0)) for a, b in ((u[:, c], vt[c]), (-u[:, c], -vt[c]))]
+        a, b = max(sides, key=lambda y: np.linalg.norm(y[0]) * np.linalg.norm(y[1]))
+        h[c] = np.sqrt(s[c] * np.linalg.norm(a) * np.linalg.norm(b)) * b / np.linalg.norm(b)
+    h[h < 1e-6] = 0
+    h[h == 0] = x.mean()
+    return h
+
+
+def test_nmf_start_and_grid(spark):
+    r = np.random.default_rng(3)
+    x = np.maximum(0, r.normal(size=(40, 12)) + (np.arange(40)[:, None] % 3 == np.arange(12) % 3) * 2)
+    w = spark.createDataFrame([(d, f"t{c:02d}", 1, 1, float(x[d, c])) for d in range(40) for c in range(12) if x[d, c] > 0], "doc_id int, term string, n int, df int, w double")
+    sparse, terms = nmf.rows_of(w, w.select("term").distinct())
+    assert np.abs(nmf.singular_start(sparse, terms, 3, passes=30) - dense_start(x, 3)).max() < 1e-3
+    models, record = nmf.grid(sparse, terms, [2, 3], most_iter=200)
+    rows = {m.k: m for m in record.collect()}
+    assert rows[2].converged and rows[3].converged and rows[3].error < rows[2].error and sorted(models) == [2, 3]
+    same = nmf.prevalence_differences(nmf.prevalence(nmf.transform(sparse, models[3])), nmf.prevalence(nmf.transform(sparse.repartition(3), models[3]))).collect()
+    assert len(same) == 3 and all(m.within and m.difference < 1e-9 for m in same)
+    apart = nmf.prevalence_differences(nmf.prevalence(nmf.transform(sparse, models[3])), nmf.prevalence(nmf.transform(sparse.where("doc_id % 3 = 0"), models[3])))
+    assert not all(m.within for m in apart.collect())
+
+
+def plain_chunks(text, most):
+    """The rules of chunks, one window after the other, all words looked at again for each."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    out, begin = [], 0
+    while len(words) - begin > most:
+        window = range(begin + 1, begin + most + 1)  # a cut before word k
+
+        def kinds(k):
+            word = text[slice(*words[k - 1])]
+            return {n for n, hit in enumerate((text.count("\n", words[k - 1][1], words[k][0]) > 1, re.search(r"[.!?¡¿…]+[\"')\]}»]*$", word), re.search(r"[,;:][\"')\]}»]*$", word))) if hit}
+
+        quarter, half = window[-max(1, most // 4) :], window[-max(1, most // 2) :]
+        best = next((max(k for k in quarter if n in kinds(k)) for n in range(3) if any(n in kinds(k) for k in quarter)), None)
+        best = best or max((k for k in half if kinds(k)), default=None) or window[-1]
+        out.append(best)
+        begin = best
+    cuts = [0, *[words[k][0] for k in out], len(text)] if words else []
+    return list(zip(cuts, cuts[1:]))
+
+
+def test_chunks_match_their_rules(spark, sf_dir):
+    r = np.random.default_rng(4)
+    texts = [x.text for x in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()] + ["".join(r.choice(["uno ", "dos, ", "tres. ", "cuatro\n\n", "cinco\n", "(seis!) ", "¿siete?» ", "ocho; "], r.integers(1, 90))) for _ in range(60)] + ["", "  ", " uno "]
+    for most in (300, 40, 7, 1):
+        for t in texts if most >= 40 else texts[-63:]:
+            assert corpus.chunk_bounds(t, most) == plain_chunks(t, most)
+    got = corpus.chunks(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).orderBy("doc_id", "chunk_index").collect()
+    want = [(k, n, a, b, len(t[a:b].split()), t[a:b]) for k, t in enumerate(texts) for n, (a, b) in enumerate(plain_chunks(t, 300), 1)]
+    assert [(x.doc_id, x.chunk_index, x.start, x.end, x.word_count, x.text) for x in got] == want
+
+
 def test_density_clusters_and_merging(spark):
     r = np.random.default_rng(1)
     points = [c + r.normal(0, 0.05, 8) for c in np.eye(8)[:3] for _ in range(30)] + list(r.normal(0, 1, (6, 8)) * 3)
