@@ -29,7 +29,6 @@ and replaced where they bear the name of an added one.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,29 +38,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import materialise, text_buffer
+from lectern.llm.common import materialise
 
 _PLACE = ["doc", "tie", "line"]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_buffer(batch.column(2))
-        raw, ids, ties = data.tobytes(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        row: list[int] = []
-        line: list[int] = []
-        digest: list[bytes] = []
-        words: list[int] = []
-        for k in range(len(batch)):
-            for n, own in enumerate(raw[offsets[k] : offsets[k + 1]].split(b"\n")):
-                row.append(k)
-                line.append(n)
-                digest.append(hashlib.md5(own).digest())
-                words.append(len(own.split()))
-            if len(row) > 1 << 16 or k == len(batch) - 1:
-                at = np.array(row, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ties[at]), pa.array(line, pa.int32()), pa.array(digest, pa.binary()), pa.array(words, pa.int32())], ["doc", "tie", "line", "digest", "words"])
-                row, line, digest, words = [], [], [], []
+def _lines(docs: DataFrame) -> DataFrame:
+    """``doc``, ``tie``, ``line``, ``digest`` and ``words`` of every line."""
+    each = docs.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("line", "own"))
+    # a word begins at a byte that is no white space and follows white space or nothing
+    words = F.regexp_count("own", F.lit(r"[^ \t\n\x0B\f\r]+"))
+    return each.select("doc", "tie", "line", F.unhex(F.md5(F.col("own").cast("binary"))).alias("digest"), words.alias("words"))
 
 
 def ranked(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -78,19 +65,24 @@ def _windows(min_words: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for k, places in enumerate(batch.column(2).to_pylist()):
-                line = np.array([p["line"] for p in places], np.int64)
-                words = np.array([p["words"] for p in places], np.int64)
-                for own in np.split(np.arange(len(line)), np.flatnonzero(np.diff(line) != 1) + 1):
-                    until = np.concatenate([[0], np.cumsum(words[own])])
-                    end = np.searchsorted(until, until[:-1] + min_words, "left")
-                    start = np.searchsorted(until, until[1:] - min_words, "right") - 1
-                    first = line[own[0]]
-                    found = {(i, int(e)) for i, e in enumerate(end) if e < len(until)} | {(int(s), j + 1) for j, s in enumerate(start) if s >= 0}
-                    out += [(k, int(first + a), b - a) for a, b in sorted(found)]
-            at, start, n = (np.array([o[c] for o in out], np.int64) for c in range(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["doc", "tie", "line", "n"])
+            places = batch.column(2)
+            line, words = (c.to_numpy().astype(np.int64) for c in places.flatten().flatten())
+            row = np.repeat(np.arange(len(batch)), np.diff(places.offsets.to_numpy()))
+            # stretches: runs of consecutive lines of one text
+            new = np.ones(len(line), bool)
+            new[1:] = (np.diff(line) != 1) | (np.diff(row) != 0)
+            first = np.flatnonzero(new)
+            stretch, stop = np.cumsum(new) - 1, np.append(first[1:], len(line))
+            until = np.concatenate([[0], np.cumsum(words)])
+            i = np.arange(len(line))
+            end = np.searchsorted(until, until[:-1] + min_words, "left")  # one past the last line of the run from i
+            start = np.searchsorted(until, until[1:] - min_words, "right") - 1
+            ahead, back = end <= stop[stretch], start >= first[stretch]
+            a, b = np.concatenate([i[ahead], start[back]]), np.concatenate([end[ahead], i[back] + 1])
+            if len(a):
+                a, b = np.unique(np.stack([a, b]), axis=1)
+            at = pa.array(row[a])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(line[a].astype(np.int32)), pa.array((b - a).astype(np.int32))], ["doc", "tie", "line", "n"])
 
     return run
 
@@ -102,7 +94,7 @@ def _digest_of(text: Column) -> Column:
 def repeated_runs(documents: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc``, ``tie``, ``line`` and ``n``: runs of ``n`` lines that have an earlier copy."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc"), _digest_of(F.col(text)).alias("tie"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    lines = materialise(docs.mapInArrow(_lines, "doc long, tie long, line int, digest binary, words int"), "lines")
+    lines = materialise(_lines(docs), "lines")
     twice = lines.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     numbers = ranked(twice, ["digest"])
     now = materialise(lines.join(numbers, "digest").select(*_PLACE, "rank", "words").dropDuplicates(_PLACE), "ranks")
@@ -136,20 +128,33 @@ def _renumber(pairs: DataFrame) -> DataFrame:
     return ranked(own, ["a", "b"]).select(F.col("a").alias("rank"), F.col("b").alias("then"), F.col("rank").alias("next"))
 
 
-_ADDED = [T.StructField("n_lines", T.LongType()), T.StructField("removed_lines", T.ArrayType(T.IntegerType()))]
+_ADDED = [T.StructField("n_lines", T.LongType()), T.StructField("removed_lines", T.ArrayType(T.IntegerType())), T.StructField("removed_runs", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))]
 
 
 def remove_repeats(documents: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents with later copies deleted from ``text``, and with ``n_lines`` (before) and ``removed_lines``, their numbers."""
+    """Documents with later copies deleted from ``text``, and with ``n_lines`` (before), ``removed_lines``, their numbers, and
+    ``removed_runs``, the maximal runs that they make up (first line, and one past the last)."""
     source = documents.drop(*[f.name for f in _ADDED])
-    runs = repeated_runs(source, min_words, doc_id, text)
-    gone = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("line", "n")).alias("runs"))
+    gone = _merged(repeated_runs(source, min_words, doc_id, text))
     key = (F.col(doc_id).cast("long") == F.col("doc")) & (_digest_of(F.col(text)) == F.col("tie"))
     joined = source.join(gone.hint("merge"), key, "left")  # one plan at every size
-    gone_lines = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["line"], r["line"] + r["n"] - 1)))))
-    every = F.split(F.col(text), "\n")
-    removed = F.coalesce(gone_lines, F.array().cast("array<int>"))
-    # a text that repeats nothing is passed on as it is
-    kept = F.when(F.col("runs").isNull(), F.col(text)).otherwise(F.array_join(F.filter(every, lambda l, i: ~F.array_contains("removed_lines", i)), "\n"))
-    out = joined.withColumn("removed_lines", removed).withColumn("n_lines", F.coalesce(F.size(every), F.lit(0)).cast("long")).withColumn(text, kept)
-    return out.select(*source.columns, "n_lines", "removed_lines")
+    every, runs = F.split(F.col(text), "\n"), F.coalesce(F.col("_runs"), F.array().cast(_ADDED[2].dataType))
+    out = joined.withColumn("removed_runs", runs).withColumn("n_lines", F.coalesce(F.size(every), F.lit(0)).cast("long"))
+    lines = F.flatten(F.transform("removed_runs", lambda r: F.sequence(r["start"], r["end"] - 1)))
+    n = F.size("removed_runs")
+    # what stands between runs; a text that repeats nothing is passed on as it is
+    stop = lambda k: F.when(k == n, F.size(every)).otherwise(F.try_element_at("removed_runs", k + 1)["start"])
+    begin = lambda k: F.when(k == 0, 0).otherwise(F.try_element_at("removed_runs", F.greatest(k, F.lit(1)))["end"])
+    parts = F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(every, begin(k) + 1, stop(k) - begin(k)))
+    kept = F.when(n == 0, F.col(text)).otherwise(F.array_join(F.flatten(parts), "\n"))
+    out = out.withColumn("removed_lines", lines).withColumn(text, kept)
+    return out.select(*source.columns, "n_lines", "removed_lines", "removed_runs")
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """Runs of a text that overlap or touch become one: ``_runs`` in order, of start and end."""
+    place = W.partitionBy("doc", "tie").orderBy("line")
+    until = F.max(F.col("line") + F.col("n")).over(place.rowsBetween(W.unboundedPreceding, -1))
+    named = runs.withColumn("new", F.coalesce((F.col("line") > until).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(place.rowsBetween(W.unboundedPreceding, 0)))
+    whole = named.groupBy("doc", "tie", "run").agg(F.min("line").alias("start"), F.max(F.col("line") + F.col("n")).alias("end"))
+    return whole.groupBy("doc", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))

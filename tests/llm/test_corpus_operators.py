@@ -59,6 +59,8 @@ def test_line_runs_match_brute_force(spark):
     got = {x.doc_id: set(x.removed_lines) for x in linededup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute_lines(docs)
     kept = {x.doc_id: x.text for x in linededup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    runs = {x.doc_id: [n for r in x.removed_runs for n in range(r.start, r.end)] for x in linededup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: set(r) for i, r in runs.items()} == got and all(r == sorted(r) for r in runs.values())
     for i, t in docs:
         assert kept[i] == "\n".join(x for n, x in enumerate(t.split("\n")) if n not in got[i])
 
