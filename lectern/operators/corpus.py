@@ -155,6 +155,36 @@ def export_counts(turns: DataFrame, documents: DataFrame, group: str) -> DataFra
     return a.join(b, group, "full_outer").select(group, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("source_turn_count", "document_count", "word_total")])
 
 
+def export_counters(turns: DataFrame, documents: DataFrame, groups: list[str], category: str = "session_category", main: str = "legislative_debate") -> DataFrame:
+    """``export_counts`` for several groupings in long form, and for the main category against all others (``roll_up``)."""
+    side = F.when(F.col(category) == main, main).otherwise("other")
+    out = None
+    for g in [*groups, "roll_up"]:
+        a, b = (rows.withColumn("roll_up", side) if g == "roll_up" else rows for rows in (turns, documents))
+        one = export_counts(a, b, g).withColumn("group_name", F.lit(g)).withColumn("group_value", F.col(g).cast("string")).drop(g)
+        out = one if out is None else out.unionByName(one)
+    return out.select("group_name", "group_value", "source_turn_count", "document_count", "word_total")
+
+
+def override_problems(turns: DataFrame, overrides: DataFrame, keys: list[str]) -> DataFrame:
+    """Overrides that apply not exactly once, or to a turn of another date or word count than they expect."""
+    own = overrides.select(*keys, F.col("session_date").alias("_day"), F.col("expected_speech_word_count").alias("_words"))
+    met = own.join(turns.select(*keys, "session_date", "word_count"), keys, "left")
+    each = met.groupBy(*keys, "_day", "_words").agg(F.count("word_count").alias("n"), F.first("session_date").alias("day"), F.first("word_count").alias("words"))
+    found = F.array_compact(F.array(
+        F.when(F.col("n") != 1, F.concat(F.lit("applied "), F.col("n").cast("string"), F.lit(" times"))), F.when(F.col("day") != F.col("_day"), "another date"), F.when(F.col("words") != F.col("_words"), "another word count"),
+    ))
+    return each.select(*keys, F.explode(found).alias("problem"))
+
+
+def decision_statistics(decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """For each reason: turns, keys that have several decisions, and the least, most and sum of words."""
+    per = decisions.groupBy(*keys).agg(F.count("*").alias("n"), F.first("decision_reason").alias("decision_reason"))
+    again = per.groupBy("decision_reason").agg(F.count_if(F.col("n") > 1).alias("repeated_keys"))
+    out = decisions.groupBy("decision_reason").agg(F.count("*").alias("turns"), F.min("word_count").alias("least_words"), F.max("word_count").alias("most_words"), F.sum("word_count").alias("word_total"))
+    return out.join(again, "decision_reason", "left").withColumn("repeated_keys", F.coalesce("repeated_keys", F.lit(0)))
+
+
 def export_checks(decisions: DataFrame, retained: DataFrame, documents: DataFrame, keys: list[str], most: int = MAXIMUM_CHUNK_WORDS) -> DataFrame:
     """Named integrity checks of an export, one row each."""
     kept = decisions.where("decision = 'retained'").select(*keys)

@@ -302,6 +302,15 @@ def turn_statistics(spans: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("speech_word_count", F.col(f"{SPOKEN}_words")).withColumn("has_speech", F.col("speech_word_count") > 0)
 
 
+def document_statistics(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics of turns rolled up: turns, those without speech, words of speech and of the longest one, and spans by kind."""
+    kinds = (SPOKEN, UNATTRIBUTED, INSERT, STAGE, NOTE)
+    return turns.groupBy(*keys).agg(
+        F.count("*").alias("turn_count"), F.count_if(~F.col("has_speech")).alias("zero_speech_turn_count"), F.sum("speech_word_count").alias("speech_word_count"),
+        F.max("speech_word_count").alias("longest_speech"), *[F.sum(f"{k}_spans").alias(f"{k}_spans") for k in kinds],
+    )
+
+
 def coverage_gaps(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Neighbouring spans of a segment that leave a gap or overlap."""
     from pyspark.sql import Window as W

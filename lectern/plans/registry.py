@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return add
 
 
-from lectern.plans import document_queries, profile_queries, quality_queries, report_queries, speech_queries, stream_queries, topic_queries  # noqa: E402, F401
+from lectern.plans import document_queries, io_queries, profile_queries, quality_queries, report_queries, speech_queries, stream_queries, topic_queries  # noqa: E402, F401
