@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores as it takes not to clash with a column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its n + 1 offsets, starting at 0; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import materialise
+from lectern.llm.common import fresh, materialise
 
 _PLACE = ["doc", "tie", "line"]
 
@@ -135,10 +135,11 @@ def remove_repeats(documents: DataFrame, min_words: int = 50, doc_id: str = "doc
     """Documents with later copies deleted from ``text``, and with ``n_lines`` (before), ``removed_lines``, their numbers, and
     ``removed_runs``, the maximal runs that they make up (first line, and one past the last)."""
     source = documents.drop(*[f.name for f in _ADDED])
-    gone = _merged(repeated_runs(source, min_words, doc_id, text))
-    key = (F.col(doc_id).cast("long") == F.col("doc")) & (_digest_of(F.col(text)) == F.col("tie"))
+    doc, tie, found = (fresh(source, n) for n in ("doc", "tie", "runs"))
+    gone = _merged(repeated_runs(source, min_words, doc_id, text)).toDF(doc, tie, found)
+    key = (F.col(doc_id).cast("long") == F.col(doc)) & (_digest_of(F.col(text)) == F.col(tie))
     joined = source.join(gone.hint("merge"), key, "left")  # one plan at every size
-    every, runs = F.split(F.col(text), "\n"), F.coalesce(F.col("_runs"), F.array().cast(_ADDED[2].dataType))
+    every, runs = F.split(F.col(text), "\n"), F.coalesce(F.col(found), F.array().cast(_ADDED[2].dataType))
     out = joined.withColumn("removed_runs", runs).withColumn("n_lines", F.coalesce(F.size(every), F.lit(0)).cast("long"))
     lines = F.flatten(F.transform("removed_runs", lambda r: F.sequence(r["start"], r["end"] - 1)))
     n = F.size("removed_runs")
@@ -152,9 +153,9 @@ def remove_repeats(documents: DataFrame, min_words: int = 50, doc_id: str = "doc
 
 
 def _merged(runs: DataFrame) -> DataFrame:
-    """Runs of a text that overlap or touch become one: ``_runs`` in order, of start and end."""
+    """Runs of a text that overlap or touch become one: ``doc``, ``tie`` and ``runs`` in order, of start and end."""
     place = W.partitionBy("doc", "tie").orderBy("line")
     until = F.max(F.col("line") + F.col("n")).over(place.rowsBetween(W.unboundedPreceding, -1))
     named = runs.withColumn("new", F.coalesce((F.col("line") > until).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(place.rowsBetween(W.unboundedPreceding, 0)))
     whole = named.groupBy("doc", "tie", "run").agg(F.min("line").alias("start"), F.max(F.col("line") + F.col("n")).alias("end"))
-    return whole.groupBy("doc", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))
+    return whole.groupBy("doc", "tie").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
