@@ -62,16 +62,22 @@ def speaker_markers(x: pd.Series) -> pd.Series:
     return x.map(lambda t: [] if t is None else markers_of(t))
 
 
+# What folded labels say of a speaker, in order of precedence.
+HEADS_OF_STATE = ["PRESIDENTE DE LA NACION", "PRESIDENTA DE LA NACION"]
+FAMILIES = [
+    ("chair", r"\b(?:VICE)?PRESIDENT[EA]\b"),
+    ("chamber_secretary", r"^SECRETARI[OA](?:\s*\(|$)"),
+    ("executive_official", r"\b(?:JEFE\s+DE\s+GABINETE|MINISTR[OA]|SUBSECRETARI[OA]|SECRETARI[OA]\s+DE)\b"),
+    ("collective_or_anonymous", r"\b(?:VARIOS|VARIAS|VOCES|DIPUTADOS|DIPUTADAS)\b"),
+]
+
+
 def family(label: Column) -> Column:
     """Family of a folded label, by the first rule that fits."""
-    return (
-        F.when(label.isin("PRESIDENTE DE LA NACION", "PRESIDENTA DE LA NACION"), "executive_official")
-        .when(label.rlike(r"\b(?:VICE)?PRESIDENT[EA]\b"), "chair")
-        .when(label.rlike(r"^SECRETARI[OA](?:\s*\(|$)"), "chamber_secretary")
-        .when(label.rlike(r"\b(?:JEFE\s+DE\s+GABINETE|MINISTR[OA]|SUBSECRETARI[OA]|SECRETARI[OA]\s+DE)\b"), "executive_official")
-        .when(label.rlike(r"\b(?:VARIOS|VARIAS|VOCES|DIPUTADOS|DIPUTADAS)\b"), "collective_or_anonymous")
-        .otherwise("named_or_role_unspecified")
-    )
+    out = F.when(label.isin(*HEADS_OF_STATE), "executive_official")
+    for name, pattern in FAMILIES:
+        out = out.when(label.rlike(pattern), name)
+    return out.otherwise("named_or_role_unspecified")
 
 
 def events(blocks: DataFrame, text: str = "text") -> DataFrame:

@@ -11,10 +11,10 @@ from lectern.functions import text as X
 #: The formulas and headings of the proceedings, matched on folded text.
 CHAIR = r"(?m)^\s*(?:SR|SRA)\.\s+PRESIDENT(?:E|A)\b"
 OTHER_SPEAKER = r"(?m)^\s*(?:SR|SRA)\.\s+(?!PRESIDENT(?:E|A)\b)[A-Z]"
-OPENING = r"\b(?:QUEDA\s+ABIERTA|SE\s+ABRE|SE\s+DECLARA\s+ABIERTA|DECLARO\s+ABIERTA)\s+LA\s+SESION\b"
-CLOSING = r"\b(?:QUEDA\s+LEVANTADA|SE\s+LEVANTA|SE\s+CIERRA|SE\s+DA\s+POR\s+LEVANTADA)\s+LA\s+SESION\b"
+OPENINGS = ["QUEDA ABIERTA LA SESION", "SE ABRE LA SESION", "SE DECLARA ABIERTA LA SESION", "DECLARO ABIERTA LA SESION"]
+CLOSINGS = ["QUEDA LEVANTADA LA SESION", "SE LEVANTA LA SESION", "SE CIERRA LA SESION", "SE DA POR LEVANTADA LA SESION"]
+RESUMPTIONS = ["CONTINUA LA SESION", "SE REANUDA LA SESION"]
 INTERMISSION = r"\bSE\s+PASA\s+A\s+CUARTO\s+INTERMEDIO\b"
-RESUMPTION = r"\b(?:CONTINUA|SE\s+REANUDA)\s+LA\s+SESION\b"
 HOUR = r"(?m)^\s*[-–]?\s*ES\s+LA\s+HORA\b"
 DIRECTOR = r"\bDIRECTOR\s+DEL\s+CUERPO\s+DE\s+TAQUIGRAFOS\b"
 VOTE = r"(?m)^\s*[-–]?\s*(?:SE\s+PRACTICA|FINALIZADA)\s+LA\s+VOTACION\s+NOMINAL\b|^\s*[-–]?\s*VOTAN\s+POR\s+LA\s+(?:AFIRMATIVA|NEGATIVA)\b|\bCONFORME\s+AL\s+TABLERO\s+ELECTRONICO\b"
@@ -30,6 +30,14 @@ CHAMBER = "CAMARA DE DIPUTADOS DE LA NACION"
 _DOC = "source_record_id"
 
 
+def _formula(phrases: list[str]) -> str:
+    """A pattern for any of some phrases, with any white space between words."""
+    return r"\b(?:" + "|".join(p.replace(" ", r"\s+") for p in phrases) + r")\b"
+
+
+OPENING, CLOSING, RESUMPTION = map(_formula, (OPENINGS, CLOSINGS, RESUMPTIONS))
+
+
 def running_header(folded: Column) -> Column:
     flat = F.trim(F.regexp_replace(folded, r"\s+", " "))
     named = F.contains(flat, F.lit(CHAMBER))
@@ -43,7 +51,7 @@ def running_footer(folded: Column) -> Column:
 
 
 def classify(blocks: DataFrame) -> DataFrame:
-    """Add zone, role, inclusion, reason, method and confidence to every block.
+    """Add zone, role, inclusion, reason, method and confidence to every block, and which ones the proceedings start, end and are followed at.
 
     Blocks carry ``source_record_id, page_number, reading_order, region, y1, page_height, text``.
     A document without a chair's word has null zones: see ``without_anchor``.
@@ -91,6 +99,8 @@ def classify(blocks: DataFrame) -> DataFrame:
     included = body & (F.col("content_role") == "transcript")
     marginal_roles = ["running_header", "running_footer", "procedural", "vote_record"]
     reason = F.when(included, F.lit(None)).when(F.col("content_role").isin(*marginal_roles), F.col("content_role")).otherwise(F.col("structural_zone"))
+    anchors = {"is_start_anchor": F.col("_start"), "is_end_anchor": F.coalesce(close, appendix), "is_post_start_anchor": F.col("_post")}
+    b = b.withColumns({name: F.coalesce(i == at, F.lit(False)) for name, at in anchors.items()})
     return b.withColumn("include_in_discourse", F.coalesce(included, F.lit(False))).withColumn("exclusion_reason", reason).drop(*[c for c in b.columns if c.startswith("_")])
 
 
@@ -100,7 +110,7 @@ def without_anchor(classified: DataFrame) -> DataFrame:
 
 
 def page_roles(classified: DataFrame) -> DataFrame:
-    """Zone and role counts of each page as sorted maps, included characters and words, and whether a page is mixed."""
+    """Zone and role counts of each page as sorted maps, included characters and words, anchors, and whether a page is mixed."""
     keys = [_DOC, "page_number"]
 
     def counted(column: str, name: str) -> DataFrame:
@@ -108,6 +118,7 @@ def page_roles(classified: DataFrame) -> DataFrame:
         return n.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "n")))).alias(name))
 
     text = F.when(F.col("include_in_discourse"), F.col("text"))
-    base = classified.groupBy(*keys).agg(F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("included_characters"), F.coalesce(F.sum(F.size(X.words(text))), F.lit(0)).alias("included_words"))
+    anchors = [F.bool_or(f"is_{a}_anchor").alias(f"contains_{a}_anchor") for a in ("start", "end", "post_start")]
+    base = classified.groupBy(*keys).agg(*anchors, F.coalesce(F.sum(F.length(text)), F.lit(0)).alias("included_characters"), F.coalesce(F.sum(F.size(X.words(text))), F.lit(0)).alias("included_words"))
     out = base.join(counted("structural_zone", "zone_counts"), keys).join(counted("content_role", "role_counts"), keys)
     return out.withColumn("has_mixed_zones", F.size("zone_counts") > 1).withColumn("has_mixed_roles", F.size("role_counts") > 1)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,7 +39,10 @@ FORMAL_BODY = re.compile(
 )
 OFF_MICROPHONE = re.compile(r"^[ \t]*(?:[-–—]+[ \t]*)+(?:La|El)\s+señor(?:a)?\s+diputad[oa]\b.{0,800}?(?:fuera\s+de\s+micr[óo]fono|no\s+se\s+alcanzan\s+a\s+percibir).{0,400}?[.!?](?=[ \t]*(?:\r?\n|$))", re.I | re.M | re.S)
 BRACKETS = re.compile(r"\(([^()]{1,500})\)", re.S)
-APPLAUSE = re.compile(r"(?:APLAUSOS?|RISAS?)(?:\s+Y\s+(?:APLAUSOS?|RISAS?|MANIFESTACIONES(?:\s+EN\s+(?:LAS\s+GALERIAS|LAS\s+BANCAS|LA\s+SALA))?))?(?:\s+PROLONGADOS?)?\.?|APLAUSOS?\.\s+VARIOS\s+SENORES\s+DIPUTADOS\s+(?:HABLAN\s+A\s+LA\s+VEZ|RODEAN\s+Y\s+FELICITAN\s+AL\s+ORADOR)\.?")
+APPLAUSE = [
+    re.compile(r"(?:APLAUSOS?|RISAS?)(?:\s+Y\s+(?:APLAUSOS?|RISAS?|MANIFESTACIONES(?:\s+EN\s+(?:LAS\s+GALERIAS|LAS\s+BANCAS|LA\s+SALA))?))?(?:\s+PROLONGADOS?)?\.?"),
+    re.compile(r"APLAUSOS?\.\s+VARIOS\s+SENORES\s+DIPUTADOS\s+(?:HABLAN\s+A\s+LA\s+VEZ|RODEAN\s+Y\s+FELICITAN\s+AL\s+ORADOR)\.?"),
+]
 SEE = re.compile(r"^[ \t]*(?:\d+[ \t]*[.)]?[ \t]+)?V[EÉ]ASE\b", _I)
 SPEAKER = re.compile(r"^[ \t]*Sr(?:a)?\.?(?=\s)", _I)
 GOES_ON = re.compile(r"^[\s ]*[a-záéíóúüñ]")
@@ -60,7 +64,9 @@ DASHED_STARTS = ("LUEGO DE UNOS INSTANTES", "DESPUES DE UNOS INSTANTES", "TRANSC
 OPEN_PRESIDENCY = {"OCUPA LA PRESIDENCIA EL SENOR", "OCUPA LA PRESIDENCIA LA SENORA"}
 
 
+@lru_cache(1 << 14)
 def fold(x: str) -> str:
+    """Upper case without accents, white space collapsed; a line is folded for several tests, so the last ones are kept."""
     return " ".join("".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).split()).upper()
 
 
@@ -209,7 +215,7 @@ def _wrapped(lines: list[Line], k: int, most: int = WRAP_LINES) -> int:
 def notes(text: str) -> list[tuple[int, int, str, str, float]]:
     """Stage directions and editorial notes of a text; of overlapping ones the earliest, directions first."""
     found = [(m.start(), m.end(), STAGE, "exact_multiline_outside_microphone_stage_direction", 1.0) for m in OFF_MICROPHONE.finditer(text)]
-    found += [(m.start(), m.end(), STAGE, "exact_parenthetical_stage_direction", 1.0) for m in BRACKETS.finditer(text) if APPLAUSE.fullmatch(fold(m[1]))]
+    found += [(m.start(), m.end(), STAGE, "exact_parenthetical_stage_direction", 1.0) for m in BRACKETS.finditer(text) if any(p.fullmatch(fold(m[1])) for p in APPLAUSE)]
     lines = lines_of(text)
     for k, x in enumerate(lines):
         see, stage = bool(SEE.match(x.text)), x.stage
@@ -302,6 +308,20 @@ def turn_statistics(spans: DataFrame, keys: list[str]) -> DataFrame:
     return out.withColumn("speech_word_count", F.col(f"{SPOKEN}_words")).withColumn("has_speech", F.col("speech_word_count") > 0)
 
 
+def segment_records(turns: DataFrame, keys: list[str], segments: str = "segments") -> DataFrame:
+    """One row for each segment of a turn: its number from 0, text, characters and words; a null one is empty."""
+    from lectern.functions import text as X
+
+    each = turns.select(*keys, F.posexplode(segments).alias("segment_index", "text")).withColumn("text", F.coalesce("text", F.lit("")))
+    return each.withColumn("character_count", F.length("text")).withColumn("word_count", F.size(X.words(F.col("text"))))
+
+
+def span_records(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans as they are stored: number, source, bounds, kind, how it was told, and counts of characters and words."""
+    how = F.struct(F.col("classification_method").alias("method"), F.col("classification_confidence").alias("confidence"))
+    return spans.select(*keys, "content_span_index", F.col("segment").alias("source_segment_index"), "start", "end", "text", "content_kind", "include_in_speech", how.alias("classification"), (F.col("end") - F.col("start")).alias("character_count"), "word_count")
+
+
 def document_statistics(turns: DataFrame, keys: list[str]) -> DataFrame:
     """Statistics of turns rolled up: turns, those without speech, words of speech and of the longest one, and spans by kind."""
     kinds = (SPOKEN, UNATTRIBUTED, INSERT, STAGE, NOTE)

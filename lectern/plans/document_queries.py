@@ -15,7 +15,7 @@ from lectern.operators import topics as T
 from lectern.plans.registry import query, table
 from lectern.plans.topic_queries import _COMPONENTS, _E, components, levels
 from lectern.sources import sinks
-from lectern.sources.scratch import shared_dir
+from lectern.sources.scratch import materialise, shared_dir
 
 _WORDS = "len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))"
 _PERIOD = "CASE WHEN year BETWEEN 2008 AND 2011 THEN '2008-2011' WHEN year BETWEEN 2012 AND 2015 THEN '2012-2015' WHEN year BETWEEN 2016 AND 2019 THEN '2016-2019' WHEN year BETWEEN 2020 AND 2023 THEN '2020-2023' WHEN year BETWEEN 2024 AND 2025 THEN '2024-2025' END"
@@ -144,7 +144,7 @@ def aligned_embeddings(spark, sf_dir):
 
 
 @query("""WITH u AS (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE length(text) > 0), f AS (SELECT *, [{'s': 0, 'e': 40, 'o': 1}, {'s': 40, 'e': 90, 'o': 2}, {'s': 90, 'e': 100000000, 'o': 3}] AS fr FROM u)
-SELECT conv_id, turn, 1 AS chunk_count_for_turn, list_transform(list_filter(fr, lambda f: f.s < n), lambda f: f.o) AS source_pages_covered, CAST(list_sum(list_transform(list_filter(fr, lambda f: f.s < n), lambda f: least(f.e, n) - f.s)) AS BIGINT) AS covered FROM f WHERE n > 0""")
+SELECT conv_id, turn, 1 AS chunk_count_for_turn, array_to_string(list_transform(list_filter(fr, lambda f: f.s < n), lambda f: f.o), ',') AS source_pages_covered, CAST(list_sum(list_transform(list_filter(fr, lambda f: f.s < n), lambda f: least(f.e, n) - f.s)) AS BIGINT) AS covered FROM f WHERE n > 0""")
 def document_records(spark, sf_dir):
     """Whole turns as documents, so that the twin needs no chunks; provenance is of three pages."""
     t = table(spark, sf_dir, "conversations").where(F.length("text") > 0)
@@ -152,7 +152,7 @@ def document_records(spark, sf_dir):
     made = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(p).alias("source")) for a, b, p in ((0, 40, 1), (40, 90, 2), (90, 100_000_000, 3))])
     r = D.document_records(whole, made, ["conv_id"])
     covered = F.aggregate("provenance", F.lit(0).cast("long"), lambda s, f: s + f["end"] - f["start"])
-    return r.select("conv_id", F.col("turn_index").alias("turn"), F.col("chunk_count_for_turn").cast("int").alias("chunk_count_for_turn"), "source_pages_covered", covered.alias("covered"))
+    return r.select("conv_id", F.col("turn_index").alias("turn"), F.col("chunk_count_for_turn").cast("int").alias("chunk_count_for_turn"), F.array_join(F.col("source_pages_covered").cast("array<string>"), ",").alias("source_pages_covered"), covered.alias("covered"))
 
 
 # The data of reports.
@@ -203,3 +203,22 @@ def word_npmi(spark, sf_dir):
     pairs = T.pair_counts(seen, top, n).where("co > 0 AND co < documents")
     each = pairs.groupBy("topic").agg(F.avg(F.ln((F.col("co") / F.col("documents")) / (F.col("df_a") / F.col("documents") * F.col("df_b") / F.col("documents"))) / -F.ln(F.col("co") / F.col("documents"))).alias("c"))
     return each.agg(F.round(F.avg("c"), 4).alias("mean"), F.round(F.median("c"), 4).alias("median"), F.round(F.min("c"), 4).alias("least"))
+
+
+_CLAIMED = 14
+
+
+@query(
+    f"WITH {_ANNUAL}, t AS (SELECT topic, max(share) * 100 AS peak, arg_max(year, (share, -year)) AS peak_year FROM v WHERE level = 'source_turn' AND topic < {_CLAIMED} GROUP BY topic), "
+    "c AS (SELECT 'topic_' || topic || '_peak' AS claim_id, round(peak, 6) AS raw_value, printf('%.6f%%', round(peak, 6)) AS display_value, 'percent' AS unit FROM t UNION ALL SELECT 'topic_' || topic || '_peak_year', peak_year::DOUBLE, printf('%.0f', peak_year::DOUBLE), 'year' FROM t) "
+    "SELECT claim_id, raw_value, display_value, unit, sha256(claim_id || '|' || display_value || '|' || unit) AS evidence_hash FROM c"
+)
+def topic_claims(spark, sf_dir):
+    """Twenty-eight claims: each topic's highest share among years, and the earliest year that has it; each has to be one row."""
+    own = V.prevalence({"source_turn": levels(spark, sf_dir)["source_turn"]}, "year").where(F.col("topic") < _CLAIMED)
+    peaks = materialise(own.groupBy("topic").agg(F.round(F.max("prevalence_share") * 100, 6).alias("peak"), F.max_by("year", F.struct("prevalence_share", (-F.col("year")).alias("y"))).cast("double").alias("peak_year")), "peaks")
+    parts = {}
+    for t in range(_CLAIMED):
+        parts[f"topic_{t}_peak"] = (R.exactly_one(peaks, F.col("topic") == t, "peak"), "percent", "%.6f%%")
+        parts[f"topic_{t}_peak_year"] = (R.exactly_one(peaks, F.col("topic") == t, "peak_year"), "year", "%.0f")
+    return R.claims(parts)

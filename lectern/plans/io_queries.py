@@ -104,7 +104,7 @@ def inconsistent_metadata(spark, sf_dir):
     return V.inconsistent(table(spark, sf_dir, "documents").where("lang IS NOT NULL"), ["source"], ["lang"])
 
 
-@query("WITH c AS (SELECT lang, count(*) AS documents, count_if(length(text) < 40) AS zeros FROM documents GROUP BY lang) SELECT lang, documents, zeros, zeros <= 3 AND zeros <= 0.25 * documents AS allowed FROM c")
+@query("WITH c AS (SELECT lang, count(*) AS documents, CAST(count_if(length(text) < 40) AS BIGINT) AS zeros FROM documents GROUP BY lang) SELECT lang, documents, zeros, zeros <= 3 AND zeros <= 0.25 * documents AS allowed FROM c")
 def zero_rows_allowed(spark, sf_dir):
     c = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("documents"), F.count_if(F.length("text") < 40).alias("zeros"))
     return c.withColumn("allowed", T.zero_policy(F.col("zeros"), F.col("documents"), 3, 0.25))
@@ -163,3 +163,24 @@ def decision_statistics(spark, sf_dir):
     from lectern.plans.quality_queries import _decided
 
     return C.decision_statistics(_decided(spark, sf_dir), ["conv_id", "turn"])
+
+
+_TAIL_TEXT = "'(Aplausos.)' || chr(10) || '- Ocupa la Presidencia la señora vicepresidenta' || chr(10) || 'primera de la Honorable Cámara.' || chr(10) || 'Véase el texto en el Apéndice.'"
+
+
+@query(f"WITH s AS (SELECT conv_id, turn, 0 AS segment_index, coalesce(text, '') AS text FROM conversations UNION ALL SELECT conv_id, turn, 1, {_TAIL_TEXT} FROM conversations) SELECT conv_id, turn, segment_index, length(text) AS character_count, {_WORDS} AS word_count, sha256(text) AS text_sha256 FROM s")
+def segment_records(spark, sf_dir):
+    from lectern.operators import turncontent
+
+    return turncontent.segment_records(_segments(spark, sf_dir), ["conv_id", "turn"]).withColumn("text_sha256", F.sha2("text", 256)).drop("text").withColumns({c: F.col(c).cast("long") for c in ("character_count", "word_count")})
+
+
+@query(f"SELECT conv_id, turn, sha256(coalesce(text, '') || {_TAIL_TEXT}) AS text_sha256, length(coalesce(text, '')) + length({_TAIL_TEXT}) AS character_count, true AS counts_agree FROM conversations")
+def span_records(spark, sf_dir):
+    """Records of a turn's spans: their characters add up to the turn's, and each has as many as its text."""
+    from lectern.operators import turncontent
+
+    r = turncontent.span_records(turncontent.content_spans(_segments(spark, sf_dir)), ["conv_id", "turn"])
+    parts = F.array_sort(F.collect_list(F.struct("content_span_index", "text")))  # a turn's spans
+    out = r.groupBy("conv_id", "turn").agg(parts.alias("p"), F.sum("character_count").alias("character_count"), F.bool_and(F.col("character_count") == F.length("text")).alias("counts_agree"))
+    return out.select("conv_id", "turn", F.sha2(F.array_join(F.transform("p", lambda x: x["text"]), ""), 256).alias("text_sha256"), "character_count", "counts_agree")

@@ -106,13 +106,13 @@ s AS (SELECT *, coalesce(content_role = 'transcript' AND structural_zone = 'proc
 @query(f"WITH {_ZONED} SELECT source_record_id, page_number, reading_order, 'body_full' AS region, 'document_end' AS end_method, structural_zone, content_role, classification_method, classification_confidence, include_in_discourse, CASE WHEN include_in_discourse THEN NULL WHEN content_role IN ('procedural', 'vote_record') THEN content_role ELSE structural_zone END AS exclusion_reason FROM s")
 def structural_blocks(spark, sf_dir):
     """Sessions of formulas and plain words; closings, appendices and pauses, which they lack, are in the tests of rules."""
-    return Z.classify(_session(spark, sf_dir)).drop("text", "y1", "page_height")
+    return Z.classify(_session(spark, sf_dir)).drop("text", "y1", "page_height", "is_start_anchor", "is_end_anchor", "is_post_start_anchor")
 
 
 _MAP = lambda column, name: f"{name} AS (SELECT source_record_id, page_number, '{{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}}' AS {name}, count(*) AS {name}_n FROM (SELECT source_record_id, page_number, {column} AS k, count(*) AS n FROM s GROUP BY ALL) GROUP BY ALL)"
 
 
-@query(f"WITH {_ZONED}, c AS (SELECT source_record_id, page_number, CAST(coalesce(sum(length(text)) FILTER (WHERE include_in_discourse), 0) AS BIGINT) AS included_characters, CAST(coalesce(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) FILTER (WHERE include_in_discourse), 0) AS BIGINT) AS included_words FROM s GROUP BY ALL), {_MAP('structural_zone', 'zone_counts')}, {_MAP('content_role', 'role_counts')} SELECT source_record_id, page_number, included_characters, included_words, zone_counts, role_counts, zone_counts_n > 1 AS has_mixed_zones, role_counts_n > 1 AS has_mixed_roles FROM c JOIN zone_counts USING (source_record_id, page_number) JOIN role_counts USING (source_record_id, page_number) WHERE zone_counts IS NOT NULL")
+@query(f"WITH {_ZONED}, c AS (SELECT source_record_id, page_number, CAST(coalesce(sum(length(text)) FILTER (WHERE include_in_discourse), 0) AS BIGINT) AS included_characters, CAST(coalesce(sum(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))) FILTER (WHERE include_in_discourse), 0) AS BIGINT) AS included_words, coalesce(bool_or(i = first), false) AS contains_start_anchor, false AS contains_end_anchor, false AS contains_post_start_anchor FROM s GROUP BY ALL), {_MAP('structural_zone', 'zone_counts')}, {_MAP('content_role', 'role_counts')} SELECT source_record_id, page_number, included_characters, included_words, contains_start_anchor, contains_end_anchor, contains_post_start_anchor, zone_counts, role_counts, zone_counts_n > 1 AS has_mixed_zones, role_counts_n > 1 AS has_mixed_roles FROM c JOIN zone_counts USING (source_record_id, page_number) JOIN role_counts USING (source_record_id, page_number) WHERE zone_counts IS NOT NULL")
 def page_roles(spark, sf_dir):
     pages = Z.page_roles(Z.classify(_session(spark, sf_dir)))
     return pages.withColumn("zone_counts", F.to_json("zone_counts")).withColumn("role_counts", F.to_json("role_counts"))
