@@ -28,7 +28,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(RANKS), decoded="decoded")
+    done = tokens.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(RANKS), decoded="decoded", pattern=public_tokenizers.PATTERN)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

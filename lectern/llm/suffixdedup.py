@@ -54,9 +54,12 @@ CROWD = 1024
 _BASE = 0x9E3779B97F4A7C15
 
 
+_ZSTD = pa.Codec("zstd", compression_level=6)
+
+
 def squeeze(data: bytes) -> bytes:
-    """Compressed bytes with their length ahead; texts cross shuffles several times."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    """Compressed bytes with their length ahead; texts cross shuffles several times, so a higher level pays."""
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
 
 
 def spread(data: bytes) -> np.ndarray:
