@@ -12,7 +12,7 @@ from lectern.operators import documents as D
 from lectern.operators import prevalence as V
 from lectern.operators import reports as R
 from lectern.operators import topics as T
-from lectern.plans.registry import query, table
+from lectern.plans.base import query, table
 from lectern.plans.topic_queries import _COMPONENTS, _E, components, levels
 from lectern.sources import sinks
 from lectern.sources.scratch import materialise, shared_dir

@@ -14,7 +14,7 @@ from lectern.operators import manifest as M
 from lectern.operators import prevalence as V
 from lectern.operators import quality as Q
 from lectern.operators import topics as T
-from lectern.plans.registry import query, table
+from lectern.plans.base import query, table
 from lectern.plans.speech_queries import _ORDERED, _blocks, _segments
 from lectern.sources import readers, sinks
 from lectern.sources.scratch import shared_dir

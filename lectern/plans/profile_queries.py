@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as X
 from lectern.operators import profile as P
-from lectern.plans.registry import query, table
+from lectern.plans.base import query, table
 
 #: Seeds of procedural tokens, and the mapping of test tables to the corpus model.
 SEEDS = ["señor", "señora", "presidente", "presidenta", "diputado", "diputada", "honorable", "cámara", "sesión", "palabra", "gracias"]

@@ -10,7 +10,7 @@ from lectern.operators import corpus as C
 from lectern.operators import intervals as I
 from lectern.operators import manifest as M
 from lectern.operators import quality as Q
-from lectern.plans.registry import query, table
+from lectern.plans.base import query, table
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_orderkey IS NOT NULL)")

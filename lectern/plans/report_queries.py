@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as X
 from lectern.operators import reports as R
 from lectern.operators import topics as T
-from lectern.plans.registry import query, table
+from lectern.plans.base import query, table
 from lectern.plans.topic_queries import _COMPONENTS, components
 
 

@@ -8,7 +8,7 @@ from lectern.functions import text as X
 from lectern.operators import layout as L
 from lectern.operators import speakers as S
 from lectern.operators import structure as Z
-from lectern.plans.registry import query, table
+from lectern.plans.base import query, table
 
 _KIND = "CASE role WHEN 'user' THEN 'marker' WHEN 'assistant' THEN 'gap' ELSE 'reset' END"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans.registry import query, table
+from lectern.plans.base import query, table
 from lectern.streaming import windows
 
 

@@ -11,7 +11,7 @@ from lectern.operators import nmf as N
 from lectern.operators import prevalence as V
 from lectern.operators import topics as T
 from lectern.plans.profile_queries import TOKENS
-from lectern.plans.registry import query, table
+from lectern.plans.base import query, table
 from lectern.sources.scratch import materialise
 
 _E = """emb AS (SELECT vec_id, label, vec_id % 100 AS turn, vec_id % 20 AS session, 2008 + (vec_id % 20) % 18 AS year, list_transform(embedding, lambda x: greatest(CAST(x AS DOUBLE), 0)) AS raw FROM embeddings),
