@@ -29,6 +29,7 @@ and replaced where they bear the name of an added one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +39,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.common import fresh, materialise
+from lectern.llm.common import fresh, materialise, text_buffer
 
 _PLACE = ["doc", "tie", "line"]
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``doc``, ``tie``, ``line``, ``digest`` and ``words`` of every line."""
-    each = docs.select("doc", "tie", F.posexplode(F.split("text", "\n")).alias("line", "own"))
-    # a word begins at a byte that is no white space and follows white space or nothing
-    words = F.regexp_count("own", F.lit(r"[^ \t\n\x0B\f\r]+"))
-    return each.select("doc", "tie", "line", F.unhex(F.md5(F.col("own").cast("binary"))).alias("digest"), words.alias("words"))
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest and number of words of every line.  Done in the JVM, arrays of lines took an executor over 3 GB after the pipeline's first stage."""
+    for batch in batches:
+        data, offsets = text_buffer(batch.column(2))
+        raw, ids, ties = data.tobytes(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        row: list[int] = []
+        line: list[int] = []
+        digest: list[bytes] = []
+        words: list[int] = []
+        for k in range(len(batch)):
+            for n, own in enumerate(raw[offsets[k] : offsets[k + 1]].split(b"\n")):
+                row.append(k)
+                line.append(n)
+                digest.append(hashlib.md5(own).digest())
+                words.append(len(own.split()))
+            if len(row) > 1 << 16 or k == len(batch) - 1:
+                at = np.array(row, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ties[at]), pa.array(line, pa.int32()), pa.array(digest, pa.binary()), pa.array(words, pa.int32())], ["doc", "tie", "line", "digest", "words"])
+                row, line, digest, words = [], [], [], []
 
 
 def ranked(keys: DataFrame, by: list[str]) -> DataFrame:
@@ -94,7 +108,7 @@ def _digest_of(text: Column) -> Column:
 def repeated_runs(documents: DataFrame, min_words: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc``, ``tie``, ``line`` and ``n``: runs of ``n`` lines that have an earlier copy."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc"), _digest_of(F.col(text)).alias("tie"), F.col(text).alias("text")).where(F.col("doc").isNotNull() & F.col("text").isNotNull())
-    lines = materialise(_lines(docs), "lines")
+    lines = materialise(docs.mapInArrow(_lines, "doc long, tie long, line int, digest binary, words int"), "lines")
     twice = lines.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     numbers = ranked(twice, ["digest"])
     now = materialise(lines.join(numbers, "digest").select(*_PLACE, "rank", "words").dropDuplicates(_PLACE), "ranks")
