@@ -9,7 +9,7 @@ document with a smaller id.  The steps, on packs of whole documents:
    anchors, wherever they are.
 2. *Shared anchors.*  Hashes of anchors meet by hash range; a bit for each says
    whether it occurs in two documents.  Windows of other anchors can't repeat.
-   An anchor that ``CROWD`` packs have is crowded.
+   An anchor with ``CROWD`` different pieces is crowded.
 3. *Pieces.*  The windows of a shared anchor are a run; the bytes they span are a
    piece.  Equal pieces of a pack are settled at once: only the smallest id goes on.
    Pieces are dealt to shards by their anchor; a crowded anchor's, which may have
@@ -25,8 +25,10 @@ document with a smaller id.  The steps, on packs of whole documents:
 5. What was found goes back to the packs, where documents are cut.
 
 Anchors meet only by their hashes, so a false meeting costs time, not results;
-strings are compared byte by byte.  A pack passes on two entries at most for an
-anchor, and one piece for equal ones, so copies don't pile up anywhere.
+strings are compared byte by byte.  A pack passes on one entry for an anchor, and
+one piece for equal ones, so copies don't pile up anywhere.  Packs and shards are
+wide, for there is a row for each of both that have something in common: what is
+done in memory goes by slices of a pack and by the ``FINE`` parts of a shard.
 
 Defined results: a null text is empty; rows with a null id take no part and lose
 nothing; rows that share an id don't remove from one another; an empty table
@@ -45,12 +47,12 @@ from pyspark.sql import functions as F
 from lectern.llm.common import discard, materialise, ragged, release, text_buffer
 
 WIDTH, GRAM = 50, 20
-#: Bytes of text in a pack, and bytes of text for each shard of anchors and pieces.
-PACK, SHARD = 2 << 20, 8 << 20
+#: Bytes of text in a pack, in a slice of one, and for each shard of anchors and pieces; parts of a shard whose pieces are settled in turn.
+PACK, SLICE, SHARD, FINE = 16 << 20, 2 << 20, 32 << 20, 4
 #: Bytes of pieces in one suffix array, and lanes of Kasai's scan.
 ARRAY, LANES = 8 << 20, 1 << 14
-#: Packs with an anchor from which its windows are dealt one by one.
-CROWD = 1024
+#: Different pieces of an anchor (those of each pack, added up) from which its windows are dealt one by one, and number in a pack from which they are counted.
+CROWD, COUNTED = 1 << 17, 4
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -86,6 +88,12 @@ def gram_hashes(data: np.ndarray, k: int = GRAM) -> np.ndarray:
     return out ^ out >> np.uint64(32)
 
 
+def window_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Hash of the window at each of ``start``."""
+    out = [gram_hashes(data[start[k : k + (1 << 14), None] + np.arange(WIDTH)].reshape(-1), WIDTH)[::WIDTH] for k in range(0, len(start), 1 << 14)]
+    return np.concatenate([*out, np.zeros(0, np.uint64)])
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Anchors' hashes are the least of many, so they crowd at the low end; this spreads them evenly."""
     out = h * np.uint64(0x94D049BB133111EB)
@@ -159,9 +167,22 @@ class _Pack:
         self.offsets = np.frombuffer(row["offsets"], "<i8")
         self.data = spread(row["data"])
 
+    def slices(self) -> Iterator[tuple[int, int]]:
+        """Runs of whole documents with ``SLICE`` bytes at most (one document at least)."""
+        a, n = 0, len(self.ids)
+        while a < n:
+            b = min(n, max(a + 1, int(np.searchsorted(self.offsets, self.offsets[a] + SLICE, "right")) - 1))
+            yield a, b
+            a = b
+
     def find(self) -> None:
         """Anchors in the order of their hash; ``twice`` is true where two of the pack's documents share one."""
-        h, doc, first, last = anchors(self.data, self.offsets, self.known)
+        each = []
+        for a, b in self.slices():
+            at = self.offsets[a]
+            h, doc, first, last = anchors(self.data[at : self.offsets[b]], self.offsets[a : b + 1] - at, self.known[a:b])
+            each.append((h, doc + a, first + at, last + at))
+        h, doc, first, last = map(np.concatenate, zip(*each))
         order = np.argsort(h, kind="stable")
         self.hash, self.doc, self.first, self.last = h[order], doc[order], first[order], last[order]
         new = np.concatenate([[True], self.hash[1:] != self.hash[:-1]]) if len(h) else np.zeros(0, bool)
@@ -170,6 +191,28 @@ class _Pack:
         own = self.ids[self.doc]
         self.twice = np.minimum.reduceat(own, self.group) != np.maximum.reduceat(own, self.group) if len(h) else new
 
+    def different(self) -> tuple[np.ndarray, np.ndarray]:
+        """Groups with ``COUNTED`` anchors or more, and how many different pieces they have (by a hash of the first and last window)."""
+        size = np.diff(np.append(self.group, len(self.hash)))
+        many = np.flatnonzero(size >= COUNTED)
+        own = ragged(self.group[many], size[many])
+        factors = np.array([pow(_BASE, k + 1, 1 << 64) for k in range(2 * WIDTH)], np.uint64)
+        name = np.zeros(len(own), np.uint64)
+        for a in range(0, len(own), 1 << 14):
+            for k, start in enumerate((self.first, self.last)):
+                window = self.data[start[own[a : a + (1 << 14)]][:, None] + np.arange(WIDTH)].astype(np.uint64) + np.uint64(1)
+                name[a : a + (1 << 14)] += (window * factors[k * WIDTH : (k + 1) * WIDTH]).sum(1, dtype=np.uint64)
+        member = np.repeat(np.arange(len(many)), size[many])
+        order = np.lexsort((name, member))
+        name, member = name[order], member[order]
+        new = np.concatenate([[True], (name[1:] != name[:-1]) | (member[1:] != member[:-1])]) if len(own) else np.zeros(0, bool)
+        return many, np.bincount(member[new], minlength=len(many))
+
+
+def _gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bytes of every (first, size), one after the other; by slices, as an index takes eight times their room."""
+    return np.concatenate([*(data[ragged(first[k : k + (1 << 15)], size[k : k + (1 << 15)])] for k in range(0, len(first), 1 << 15)), np.zeros(0, np.uint8)])
+
 
 def _cuts(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """Shard of sorted hashes (by their high bits), and where each shard that occurs begins."""
@@ -185,7 +228,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _anchor_sets(shards: int):
-    """For each pack and shard: distinct hashes, and which of them two of the pack's documents share."""
+    """For each pack and shard: distinct hashes, which of them two of the pack's documents share, and places and numbers of those with many pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -193,11 +236,13 @@ def _anchor_sets(shards: int):
             p.find()
             h = p.hash[p.group]
             shard, edge = _cuts(h, shards)
-            out = [[], [], [], []]
+            many, pieces = p.different()
+            out = [[], [], [], [], []]
             for a, b in zip(edge, np.append(edge[1:], len(h))):
-                for o, v in zip(out, (int(shard[a]), row["number"], h[a:b].astype("<u4").tobytes(), np.packbits(p.twice[a:b]).tobytes())):
+                m = slice(*np.searchsorted(many, [a, b]))
+                for o, v in zip(out, (int(shard[a]), row["number"], h[a:b].astype("<u4").tobytes(), np.packbits(p.twice[a:b]).tobytes(), np.stack([many[m] - a, pieces[m]]).astype("<u4").tobytes())):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "number", "hashes", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["shard", "number", "hashes", "twice", "many"])
 
     return run
 
@@ -208,13 +253,17 @@ def _meet(part: pa.Table) -> pa.Table:
     sizes = [len(x) for x in hashes]
     twice = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(part.column("twice").to_pylist(), sizes)])
     h = np.concatenate(hashes)
+    pieces = np.ones(len(h), np.int64)
+    for start, b in zip(np.cumsum(sizes) - sizes, part.column("many").to_pylist()):
+        at, number = np.frombuffer(b, "<u4").reshape(2, -1)
+        pieces[start + at] = number
     order = np.argsort(h, kind="stable")
     h = h[order]
     group = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     count = np.diff(np.append(group, len(h)))
     flags, crowd = np.zeros(len(h), bool), np.zeros(len(h), bool)
     flags[order] = np.repeat((count > 1) | (np.maximum.reduceat(twice[order], group) > 0), count)
-    crowd[order] = np.repeat(count >= CROWD, count)
+    crowd[order] = np.repeat(np.add.reduceat(pieces[order], group) >= CROWD, count)
     ends = np.cumsum(sizes)
     bits = [[np.packbits(f[end - n : end]).tobytes() if f is flags or f[end - n : end].any() else b"" for end, n in zip(ends, sizes)] for f in (flags, crowd)]
     return pa.table({"number": part.column("number"), "shard": part.column("shard"), "bits": pa.array(bits[0], pa.binary()), "crowd": pa.array(bits[1], pa.binary())})
@@ -229,6 +278,7 @@ def _pieces(shards: int):
             p.find()
             h = p.hash[p.group]
             shard, edge = _cuts(h, shards)
+            fine, _ = _cuts(h, shards * FINE)
             flags, crowd = np.zeros(len(h), bool), np.zeros(len(h), bool)
             replies = {r["shard"]: r for r in row["replies"] or []}
             for a, b in zip(edge, np.append(edge[1:], len(h))):
@@ -237,16 +287,16 @@ def _pieces(shards: int):
                 if r["crowd"]:
                     crowd[a:b] = np.unpackbits(np.frombuffer(r["crowd"], np.uint8), count=b - a).astype(bool)
             own = np.flatnonzero(flags[p.member])
-            doc, first, last, where = p.doc[own], p.first[own], p.last[own], shard[p.member[own]]
+            doc, first, last, where = p.doc[own], p.first[own], p.last[own], fine[p.member[own]]
             if (alone := crowd[p.member[own]]).any():  # each window for itself
                 n = last[alone] - first[alone] + 1
                 start = ragged(first[alone], n)
-                to, _ = _cuts(mixed(gram_hashes(p.data, WIDTH)[start]), shards)
+                to, _ = _cuts(mixed(window_hashes(p.data, start)), shards * FINE)
                 doc, first, last, where = (np.concatenate([x[~alone], y]) for x, y in ((doc, np.repeat(doc[alone], n)), (first, start), (last, start), (where, to)))
                 order = np.argsort(where, kind="stable")
                 doc, first, last, where = doc[order], first[order], last[order], where[order]
             size = last - first + WIDTH
-            piece = _binary(p.data[ragged(first, size)], size).dictionary_encode()
+            piece = _binary(_gather(p.data, first, size), size).dictionary_encode()
             code = piece.indices.to_numpy()
             ids = p.ids[doc]
             least = np.full(len(piece.dictionary), np.iinfo(np.int64).max)
@@ -255,12 +305,17 @@ def _pieces(shards: int):
             out = [[-1 - row["number"] % shards], [row["number"]], [_spans(doc[done], first[done], last[done])]]
             doc, first, last, where, ids = doc[~done], first[~done], last[~done], where[~done], ids[~done]
             cut = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(doc) else []
+            parts: dict[int, list[tuple[int, bytes]]] = {}
             for a, b in zip(cut, np.append(cut[1:], len(doc))):
                 docs, which = np.unique(doc[a:b], return_inverse=True)
                 n = last[a:b] - first[a:b] + WIDTH
                 head = np.array([b - a, len(docs)], "<u4").tobytes()
-                body = head + squeeze(b"".join((p.ids[docs].astype("<i8").tobytes(), docs.astype("<u4").tobytes(), which.astype("<u2").tobytes(), first[a:b].astype("<u4").tobytes(), n.astype("u1").tobytes(), p.data[ragged(first[a:b], n)].tobytes())))
-                for o, v in zip(out, (int(where[a]), row["number"], body)):
+                body = b"".join((head, p.ids[docs].astype("<i8").tobytes(), docs.astype("<u4").tobytes(), which.astype("<u2").tobytes(), first[a:b].astype("<u4").tobytes(), n.astype("u1").tobytes(), _gather(p.data, first[a:b], n).tobytes()))
+                parts.setdefault(int(where[a]) // FINE, []).append((int(where[a]) % FINE, body))
+            for to, bodies in parts.items():
+                sizes = np.zeros(FINE, "<u4")
+                sizes[[k for k, _ in bodies]] = [len(x) for _, x in bodies]
+                for o, v in zip(out, (to, row["number"], squeeze(sizes.tobytes() + b"".join(x for _, x in bodies)))):
                     o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary()))], ["shard", "number", "body"])
 
@@ -405,11 +460,27 @@ def _settle(part: pa.Table) -> pa.Table:
     if part.column("shard")[0].as_py() < 0:
         return part.select(["number", "body"])
     numbers, blobs = part.column("number").to_pylist(), part.column("body").to_pylist()
+    del part
+    spans: list[list[bytes]] = [[] for _ in numbers]
+    raw = [spread(b) for b in blobs]
+    del blobs
+    ends = np.stack([np.cumsum(np.append(4 * FINE, b[: 4 * FINE].view("<u4").astype(np.int64))) for b in raw])
+    for f in range(FINE):
+        own = np.flatnonzero(ends[:, f + 1] > ends[:, f])
+        if len(own):
+            for k, found in _settle_part([raw[k][ends[k, f] : ends[k, f + 1]].tobytes() for k in own]):
+                spans[own[k]].append(found)
+    out = [(n, _spans(*np.concatenate([np.frombuffer(x, "<u4").reshape(3, -1) for x in own], 1))) for n, own in zip(numbers, spans) if own]
+    return pa.table({"number": pa.array([o[0] for o in out], pa.int64()), "body": pa.array([o[1] for o in out], pa.binary())})
+
+
+def _settle_part(blobs: list[bytes]) -> list[tuple[int, bytes]]:
+    """Place of a pack's pieces in ``blobs``, and its runs of such windows; all pieces of an anchor are in one part."""
     heads: list[tuple] = []
     bodies: list[np.ndarray] = []
     for k, b in enumerate(blobs):
         n, m = (int(x) for x in np.frombuffer(b, "<u4", 2))
-        b = spread(b[8:]).tobytes()
+        b = memoryview(b)[8:]
         ids, doc, which = np.frombuffer(b, "<i8", m), np.frombuffer(b, "<u4", m, 8 * m).astype(np.int64), np.frombuffer(b, "<u2", n, 12 * m)
         first, size = np.frombuffer(b, "<u4", n, 12 * m + 2 * n).astype(np.int64), np.frombuffer(b, "u1", n, 12 * m + 6 * n).astype(np.int64)
         heads.append((np.full(n, k), ids[which], doc[which], first, size))
@@ -447,8 +518,7 @@ def _settle(part: pa.Table) -> pa.Table:
     sort = np.argsort(blob[rows], kind="stable")
     rows, a, b = rows[sort], a[sort], b[sort]
     cut = np.flatnonzero(np.concatenate([[True], np.diff(blob[rows]) != 0])) if len(rows) else []
-    out = [(numbers[blob[rows[x]]], _spans(doc[rows[x:y]], first[rows[x:y]] + a[x:y], first[rows[x:y]] + b[x:y])) for x, y in zip(cut, np.append(cut[1:], len(rows)))]
-    return pa.table({"number": pa.array([o[0] for o in out], pa.int64()), "body": pa.array([o[1] for o in out], pa.binary())})
+    return [(int(blob[rows[x]]), _spans(doc[rows[x:y]], first[rows[x:y]] + a[x:y], first[rows[x:y]] + b[x:y])) for x, y in zip(cut, np.append(cut[1:], len(rows)))]
 
 
 _DONE = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -458,23 +528,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents without their removed bytes."""
     for row in _rows(batches):
         p = _Pack(row)
-        change = np.zeros(len(p.data) + 1, np.int32)
-        for body in row["bodies"] or []:
-            _, first, last = np.frombuffer(body, "<u4").reshape(3, -1).astype(np.int64)
-            np.add.at(change, first, 1)
-            np.add.at(change, last + WIDTH, -1)
-        gone = np.cumsum(change)[:-1] > 0
-        keep = np.concatenate([[0], np.cumsum(~gone)])
-        inside = np.ones(len(p.data) + 1, bool)
-        inside[p.offsets] = False  # runs end with their document
-        edge = np.flatnonzero(gone & ~(np.concatenate([[False], gone[:-1]]) & inside[:-1]))
-        stop = np.flatnonzero(gone & ~(np.concatenate([gone[1:], [False]]) & inside[1:])) + 1
-        doc = np.searchsorted(p.offsets, edge, "right") - 1
-        # empty texts share their offset with the next one
-        spans = pa.StructArray.from_arrays([pa.array(edge - p.offsets[doc]), pa.array(stop - p.offsets[doc])], ["start", "end"])
-        per = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(p.ids)))]).astype(np.int32)
-        size = np.diff(keep[p.offsets])
-        yield pa.RecordBatch.from_arrays([pa.array(p.ids, mask=~p.known), pa.array(np.diff(p.offsets)), pa.ListArray.from_arrays(pa.array(per), spans), _binary(p.data[~gone], size)], ["doc_id", "n_bytes", "spans", "kept"])
+        runs = np.concatenate([np.zeros((3, 0), "<u4"), *(np.frombuffer(body, "<u4").reshape(3, -1) for body in row["bodies"] or [])], 1).astype(np.int64)
+        runs = runs[:, np.argsort(runs[0], kind="stable")]
+        for x, y in p.slices():
+            at = p.offsets[x]
+            data, offsets = p.data[at : p.offsets[y]], p.offsets[x : y + 1] - at
+            _, first, last = runs[:, slice(*np.searchsorted(runs[0], [x, y]))]
+            change = np.zeros(len(data) + 1, np.int32)
+            np.add.at(change, first - at, 1)
+            np.add.at(change, last - at + WIDTH, -1)
+            gone = np.cumsum(change)[:-1] > 0
+            keep = np.concatenate([[0], np.cumsum(~gone)])
+            inside = np.ones(len(data) + 1, bool)
+            inside[offsets] = False  # runs end with their document
+            edge = np.flatnonzero(gone & ~(np.concatenate([[False], gone[:-1]]) & inside[:-1]))
+            stop = np.flatnonzero(gone & ~(np.concatenate([gone[1:], [False]]) & inside[1:])) + 1
+            doc = np.searchsorted(offsets, edge, "right") - 1
+            # empty texts share their offset with the next one
+            spans = pa.StructArray.from_arrays([pa.array(edge - offsets[doc]), pa.array(stop - offsets[doc])], ["start", "end"])
+            per = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=y - x))]).astype(np.int32)
+            size = np.diff(keep[offsets])
+            yield pa.RecordBatch.from_arrays([pa.array(p.ids[x:y], mask=~p.known[x:y]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(per), spans), _binary(data[~gone], size)], ["doc_id", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -484,7 +558,7 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     packs = materialise(packs, "packs")
     total = documents.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)).alias("n")).first()["n"]
     shards = max(64, -(-total // SHARD))
-    sets = packs.mapInArrow(_anchor_sets(shards), "shard int, number long, hashes binary, twice binary")
+    sets = packs.mapInArrow(_anchor_sets(shards), "shard int, number long, hashes binary, twice binary, many binary")
     replies = sets.groupBy("shard").applyInArrow(_meet, "number long, shard int, bits binary, crowd binary")
     by_pack = replies.groupBy("number").agg(F.collect_list(F.struct("shard", "bits", "crowd")).alias("replies"))  # a bit for each anchor of a pack
     by_pack = materialise(by_pack, "replies")

@@ -224,6 +224,35 @@ def test_crowded_anchors(spark, monkeypatch):
     assert got == brute_bytes([(i, t.encode()) for i, t in rows]) and len(got[7]) < len(rows[7][1])
 
 
+def test_suffix_rows_do_not_grow_with_packs_times_shards(monkeypatch):
+    """Wide packs, settled in slices and parts; an anchor that many packs have, one piece in each, is not crowded, and one with many different pieces is."""
+    import pyarrow as pa
+
+    pack = lambda rows: [b.to_pylist()[0] for b in suffixdedup._pack([pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["doc_id", "text"])])]
+    r = np.random.default_rng(13)
+    word = lambda n: "".join(chr(97 + x) for x in r.integers(0, 26, n))
+    long = word(1 << 20)
+    assert len(pack([(k, long) for k in range(12)])) == 1  # 12 MB
+    sets = lambda packs, shards: [x for p in packs for b in suffixdedup._anchor_sets(shards)([pa.RecordBatch.from_pylist([p])]) for x in b.to_pylist()]
+    (one,) = pack([(1, word(50))])
+    rows = sets([one], 1)
+    many = suffixdedup._meet(pa.Table.from_pylist([row | {"number": k} for k in range(1100) for row in rows])).to_pylist()
+    assert len(many) == 1100 and not any(x["crowd"] for x in many)
+    monkeypatch.setattr(suffixdedup, "SLICE", 150)
+    monkeypatch.setattr(suffixdedup, "CROWD", 30)
+    passage, hot = word(70), word(50)
+    rows = [(k, word(60) + passage + word(30) + word(25) + hot + word(25)) for k in range(30)] + [(k, hot) for k in range(30, 70)] + [(70, ""), (71, passage)]
+    packs = [p | {"number": k} for k in range(2) for p in pack(rows[k::2])]
+    found = sets(packs, 2)
+    replies = [x for s in (0, 1) for x in suffixdedup._meet(pa.Table.from_pylist([x for x in found if x["shard"] == s])).to_pylist()]
+    assert any(x["crowd"] for x in replies)
+    pieces = [x for p in packs for b in suffixdedup._pieces(2)([pa.RecordBatch.from_pylist([p | {"replies": [x for x in replies if x["number"] == p["number"]]}])]) for x in b.to_pylist()]
+    assert len(pieces) <= 6  # one for each pack and shard, and what a pack settles itself
+    runs = [x for s in sorted({x["shard"] for x in pieces}) for x in suffixdedup._settle(pa.Table.from_pylist([x for x in pieces if x["shard"] == s])).to_pylist()]
+    got = {x["doc_id"]: x["kept"] for p in packs for b in suffixdedup._cut([pa.RecordBatch.from_pylist([p | {"bodies": [x["body"] for x in runs if x["number"] == p["number"]]}])]) for x in b.to_pylist()}
+    assert got == brute_bytes([(i, t.encode()) for i, t in rows])
+
+
 # Quality.
 
 
