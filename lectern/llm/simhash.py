@@ -308,6 +308,77 @@ def _sets(width: int, seed: int, count: int):
     return run
 
 
+#: Shingles in one part of a group whose sets are all compared.
+_TOGETHER = 1 << 20
+
+
+def similar_pairs(ends: np.ndarray, shingle: np.ndarray, label: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets ``shingle[ends[k]:ends[k + 1]]`` with a Jaccard similarity of ``similarity`` or more that connect all labels so connected.
+
+    A pair of one label, or of labels that earlier pairs connect, is left out; with
+    ``side``, only pairs for which it differs count.  Two sets that are so similar
+    share one of their rarest shingles, of which only as many are looked up as
+    can be missing from the other set, and one; what they find is compared in whole.
+    """
+    size, n = np.diff(ends), len(ends) - 1
+    owner = np.repeat(np.arange(n), size)
+    known, code, count = np.unique(shingle, return_inverse=True, return_counts=True)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(known))
+    code = rank[code]
+    code = code[np.lexsort((code, owner))]
+    looked_up = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    head = np.flatnonzero(np.arange(len(code)) - ends[owner] < looked_up[owner])
+    by_code = head[np.argsort(code[head], kind="stable")]  # and by owner
+    first = np.flatnonzero(np.concatenate([[True], np.diff(code[by_code]) != 0])) if len(by_code) else by_code
+    length = np.diff(np.append(first, len(by_code)))
+    start, before = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    start[by_code] = np.repeat(first, length)
+    before[by_code] = np.arange(len(by_code)) - start[by_code]  # sets ahead with the same shingle
+    holder = owner[by_code]
+    root, mark = np.unique(label, return_inverse=True)[1], np.zeros(len(known), bool)
+    a, b = [], []
+    for k in range(n):
+        own = slice(ends[k], min(ends[k] + looked_up[k], ends[k + 1]))
+        other = holder[ragged(start[own], before[own])]
+        other = np.unique(other[root[other] != root[k]])
+        other = other[np.minimum(size[other], size[k]) >= similarity * np.maximum(size[other], size[k])]
+        if side is not None:
+            other = other[side[other] != side[k]]
+        if not len(other):
+            continue
+        mark[code[ends[k] : ends[k + 1]]] = True
+        at = np.cumsum(size[other]) - size[other]
+        shared = np.add.reduceat(mark[code[ragged(ends[other], size[other])]], at, dtype=np.int64)
+        mark[code[ends[k] : ends[k + 1]]] = False
+        for j in other[shared >= similarity * (size[other] + size[k] - shared)].tolist():
+            if root[j] != root[k]:
+                a.append(k)
+                b.append(j)
+                root[root == root[j]] = root[k]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _links_within(groups: DataFrame, similarity: float, together: int = _TOGETHER) -> DataFrame:
+    """Edges ``(a, b)`` that connect all sets ``own`` of the same ``near`` that are similar and not of one ``label``.
+
+    A group of more than ``together`` shingles is cut into parts, and every two
+    parts are compared by a task of their own.
+    """
+    sizes = groups.groupBy("near").agg(F.ceil(F.sum(F.size("own")) / F.lit(together)).cast("int").alias("n"))
+    cut = groups.join(sizes, "near").withColumn("part", F.pmod(F.xxhash64("id"), F.greatest("n", F.lit(1))).cast("int"))
+    paired = cut.select("near", F.explode(F.sequence(F.lit(0), F.greatest("n", F.lit(1)) - 1)).alias("q"), "part", "label", "id", "own")
+
+    def run(rows: pa.Table) -> pa.Table:
+        own = rows.column("own").combine_chunks()
+        ids, label, side = (rows.column(c).to_numpy() for c in ("id", "label", "part"))
+        ends = np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())]).astype(np.int64)
+        a, b = similar_pairs(ends, own.flatten().to_numpy(), label, side if side.min() < side.max() else None, similarity)
+        return pa.table({"a": ids[a], "b": ids[b]})
+
+    return paired.withColumn("low", F.least("part", "q")).withColumn("high", F.greatest("part", "q")).drop("q").groupBy("near", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def near_copies(
     documents: DataFrame, similarity: float = 0.8, width: int = 5, count: int = 5, budget: int = 8, most_second: int = 20, seed: int = 42, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -318,9 +389,11 @@ def near_copies(
     ``budget`` bits at most, and the next one in ``most_second``; ``links`` passes on
     a spanning forest of candidates, the nearest first.  Of these, links between
     sets with a Jaccard similarity of ``similarity`` or more hold, which is checked
-    on the whole sets; groups are what such links connect.  A document is an id
-    and a text: texts that share an id are told apart, rows that repeat both are
-    one document.
+    on the whole sets.  Where some of a forest don't hold, candidates that it
+    left out may: there, all sets that candidates connect are compared, but for
+    those that links connect already.  So no candidate that is similar enough is
+    lost; groups are what links connect.  A document is an id and a text: texts
+    that share an id are told apart, rows that repeat both are one document.
 
     A set is named by a 64-bit hash and a shingle by XXH64.
     """
@@ -344,10 +417,21 @@ def near_copies(
     both = edges.join(texts.select(F.col("id").alias("a"), F.col("own").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("own").alias("y")), "b")
     low, high = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
     shared = F.size(F.array_intersect("x", "y"))
-    holds = both.where((low >= similarity * high) & (shared >= similarity * (low + high - shared))).select("a", "b")
+    similar = (low >= similarity * high) & (shared >= similarity * (low + high - shared))
+    checked = materialise(both.select("a", "b", similar.alias("holds")), "checked")
+    holds = checked.where("holds").select("a", "b")
     roots = components(holds)
+    if not checked.where("NOT holds").isEmpty():
+        near = components(edges)
+        label = F.coalesce(F.col("r.root"), F.col("n.node"))
+        labelled = materialise(near.alias("n").join(roots.alias("r"), F.col("n.node") == F.col("r.node"), "left").select(F.col("n.root").alias("near"), F.col("n.node").alias("id"), label.alias("label")), "labelled")
+        several = labelled.groupBy("near").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("near")
+        apart = materialise(labelled.join(several, "near").join(texts, "id").select("near", "label", "id", "own"), "apart")
+        more = materialise(_links_within(apart, similarity), "more")
+        before, roots = roots, components(holds.union(more))
+        discard(before, near, labelled, apart, more)
     named = materialise(sets.join(roots, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root")), "roots")
     least = materialise(named.groupBy("root").agg(F.min("least").alias("first")), "firsts")
     by_set = materialise(named.join(least, "root").select("id", "first"), "members")
-    discard(sets, edges, texts, roots, named, least)
+    discard(sets, edges, texts, checked, roots, named, least)
     return docs.join(by_set, "id").select("doc_id", "tie", "first")

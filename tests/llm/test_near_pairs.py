@@ -79,6 +79,55 @@ def test_groups_match_all_pairs(spark):
     assert len(set(got.values())) <= 1.1 * len(set(want.values()))
 
 
+def test_no_similar_candidate_is_lost(spark):
+    """Versions at similarities around 0.8: the forest of candidates takes nearer edges that don't hold, yet each candidate that holds links its texts."""
+    r = np.random.default_rng(17)
+    texts = []
+    for _ in range(60):
+        first = [f"w{x}" for x in r.integers(0, 10**6, 150)]
+        for _ in range(12):
+            own = list(first)
+            for k in r.choice(150, r.integers(1, 4), replace=False):
+                own[k] = f"c{r.integers(10**6)}"
+            texts.append(" ".join(own))
+    sets = [np.unique(simhash.shingles(t.encode(), 5)) for t in texts]
+    fps = np.array([[simhash._signs(simhash._mixed(h, f)) for f in range(5)] for h in sets], np.uint64)
+    got = {x.doc_id: x.first.doc_id for x in simhash.near_copies(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).collect()}
+    held, a, b = [], [], []
+    for i in range(len(texts)):
+        for j in range(i // 12 * 12, i):
+            far = np.bitwise_count(fps[i] ^ fps[j])
+            if ((far <= 8) & (np.roll(far, -1) <= 20)).any():
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                held.append(shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared))
+                a.append(j)
+                b.append(i)
+    assert 100 < sum(held) < len(held) - 100
+    assert [(i, j) for i, j, x in zip(a, b, held) if x and got[i] != got[j]] == []
+
+
+def test_pairs_of_a_group_match_all_pairs(spark):
+    """All sets of a group compared, in one part and in many, against plain sets."""
+    r = np.random.default_rng(23)
+    sets = [np.unique(np.concatenate([r.choice(40, r.integers(20, 40), replace=False), r.integers(100, 120, r.integers(0, 5))])) for _ in range(120)] + [np.zeros(0, np.int64)]
+    label = [int(x) for x in r.integers(0, 100, 121)]
+    similar = [(i, j) for i in range(121) for j in range(i) if len(sets[i]) and len(sets[j]) and (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    assert len(similar) > 50
+
+    def classes(edges):
+        root = list(label)
+        for a, b in edges:
+            root = [root[a] if x == root[b] else x for x in root]
+        return {frozenset(k for k in range(121) if root[k] == x) for x in root}
+
+    rows = spark.createDataFrame([(k % 2, label[k] * 2 + k % 2, k, s.tolist()) for k, s in enumerate(sets)], "near long, label long, id long, own array<long>")
+    one = rows.selectExpr("0L AS near", "label div 2 AS label", "id", "own")
+    for together in (1 << 20, 300):
+        got = [(x.a, x.b) for x in simhash._links_within(one, 0.8, together).collect()]
+        assert set(map(tuple, map(sorted, got))) <= set(map(tuple, map(sorted, similar))) and classes(got) == classes(similar)
+        assert all(x.a % 2 == x.b % 2 for x in simhash._links_within(rows, 0.8, together).collect())
+
+
 def test_what_counts_as_a_document(spark, sf_dir):
     text, other = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
     rows = [(1, text), (1, text), (1, other), (2, text.upper()), (3, other + " x"), (None, text), (None, text), (4, None), (5, ""), (6, " \n"), (7, "a b c"), (8, "A  b c"), (9, "a b")]
