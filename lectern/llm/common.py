@@ -11,6 +11,8 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +61,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES):
         i = j
 
 
+def give_back() -> None:
+    """Return freed memory to the system: allocators keep what they once had, and Spark keeps Python workers for later tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of every (start, length) run, one run after the other."""
     ends = np.cumsum(lengths)

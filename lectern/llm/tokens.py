@@ -2,7 +2,7 @@
 
 Both split texts into the pieces of the tokenizer's pattern with array
 operations, and run the prefix dynamic programme of ``bytepair`` once for each
-distinct piece that a worker meets.  What is kept of a piece: for encoding its
+distinct piece that a task (in counting, a worker) meets.  What is kept of a piece: for encoding its
 ids, for counting the number of tokens and the last token's length at every
 byte.  No shuffle; a task's memory is bounded by one slice of text (one text, if
 it is longer) and the bytes of the piece cache.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lectern.llm.bytepair import PATTERN, PieceCache, Pieces, Vocabulary, check_pattern, encode_texts, vocabulary
-from lectern.llm.common import slices, text_buffer
+from lectern.llm.common import give_back, slices, text_buffer
 
 _caches: dict[tuple, PieceCache] = {}
 
@@ -65,6 +65,13 @@ def worker_cache(path: str, make):
     return _caches[make, path]
 
 
+def forget_ids() -> None:
+    """Drop the pieces that ``encode`` has kept.  In the pipeline, workers that kept them took their executor over 3 GB in the stages of the next run."""
+    for key in [k for k in _caches if k[0] is _ids]:
+        del _caches[key]
+    give_back()
+
+
 def _with(df: DataFrame, fields: list[T.StructField]) -> tuple[DataFrame, T.StructType]:
     kept = df.drop(*[f.name for f in fields])
     return kept, T.StructType([*kept.schema.fields, *fields])
@@ -90,7 +97,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
     source, schema = _with(df, fields)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, cache = vocabulary(path), worker_cache(path, _ids)
         for batch in batches:
             for part in slices(batch, text):
@@ -102,6 +109,12 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
                     added.append(lists(back, np.concatenate([[0], np.cumsum(width)])[ends], pa.binary()))
                 yield _append(part, [f.name for f in fields], added)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from encoded(batches)
+        finally:
+            forget_ids()
+
     return source.mapInArrow(run, schema)
 
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -293,3 +294,17 @@ def test_simhash_odd_and_cut_subtrees(spark):
             assert find(a) == find(b)
             root[top(b)] = top(a)
         assert len({top(f) for f in fps}) == len({find(f) for f in fps})
+
+
+def test_workers_keep_no_pieces_of_a_past_encoding(spark):
+    """Spark keeps its Python workers: what they hold on to adds to the memory of the stages that follow."""
+
+    def kept(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_pydict({"kept": pa.array([sum(len(c._known) for k, c in tokens._caches.items() if k[0] is tokens._ids)], pa.int64())})
+
+    docs = spark.range(0, 4000, 1, 4).selectExpr("id AS doc_id", "sha2(string(id), 512) AS text")
+    done = tokens.encode(docs, public_tokenizers.path(queries.RANKS), decoded="decoded")
+    assert done.where("decoded = cast(text AS binary)").count() == 4000
+    assert {x.kept for x in spark.range(0, 16, 1, 16).mapInArrow(kept, "kept long").collect()} == {0}
