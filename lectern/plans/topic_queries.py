@@ -240,9 +240,7 @@ def set_redundancy(spark, sf_dir):
 @query(f"WITH {_TOK}, {_TERMS}, s AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS tf FROM c GROUP BY ALL), z AS (SELECT lang, sum(tf) AS words FROM s GROUP BY lang), e AS (SELECT term, sum(tf) AS f FROM s GROUP BY term), r AS (SELECT lang, term, round(tf / words * ln(1 + (SELECT avg(words) FROM z) / f), 8) AS weight FROM s JOIN z USING (lang) JOIN e USING (term)), k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS rank FROM r) SELECT lang, term, weight, rank FROM k WHERE rank <= 10")
 def class_tfidf(spark, sf_dir):
     d, tokens = _terms(spark, sf_dir)
-    counts = materialise(T.term_counts(d, tokens), "counts")
-    w = K.class_tfidf(counts.join(d.select("doc_id", "lang"), "doc_id"), "lang").withColumn("weight", F.round("weight", 8))
-    return w.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("weight"), "term")).cast("long")).where("rank <= 10")
+    return K.class_terms(d, tokens, "lang", 10)
 
 
 @query("SELECT lang, CASE WHEN count_if(source = 'src0') / count(*) > 0.45 AND (count_if(source = 'src0') - count_if(source = 'src1')) / count(*) >= 0.05 THEN 'fallback' ELSE 'primary' END AS choice FROM documents GROUP BY lang")
