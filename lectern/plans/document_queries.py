@@ -179,11 +179,9 @@ def selection_curve(spark, sf_dir):
 @query(f"WITH {_COMPONENTS}, i AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS idx, df, round(ln((1 + (SELECT n FROM n)) / (1 + df)) + 1, 8) AS idf FROM v) SELECT topic, rank, term, idx, df, idf, weight FROM top JOIN i USING (term)")
 def stored_model(spark, sf_dir):
     """Vocabulary and components written as tables and read back; the ten first terms of each topic."""
-    from lectern.plans.topic_queries import term_table
-
-    _, _, vocab, n = term_table(spark, sf_dir)
+    k, own = components(spark, sf_dir)
     at = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
-    sinks.save_model(vocab, components(spark, sf_dir)[0], n, at)
+    sinks.save_model(own.vocab, k, own.n, at)
     words, weights = sinks.load_model(spark, at)
     return T.top_terms(weights.join(words, "idx"), 10).select("topic", "rank", "term", "idx", "df", F.round("idf", 8).alias("idf"), "weight")
 
@@ -196,9 +194,10 @@ q AS (SELECT a.topic, a.term AS a, b.term AS b FROM top a JOIN top b ON a.topic
 SELECT round(avg(c), 4) AS mean, round(median(c), 4) AS median, round(min(c), 4) AS least FROM t2""")
 def word_npmi(spark, sf_dir):
     """The benchmark's coherence: single words only, pairs that never meet are left out, and the mean, median and least of topics."""
-    k, _, n = components(spark, sf_dir)
-    top = T.top_terms(k, 10)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    k, own = components(spark, sf_dir)
+    top, n = materialise(T.top_terms(k, 10), "top"), own.n
+    known = [r.term for r in top.select("term").distinct().collect()]  # topics x n terms
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda t: t.isin(known)))
     seen = T.term_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), words, most=1, vocab=top.select("term").distinct())
     pairs = T.pair_counts(seen, top, n).where("co > 0 AND co < documents")
     each = pairs.groupBy("topic").agg(F.avg(F.ln((F.col("co") / F.col("documents")) / (F.col("df_a") / F.col("documents") * F.col("df_b") / F.col("documents"))) / -F.ln(F.col("co") / F.col("documents"))).alias("c"))

@@ -9,6 +9,7 @@ from lectern.functions import text as X
 from lectern.operators import clusters as K
 from lectern.operators import nmf as N
 from lectern.operators import prevalence as V
+from lectern.operators import terms as C
 from lectern.operators import topics as T
 from lectern.plans.profile_queries import TOKENS
 from lectern.plans.base import query, table
@@ -141,48 +142,38 @@ def _terms(spark, sf_dir):
     return d, F.filter(X.lexical_tokens(X.casefold(F.col("text"))), lambda t: ~t.isin(*STOP))
 
 
-def term_table(spark, sf_dir):
-    """Documents, counts of the vocabulary's terms in each, the vocabulary, and the number of documents."""
+def corpus(spark, sf_dir):
+    """Documents as counts of the vocabulary's terms."""
     d, tokens = _terms(spark, sf_dir)
-    n = d.count()
-    vocab = materialise(T.vocabulary(T.term_totals(d, tokens), n, MIN_DF, MAX_DF, FEATURES), "vocabulary")
-    return d, T.term_counts(d, tokens, vocab=vocab), vocab, n
-
-
-def tfidf_table(spark, sf_dir):
-    d, counts, vocab, n = term_table(spark, sf_dir)
-    return d, counts, vocab, n, T.tfidf(counts, vocab, n)
+    return C.Corpus(d, tokens, ["doc_id", "lang"], MIN_DF, MAX_DF, FEATURES)
 
 
 @query(f"WITH {_PRE} SELECT term, df, tf FROM v")
 def document_frequency(spark, sf_dir):
-    return term_table(spark, sf_dir)[2]
+    return corpus(spark, sf_dir).vocab
 
 
 @query(f"WITH {_PRE}, {_TFIDF}, r AS (SELECT doc_id, term, n, df, round(w, 8) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY round(w, 8) DESC, term) AS rank FROM t) SELECT * FROM r WHERE rank <= 10")
 def tfidf_topk(spark, sf_dir):
-    w = tfidf_table(spark, sf_dir)[4].withColumn("w", F.round("w", 8))
+    w = corpus(spark, sf_dir).tfidf().drop("lang").withColumn("w", F.round("w", 8))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("w"), "term"))
     return w.withColumn("rank", rank.cast("long")).where("rank <= 10")
 
 
 @query(f"WITH {_PRE}, {_TFIDF} SELECT doc_id, len(d.t) AS tokens FROM d WHERE doc_id NOT IN (SELECT doc_id FROM t)")
 def zero_vector_docs(spark, sf_dir):
-    d, _, _, _, w = tfidf_table(spark, sf_dir)
-    tokens = _terms(spark, sf_dir)[1]
-    return T.zero_vectors(d, w).select("doc_id", F.size(tokens).cast("long").alias("tokens"))
+    d, tokens = _terms(spark, sf_dir)
+    return T.zero_vectors(d, corpus(spark, sf_dir).weights()).select("doc_id", F.size(tokens).cast("long").alias("tokens"))
 
 
 _COMPONENTS = f"{_PRE}, {_TFIDF}, k AS (SELECT lang AS topic, term, sum(w) AS weight FROM t GROUP BY ALL), kr AS (SELECT topic, term, round(weight, 6) AS weight, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 6) DESC, term) AS rank FROM k), top AS (SELECT * FROM kr WHERE rank <= 10)"
 
 
 def components(spark, sf_dir):
-    """Each language's summed weights: components that both engines compute alike."""
-    d, counts, vocab, n = term_table(spark, sf_dir)
-    counts = materialise(counts, "counts")  # read for the weights and for the pairs
-    w = T.tfidf(counts, vocab, n)
-    k = w.join(d.select("doc_id", F.col("lang").alias("topic")), "doc_id").groupBy("topic", "term").agg(F.round(F.sum("w"), 6).alias("weight"))
-    return materialise(k, "components"), counts, n  # topics x terms
+    """Each language's summed weights: components that both engines compute alike; and the corpus."""
+    own = corpus(spark, sf_dir)
+    k = own.summed("lang").select(F.col("lang").alias("topic"), "term", F.round("weight", 6).alias("weight"))
+    return materialise(k, "components"), own  # topics x terms
 
 
 @query(f"WITH {_COMPONENTS} SELECT topic, term, weight, rank FROM top")
@@ -211,20 +202,20 @@ _NPMI = "CASE WHEN co = 0 THEN -1.0 WHEN co = documents THEN CASE WHEN df_a = do
 
 @query(f"WITH {_PAIRS} SELECT topic, a, b, co, df_a, df_b, documents FROM pp")
 def pair_counts(spark, sf_dir):
-    k, counts, n = components(spark, sf_dir)
-    return T.pair_counts(counts, T.top_terms(k, 10), n).withColumn("documents", F.col("documents").cast("long"))
+    k, own = components(spark, sf_dir)
+    return T.pair_counts(own.counts(), T.top_terms(k, 10), own.n).withColumn("documents", F.col("documents").cast("long"))
 
 
 @query(f"WITH {_PAIRS} SELECT topic, round(avg({_NPMI}), 6) AS npmi, count(*) AS pairs FROM pp GROUP BY topic")
 def npmi_coherence(spark, sf_dir):
-    k, counts, n = components(spark, sf_dir)
-    return T.coherence(T.pair_counts(counts, T.top_terms(k, 10), n))
+    k, own = components(spark, sf_dir)
+    return T.coherence(T.pair_counts(own.counts(), T.top_terms(k, 10), own.n))
 
 
 @query(f"WITH {_PAIRS} SELECT topic, round(avg({_NPMI}), 6) AS npmi, count(*) AS pairs FROM pp WHERE co > 0 GROUP BY topic")
 def npmi_benchmark(spark, sf_dir):
-    k, counts, n = components(spark, sf_dir)
-    return T.coherence(T.pair_counts(counts, T.top_terms(k, 10), n), skip_zero=True)
+    k, own = components(spark, sf_dir)
+    return T.coherence(T.pair_counts(own.counts(), T.top_terms(k, 10), own.n), skip_zero=True)
 
 
 @query(f"WITH {_COMPONENTS}, z AS (SELECT term, count(*) AS k FROM top GROUP BY term) SELECT topic, round(avg(1 / z.k), 6) AS set_exclusivity FROM top JOIN z USING (term) GROUP BY topic")
@@ -255,8 +246,7 @@ MOST_SWEEPS = 400
 
 
 def _factorised(spark, sf_dir):
-    _, _, vocab, _, w = tfidf_table(spark, sf_dir)
-    rows, terms = N.rows_of(w, vocab)
+    rows, terms = corpus(spark, sf_dir).rows()
     rows = materialise(rows, "rows")
     model = N.fit(rows, terms, 4, most_iter=MOST_SWEEPS)
     if not model.converged:
@@ -281,8 +271,7 @@ def nmf_prevalence(spark, sf_dir):
 @query()
 def nmf_grid(spark, sf_dir):
     """A fit for each number of topics of a grid, without its run time; none may be unfinished."""
-    _, _, vocab, _, w = tfidf_table(spark, sf_dir)
-    rows, terms = N.rows_of(w, vocab)
+    rows, terms = corpus(spark, sf_dir).rows()
     _, record = N.grid(materialise(rows, "rows"), terms, [2, 3, 4], most_iter=MOST_SWEEPS)
     return record.select("k", "n_iter", "converged", F.round("error", 6).alias("error"))
 
